@@ -1,47 +1,13 @@
-"""Shared helpers: staged tables in the cluster's shared folder and column guards."""
+"""Shared helpers of the operators here."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_staged: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp on a local master only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "/tmp/checkpoints"
-
-
-def stage_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/tesserae-staged/{label}-{uuid.uuid4().hex}"
-    _staged.append(path)
-    return path
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = stage_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from tesserae.sources.staging import clear_staged, stage, stage_path
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete the tables staged so far. Only for callers that have written every result that reads them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["ascii_lower", "clear_staged", "shuffle_partitions", "small_batches", "stage", "stage_path", "text_or_empty"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_ledger, tokens
+from . import exact_dedup, packing, secret_ledger, tokens
 
-_modules = (exact_dedup, secret_ledger, tokens)
+_modules = (exact_dedup, packing, secret_ledger, tokens)
 
 
 def queries():
