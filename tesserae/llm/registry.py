@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lang_id, packing, part_enum, secret_ledger, tokens
+from . import exact_dedup, lang_id, packing, part_enum, secret_ledger, telephony, tokens
 
-_modules = (exact_dedup, lang_id, packing, part_enum, secret_ledger, tokens)
+_modules = (telephony, lang_id, packing, part_enum, secret_ledger, exact_dedup, tokens)
 
 
 def queries():
