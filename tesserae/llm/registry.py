@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lang_id, packing, part_enum, secret_ledger, telephony, tokens
+from . import exact_dedup, lang_id, license_rules, packing, part_enum, secret_ledger, telephony, tokens
 
-_modules = (telephony, lang_id, packing, part_enum, secret_ledger, exact_dedup, tokens)
+_modules = (telephony, lang_id, packing, part_enum, license_rules, secret_ledger, exact_dedup, tokens)
 
 
 def queries():
