@@ -146,5 +146,8 @@ def linked_components(
     a, b = (rest.select(*(F.col(c).alias(f"{c}_{side}") for c in rest.columns)) for side in "ab")
     near = (F.col("gid_a") == F.col("gid_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
     more = a.join(b, near & may_link("_a", "_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = stage(verified(stage(more.join(pairs, ["a", "b"], "left_anti"), f"{label}-rest")), f"{label}-more")
+    more = stage(more.join(pairs, ["a", "b"], "left_anti"), f"{label}-rest")
+    if more.isEmpty():
+        return classes
+    more = stage(verified(more), f"{label}-more")
     return classes if more.isEmpty() else connected_components(links.unionAll(more))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import columns_of, small_batches
 from .shingles import mix
 from .tokens import pieces_of_batch
 
@@ -160,9 +160,8 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, id_co
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _by_rows(batch.rename(columns={"__text": "text"}) if "text" not in keep else batch.assign(text=batch["__text"])):
-                own = batch.loc[part.index, keep]
-                yield own.assign(**_tell(list(part["text"]), languages, apart, shared))
+            for part in _by_rows(pd.DataFrame({"text": batch["__text"]})):
+                yield pd.DataFrame(columns_of(batch, keep, part.index) | _tell(list(part["text"]), languages, apart, shared))
 
     schema = docs.select(*keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
