@@ -1,9 +1,15 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from . import raster
+
+_modules = (raster,)
 
 
 def queries():
-    return {}
+    return {name: query for m in _modules for name, (query, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _modules for name, (_, sql) in m.QUERIES.items() if sql}
