@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 
 from .constants import BOUNDARY_EPS, FIT_TOLERANCE
 
-ZERO = F.lit(0.0)
+
 
 
 def point(x, y) -> Column:
     return F.struct(F.lit(x).cast("double").alias("x") if not isinstance(x, Column) else x.alias("x"), F.lit(y).cast("double").alias("y") if not isinstance(y, Column) else y.alias("y"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rectangle_ring(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
     """A closed counter-clockwise ring."""
     return F.array(point(min_x, min_y), point(max_x, min_y), point(max_x, max_y), point(min_x, max_y), point(min_x, min_y))
@@ -47,14 +52,14 @@ def signed_area(ring: Column) -> Column:
     o = ring[0]
     pairs = F.zip_with(F.slice(ring, 2, F.greatest(F.size(ring) - 2, F.lit(0))), F.slice(ring, 3, F.greatest(F.size(ring) - 2, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     term = lambda e: (e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"]) - (e["a"]["y"] - o["y"]) * (e["b"]["x"] - o["x"])
-    return F.when(F.size(ring) < 3, ZERO).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, e: s + term(e)) / 2)
+    return F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, e: s + term(e)) / 2)
 
 
 def polygon_area(polygon: Column) -> Column:
     """Outer area less the holes', at least 0."""
     holes = F.slice(polygon, 2, F.greatest(F.size(polygon) - 1, F.lit(0)))
     taken = F.aggregate(F.transform(holes, lambda r: F.abs(signed_area(r))), F.lit(0.0), lambda s, a: s + a)
-    return F.when(F.size(polygon) == 0, ZERO).otherwise(F.greatest(ZERO, F.abs(signed_area(polygon[0])) - taken))
+    return F.when(F.size(polygon) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.abs(signed_area(polygon[0])) - taken))
 
 
 def multipolygon_area(polygons: Column) -> Column:
@@ -66,7 +71,7 @@ def closest_on_edge(x: Column, y: Column, edge: Column) -> Column:
     a, b = edge["a"], edge["b"]
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     size = dx * dx + dy * dy
-    t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(ZERO, F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, size)))).otherwise(ZERO)
+    t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, size)))).otherwise(F.lit(0.0))
     return F.struct((a["x"] + t * dx).alias("x"), (a["y"] + t * dy).alias("y"))
 
 
@@ -128,17 +133,21 @@ def nearest_boundary(x: Column, y: Column, polygon: Column) -> Column:
 def without_repeats(ring: Column) -> Column:
     """A ring without its closing point and without points that repeat the one before."""
     open_ring = F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
-    return F.filter(F.transform(open_ring, lambda p, i: F.struct(p.alias("p"), F.when(i > 0, F.get(open_ring, i - 1)).alias("q"))), lambda e: e["q"].isNull() | (e["p"] != e["q"]))
+    paired = let(open_ring, lambda r: F.transform(r, lambda p, i: F.struct(p.alias("p"), F.when(i > 0, F.get(r, i - 1)).alias("q"))))
+    return F.filter(paired, lambda e: e["q"].isNull() | (e["p"] != e["q"]))
 
 
 def canonical_ring(ring: Column, outer: bool | Column = True, measured: Callable[[Column], Column] = signed_area) -> Column:
     """Closed ring that starts at its smallest point and winds counter-clockwise, clockwise for holes; null if it has no area."""
-    plain = F.transform(without_repeats(ring), lambda e: e["p"])
-    area = measured(plain)
-    wound = F.when((area > 0) == F.lit(outer), plain).otherwise(F.reverse(plain))
-    start = F.array_position(wound, F.array_min(wound)).cast("int")
-    turned = F.concat(F.slice(wound, start, F.size(wound) - start + 1), F.slice(wound, 1, start))
-    return F.when((F.size(plain) >= 3) & (F.abs(area) >= 1e-8), turned)
+    plain = let(ring, lambda r: F.transform(without_repeats(r), lambda e: e["p"]))
+
+    def turned(wound: Column) -> Column:
+        return let(F.array_position(wound, F.array_min(wound)).cast("int"), lambda k: F.concat(F.slice(wound, k, F.size(wound) - k + 1), F.slice(wound, F.lit(1), k)))
+
+    def wind(p: Column) -> Column:
+        return let(measured(p), lambda a: F.when((F.size(p) >= 3) & (F.abs(a) >= 1e-8), let(F.when((a > 0) == F.lit(outer), p).otherwise(F.reverse(p)), turned)))
+
+    return let(plain, wind)
 
 
 def canonical_polygon(polygon: Column) -> Column:

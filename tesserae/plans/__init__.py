@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import raster
+from . import features, grids, raster
 
-_modules = (raster,)
+_modules = (raster, grids, features)
 
 
 def queries():
