@@ -198,7 +198,7 @@ def way_join(spark, sf_dir):
     """Orders as ways over line numbers as nodes; some nodes are missing."""
     li = B.table(spark, sf_dir, "lineitem")
     ways = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.col("l_partkey") % 500)).alias("nodes"))
-    nodes = B.table(spark, sf_dir, "part").where("p_partkey < 490").selectExpr("p_partkey AS id", "p_size * 1.0D AS lon", "p_partkey * 1.0D AS lat")
+    nodes = B.table(spark, sf_dir, "part").where("p_partkey between 1 and 489").selectExpr("p_partkey AS id", "p_size * 1.0D AS lon", "p_partkey * 1.0D AS lat")
     return features.way_lines(ways, nodes).select("id", F.col("line").isNotNull().alias("whole"), F.coalesce(F.aggregate("line", F.lit(0.0), lambda s, p: s * 0.5 + p["lat"]), F.lit(0.0)).alias("mark"))
 
 
