@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +26,23 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    With ``release``, shuffle files that nothing refers to any more are freed right away:
-    Spark's cleaner acts when the driver's heap is collected, which by itself may be long after.
+    What was shuffled for it is of no more use then, so Spark is told to delete those files when the write ends.
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> None:
