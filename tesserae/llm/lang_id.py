@@ -139,7 +139,8 @@ def learn_prototypes(labelled: DataFrame, text_col: str = "text", label_col: str
                     own = which[text] == k
                     weight = np.bincount(number[own], counts[own], len(letters)).astype(np.float32)
                     sums[lang] = sums.get(lang, 0) + np.rint(weight @ vectors).astype(np.int64)
-        yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     vectors = rows.mapInPandas(bundle, "lang string, vector array<long>")
     total = vectors.select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
