@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, grids, raster
+from . import checks, features, grids, raster
 
-_modules = (raster, grids, features)
+_modules = (raster, grids, features, checks)
 
 
 def queries():
