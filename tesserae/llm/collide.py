@@ -1,29 +1,29 @@
 """Groups of nodes that share signatures, and components of the links found within them.
 
 Nodes are 64-bit numbers. Each has any number of 64-bit signatures; two nodes that share one are compared.
-In groups of more than ``SMALL_GROUP`` nodes, first only the smallest member is
-compared with all others; then components of the links found collapse the group, and
-what is still apart within one group is compared. Groups that are frequent within one
+Each node is first compared with the smallest of the smallest members of its groups.
+Components of the links found then collapse the groups; what is still apart from the
+smallest member of one of its groups is compared with it, and at last what is still apart
+within one group. So every pair of a group is linked, compared or already in one component. Groups that are frequent within one
 task are reduced to their smallest member before the shuffle, so a hot signature
 reaches its bucket about once per task.
 """
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import connected_components
 
 from .common import stage
 
-SMALL_GROUP = 8
 LOCAL_HOT = 32
 SIGNATURES_PER_BUCKET = 1_500_000
 SIGNATURES_PER_CHUNK = 2_000_000
@@ -45,8 +45,16 @@ def _groups(sig: np.ndarray, node: np.ndarray, least: int) -> Iterator[tuple[int
 CANDIDATES = "a long, b long, gid long, members array<long>"
 
 
+def _tell(own: np.ndarray, pairs: set[tuple[int, int]], groups: dict[int, np.ndarray]) -> None:
+    """Note a group: its first member with each other one, and its members if these aren't all of its pairs."""
+    first, *others = own.tolist()
+    pairs.update((first, x) for x in others)
+    if len(others) > 1:
+        groups[int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)] = own
+
+
 def _told(pairs: set[tuple[int, int]], groups: dict[int, np.ndarray], block: int = 4096) -> pd.DataFrame:
-    """Candidate rows: pairs, and the members of large groups in blocks."""
+    """Candidate rows: pairs, and the members of groups in blocks, by a digest of the members."""
     rows = [(a, b, 0, None) for a, b in pairs]
     for gid, own in groups.items():
         rows += [(0, 0, gid, own[k : k + block].tolist()) for k in range(0, len(own), block)]
@@ -54,7 +62,7 @@ def _told(pairs: set[tuple[int, int]], groups: dict[int, np.ndarray], block: int
 
 
 def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int) -> DataFrame:
-    """Pairs and large groups of nodes that share a signature; ``signed`` gives (node, signature) arrays of a batch."""
+    """Pairs and groups of nodes that share a signature; ``signed`` gives (node, signature) arrays of a batch."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
@@ -78,9 +86,8 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
             at = np.minimum(np.searchsorted(keys, sig), len(keys) - 1)
             first = np.array([hot[int(s)][0] for s in keys], np.int64)
             keep = (keys[at] != sig) | (first[at] == node)
-            for s, own in hot.items():
-                pairs.update((int(own[0]), int(x)) for x in own[1:])
-                groups[s - (1 << 63)] = own
+            for own in hot.values():
+                _tell(own, pairs, groups)
             node, sig = node[keep], sig[keep]
         order = np.lexsort((node, sig >> np.uint64(48), sig % np.uint64(buckets)))
         node, sig = node[order], sig[order]
@@ -110,12 +117,8 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
         pairs, groups = set(), {}
-        for s, own in _groups(wide.view("<u8").ravel(), node, 2):
-            if len(own) <= SMALL_GROUP:
-                pairs.update(itertools.combinations(own.tolist(), 2))
-            else:
-                pairs.update((int(own[0]), x) for x in own[1:].tolist())
-                groups[(s * buckets + int(key[0])) % (1 << 64) - (1 << 63)] = own
+        for _, own in _groups(wide.view("<u8").ravel(), node, 2):
+            _tell(own, pairs, groups)
         return _told(pairs, groups)
 
     dealt = rows.mapInPandas(sign, "bucket long, nodes binary, counts binary, sigs binary")
@@ -123,21 +126,19 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
 
 
 def linked_components(
-    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame], label: str
+    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], prepare: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], label: str
 ) -> DataFrame:
     """(node, component) of all nodes with a verified link.
 
-    ``may_link(x, y)`` is a necessary condition on the columns of ``nodes`` with these
-    suffixes; ``verified`` keeps the pairs (a, b) that are links.
+    ``may_link(x, y)`` is a necessary condition on the columns of ``nodes`` with these suffixes; ``prepare(nodes)`` gets
+    what the exact comparison needs of some nodes, and ``compare(pairs, prepared)`` keeps the pairs (a, b) that are links.
     """
     features = [c for c in nodes.columns if c != "node"]
     a, b = (nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in features)) for side in "ab")
     pairs = found.where("members is null").select("a", "b").distinct()
     pairs = stage(pairs.join(a, "a").join(b, "b").where(may_link("_a", "_b")).select("a", "b"), f"{label}-pairs")
-    links = stage(verified(pairs), f"{label}-links")
-    classes = connected_components(links)
-
-    large = found.where("members is not null").select("gid", F.explode("members").alias("node")).distinct()
+    large = stage(found.where("members is not null").select("gid", F.explode("members").alias("node")).distinct(), f"{label}-groups")
+    links, classes = _compared(pairs, None, None, prepare, compare, label, (1,))
     named = large.join(classes, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("class"))
     apart = named.groupBy("gid").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gid")
     rest = stage(named.join(apart, "gid").join(nodes, "node"), f"{label}-apart")
@@ -147,7 +148,34 @@ def linked_components(
     near = (F.col("gid_a") == F.col("gid_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
     more = a.join(b, near & may_link("_a", "_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = stage(more.join(pairs, ["a", "b"], "left_anti"), f"{label}-rest")
-    if more.isEmpty():
-        return classes
-    more = stage(verified(more), f"{label}-more")
-    return classes if more.isEmpty() else connected_components(links.unionAll(more))
+    return classes if more.isEmpty() else _compared(more, links, classes, prepare, compare, label, (1, 8))[1]
+
+
+def _compared(pairs: DataFrame, links: DataFrame | None, classes: DataFrame | None, prepare, compare, label: str, rounds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Links and components after comparing all pairs, but for those whose ends other links have joined meanwhile.
+
+    Each round takes so many pairs for each node, the last one all that are left.
+    """
+    todo = pairs
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    prepared = prepare(stage(wanted, f"{label}-wanted"))
+    for n, most in enumerate((*rounds, None)):
+        if n and todo.isEmpty():
+            break
+        if most is None:
+            chosen = todo
+        elif most == 1:
+            chosen = todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        else:
+            chosen = todo.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("nth") <= most).select("a", "b")
+        chosen = stage(chosen, f"{label}-chosen")
+        new = stage(compare(chosen, prepared), f"{label}-links")
+        if links is None or not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
+            classes = connected_components(links)
+        if most is None:
+            break
+        class_a, class_b = (classes.select(F.col("node").alias(s), F.col("component").alias(f"class_{s}")) for s in "ab")
+        left = todo.join(chosen, ["a", "b"], "left_anti").join(class_a, "a", "left").join(class_b, "b", "left")
+        todo = stage(left.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"), f"{label}-todo")
+    return links, classes

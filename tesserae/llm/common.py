@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.sources.staging import clear_staged, stage, stage_path
 
-__all__ = ["ascii_lower", "clear_staged", "columns_of", "shuffle_partitions", "small_batches", "stage", "stage_path", "text_or_empty"]
+__all__ = ["IdFilter", "ascii_lower", "clear_staged", "columns_of", "shuffle_partitions", "small_batches", "stage", "stage_path", "text_or_empty"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -36,3 +37,29 @@ def ascii_lower(text: Column) -> Column:
 def columns_of(batch: pd.DataFrame, names: list[str] | tuple[str, ...], rows=slice(None)) -> dict[str, object]:
     """Columns of some rows of a batch as plain arrays; strings as objects, which go back to Arrow in one piece."""
     return {c: batch[c].to_numpy(object if batch[c].dtype.kind in "OSU" else None)[rows] for c in names}
+
+
+FILTER_BITS = 1 << 22
+
+
+class IdFilter:
+    """Which cells of a table of fixed size some ids fall into, broadcast to the tasks.
+
+    What it turns away is none of the ids; what it lets through has to be joined with them.
+    With very many ids it lets everything through, which costs time and changes nothing.
+    """
+
+    def __init__(self, ids: DataFrame, cell: Column):
+        """``cell`` maps each row to a whole number from 0 to below ``FILTER_BITS``."""
+        words = ids.select(cell.cast("int").alias("cell")).groupBy(F.shiftright("cell", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cell & 63)")).alias("w"))
+        found = np.zeros(FILTER_BITS // 64, np.int64)
+        for r in words.collect():  # at most FILTER_BITS / 64 rows
+            found[r["k"]] = r["w"]
+        self.cells = ids.sparkSession.sparkContext.broadcast(found)
+
+    @staticmethod
+    def cell(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+
+    def lets(self, cells: np.ndarray) -> np.ndarray:
+        return (self.cells.value[cells >> 6] >> (cells & 63) & 1).astype(bool)
