@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tesserae.sources.staging import stage
 
 
+EDGES_PER_TASK = 500_000
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node of the component.
 
@@ -24,7 +27,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     mark, n = None, 0
     while True:
         n += 1
-        pairs = stage(_small_star(_large_star(pairs)), f"components-{n}")
+        step = _small_star(_large_star(pairs))
+        # steps never add edges, so the last count bounds this one; few edges don't need many tasks and files
+        pairs = stage(step if mark is None else step.coalesce(max(1, -(-mark[0] // EDGES_PER_TASK))), f"components-{n}")
         # an order-free mark of the edge set: its size and the sum of a hash of each edge
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
