@@ -139,18 +139,34 @@ def linked_components(
     pairs = stage(pairs.join(a, "a").join(b, "b").where(may_link("_a", "_b")).select("a", "b"), f"{label}-pairs")
     large = stage(found.where("members is not null").select("gid", F.explode("members").alias("node")).distinct(), f"{label}-groups")
     links, classes = _compared(pairs, None, None, prepare, compare, label, (1,))
-    named = large.join(classes, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("class"))
-    apart = named.groupBy("gid").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gid")
-    rest = stage(named.join(apart, "gid").join(nodes, "node"), f"{label}-apart")
-    if rest.isEmpty():
+    named = _apart(large, classes, label)
+    if named.isEmpty():
         return classes
+    # neighbours within groups come next: as many pairs as members, and most of what is alike is joined by them
+    order = Window.partitionBy("gid", F.pmod("node", F.lit(16))).orderBy("node")
+    member = F.struct("node", "class")
+    beside = named.withColumns({f"next_{k}": F.lead(member, k).over(order) for k in (1, 2)})
+    beside = beside.select("node", "class", F.explode(F.array("next_1", "next_2")).alias("next")).where(F.col("class") != F.col("next.class"))
+    beside = beside.select(F.col("node").alias("a"), F.col("next.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    beside = stage(beside.join(a, "a").join(b, "b").where(may_link("_a", "_b")).select("a", "b"), f"{label}-beside")
+    if not beside.isEmpty():
+        links, classes = _compared(beside, links, classes, prepare, compare, label, (1,))
+        named = _apart(large, classes, label)
+    rest = stage(named.join(nodes, "node"), f"{label}-members")
     a, b = (rest.select(*(F.col(c).alias(f"{c}_{side}") for c in rest.columns)) for side in "ab")
     near = (F.col("gid_a") == F.col("gid_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
     more = a.join(b, near & may_link("_a", "_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = stage(more.join(pairs, ["a", "b"], "left_anti"), f"{label}-rest")
+    more = stage(more.join(pairs.unionAll(beside), ["a", "b"], "left_anti"), f"{label}-rest")
     return classes if more.isEmpty() else _compared(more, links, classes, prepare, compare, label, (1, 8))[1]
 
 
+def _apart(large: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """(gid, node, class) of the members of groups that hold several components."""
+    named = large.join(classes, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("class"))
+    apart = named.groupBy("gid").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gid")
+    return stage(named.join(apart, "gid"), f"{label}-apart")
+
+
 def _compared(pairs: DataFrame, links: DataFrame | None, classes: DataFrame | None, prepare, compare, label: str, rounds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """Links and components after comparing all pairs, but for those whose ends other links have joined meanwhile.
 
