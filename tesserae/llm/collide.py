@@ -5,8 +5,9 @@ Each node is first compared with the smallest of the smallest members of its gro
 Components of the links found then collapse the groups; what is still apart from the
 smallest member of one of its groups is compared with it, and at last what is still apart
 within one group. So every pair of a group is linked, compared or already in one component. Groups that are frequent within one
-task are reduced to their smallest member before the shuffle, so a hot signature
-reaches its bucket about once per task.
+task are reduced to their smallest member and the name of the task's group before the shuffle, so a hot signature
+reaches its bucket about once per task. The bucket names the task's groups that have the signature in common, and
+these become one group of all their members, so nodes of different tasks are compared like those of one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import stage
 LOCAL_HOT = 32
 SIGNATURES_PER_BUCKET = 1_500_000
 SIGNATURES_PER_CHUNK = 2_000_000
+MEMBERS_PER_BLOCK = 1024
+SHORT = (1 << 48) - 1
 
 
 def _groups(sig: np.ndarray, node: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -45,19 +48,27 @@ def _groups(sig: np.ndarray, node: np.ndarray, least: int) -> Iterator[tuple[int
 CANDIDATES = "a long, b long, gid long, members array<long>"
 
 
+def _digest(own: np.ndarray, parts: tuple[int, ...] = ()) -> int:
+    """The name of a group: a digest of its members and of the groups that are part of it."""
+    told = np.array([*parts, len(parts)] if parts else [], np.int64).tobytes()
+    return int.from_bytes(hashlib.blake2b(own.tobytes() + told, digest_size=8).digest(), "little", signed=True)
+
+
 def _tell(own: np.ndarray, pairs: set[tuple[int, int]], groups: dict[int, np.ndarray]) -> None:
     """Note a group: its first member with each other one, and its members if these aren't all of its pairs."""
     first, *others = own.tolist()
     pairs.update((first, x) for x in others)
     if len(others) > 1:
-        groups[int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)] = own
+        groups[_digest(own)] = own
 
 
-def _told(pairs: set[tuple[int, int]], groups: dict[int, np.ndarray], block: int = 4096) -> pd.DataFrame:
-    """Candidate rows: pairs, and the members of groups in blocks, by a digest of the members."""
+def _told(pairs: set[tuple[int, int]], groups: dict[int, np.ndarray], parts: dict[int, tuple[int, ...]] | None = None, block: int = 4096) -> pd.DataFrame:
+    """Candidate rows: pairs; the members of groups in blocks; and without members, the groups (a) that are part of a group (gid)."""
     rows = [(a, b, 0, None) for a, b in pairs]
     for gid, own in groups.items():
         rows += [(0, 0, gid, own[k : k + block].tolist()) for k in range(0, len(own), block)]
+    for gid, own in (parts or {}).items():
+        rows += [(part, 0, gid, []) for part in own]
     return pd.DataFrame(rows, columns=["a", "b", "gid", "members"])
 
 
@@ -77,17 +88,18 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
             yield from deal(held)
 
     def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        """Signatures by bucket; of what is frequent here already, only one node, as the others are told right away."""
+        """Signatures by bucket; of what is frequent here already, only one node and the group's name, as the others are told right away."""
         node, sig = (np.concatenate(x) for x in zip(*held, strict=True))
         keep, groups, pairs = np.ones(len(sig), bool), {}, set()
-        hot = {s: own for s, own in _groups(sig, node, LOCAL_HOT)}
+        hot, named = {s: own for s, own in _groups(sig, node, LOCAL_HOT)}, {}
         if hot:
             keys = np.array(sorted(hot), np.uint64)
             at = np.minimum(np.searchsorted(keys, sig), len(keys) - 1)
             first = np.array([hot[int(s)][0] for s in keys], np.int64)
             keep = (keys[at] != sig) | (first[at] == node)
-            for own in hot.values():
+            for s, own in hot.items():
                 _tell(own, pairs, groups)
+                named.setdefault(s % buckets, []).append((s // buckets & SHORT, _digest(own)))
             node, sig = node[keep], sig[keep]
         order = np.lexsort((node, sig >> np.uint64(48), sig % np.uint64(buckets)))
         node, sig = node[order], sig[order]
@@ -98,15 +110,15 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
             by_node = np.argsort(n, kind="stable")
             nodes, counts = np.unique(n, return_counts=True)
             short = np.ascontiguousarray((s[by_node] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            out.append((int(b), nodes.tobytes(), counts.astype("<u4").tobytes(), short.tobytes()))
+            out.append((int(b), nodes.tobytes(), counts.astype("<u4").tobytes(), short.tobytes(), np.array(named.get(int(b), []), np.int64).tobytes()))
         told = _told(pairs, groups)
         if len(told):
             sink = pa.BufferOutputStream()
             table = pa.Table.from_pandas(told, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64()), ("members", pa.list_(pa.int64()))]), preserve_index=False)
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
-            out.append((buckets + int(node[0] % 1_000_003), sink.getvalue().to_pybytes(), b"", b""))
-        yield pd.DataFrame(out, columns=["bucket", "nodes", "counts", "sigs"])
+            out.append((buckets + int(node[0] % 1_000_003), sink.getvalue().to_pybytes(), b"", b"", b""))
+        yield pd.DataFrame(out, columns=["bucket", "nodes", "counts", "sigs", "hot"])
 
     def meet(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         """All signatures of one bucket, sorted: what several sets share."""
@@ -116,12 +128,23 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
         raw = np.frombuffer(b"".join(batch["sigs"]), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
-        pairs, groups = set(), {}
-        for _, own in _groups(wide.view("<u8").ravel(), node, 2):
-            _tell(own, pairs, groups)
-        return _told(pairs, groups)
-
-    dealt = rows.mapInPandas(sign, "bucket long, nodes binary, counts binary, sigs binary")
+        pairs, groups, parts, hot = set(), {}, {}, {}
+        for short, gid in np.frombuffer(b"".join(batch["hot"]), np.int64).reshape(-1, 2).tolist():
+            hot.setdefault(short, set()).add(gid)
+        for short, own in _groups(wide.view("<u8").ravel(), node, 2):
+            if short not in hot:
+                _tell(own, pairs, groups)
+                continue
+            pairs.update((int(own[0]), x) for x in own[1:].tolist())
+            some = tuple(sorted(hot.pop(short)))
+            gid = _digest(own, some)
+            groups[gid], parts[gid] = own, some
+        # groups of several tasks with one smallest member
+        for some in (tuple(sorted(x)) for x in hot.values() if len(x) > 1):
+            parts[_digest(node[:0], some)] = some
+        return _told(pairs, groups, parts)
+
+    dealt = rows.mapInPandas(sign, "bucket long, nodes binary, counts binary, sigs binary, hot binary")
     return dealt.groupBy("bucket").applyInPandas(meet, CANDIDATES)
 
 
@@ -137,7 +160,7 @@ def linked_components(
     a, b = (nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in features)) for side in "ab")
     pairs = found.where("members is null").select("a", "b").distinct()
     pairs = stage(pairs.join(a, "a").join(b, "b").where(may_link("_a", "_b")).select("a", "b"), f"{label}-pairs")
-    large = stage(found.where("members is not null").select("gid", F.explode("members").alias("node")).distinct(), f"{label}-groups")
+    large = stage(_members(found), f"{label}-groups")
     links, classes = _compared(pairs, None, None, prepare, compare, label, (1,))
     named = _apart(large, classes, label)
     if named.isEmpty():
@@ -152,14 +175,27 @@ def linked_components(
     if not beside.isEmpty():
         links, classes = _compared(beside, links, classes, prepare, compare, label, (1,))
         named = _apart(large, classes, label)
-    rest = stage(named.join(nodes, "node"), f"{label}-members")
-    a, b = (rest.select(*(F.col(c).alias(f"{c}_{side}") for c in rest.columns)) for side in "ab")
-    near = (F.col("gid_a") == F.col("gid_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
+    # one side of a large group is dealt over blocks, each of which meets all of the other side
+    blocks = named.groupBy("gid").agg(F.ceil(F.count("*") / MEMBERS_PER_BLOCK).alias("blocks"))
+    rest = stage(named.join(blocks, "gid").join(nodes, "node"), f"{label}-members")
+    dealt = (F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    a, b = (rest.withColumn("block", x).select(*(F.col(c).alias(f"{c}_{side}") for c in (*rest.columns, "block"))) for x, side in zip(dealt, "ab", strict=True))
+    near = (F.col("gid_a") == F.col("gid_b")) & (F.col("block_a") == F.col("block_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
     more = a.join(b, near & may_link("_a", "_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = stage(more.join(pairs.unionAll(beside), ["a", "b"], "left_anti"), f"{label}-rest")
     return classes if more.isEmpty() else _compared(more, links, classes, prepare, compare, label, (1, 8))[1]
 
 
+def _members(found: DataFrame) -> DataFrame:
+    """(gid, node) of the groups; those that are part of another group count only there."""
+    told = found.where("members is not null")
+    own = told.select("gid", F.explode("members").alias("node"))
+    parts = told.where("size(members) = 0").select("gid", F.col("a").alias("part")).distinct()
+    within = own.withColumnRenamed("gid", "part").join(parts, "part").select("gid", "node")
+    alone = own.join(parts.select(F.col("part").alias("gid")).distinct(), "gid", "left_anti")
+    return alone.unionAll(within).distinct()
+
+
 def _apart(large: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """(gid, node, class) of the members of groups that hold several components."""
     named = large.join(classes, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("class"))

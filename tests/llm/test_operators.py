@@ -184,6 +184,17 @@ def test_signatures_reach_every_group(spark, monkeypatch):
     assert reached >= {k for k, s in rows if s in (1, 2)} and groups
 
 
+def test_nodes_of_different_chunks_that_share_only_hot_signatures(spark):
+    n, centres = 400, {137: 0, 262: 1}
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(k, 1 + k % 2) for k in range(1, n)], 4), "node long, s long")
+    signed = lambda batch: iter([(batch["node"].to_numpy(np.int64), batch["s"].to_numpy(np.uint64))])
+    found = collide.stage(collide.candidates(df, signed, 7), "test-candidates")
+    # only the two centres link, each with all that share its signature
+    is_link = F.col("a").isin(*centres) | F.col("b").isin(*centres)
+    got = collide.linked_components(found, df.select("node"), lambda x, y: F.lit(True), lambda wanted: wanted, lambda pairs, _: pairs.where(is_link), "test").collect()
+    assert {r["node"]: r["component"] for r in got} == {k: 1 if k % 2 else 2 for k in range(1, n)}
+
+
 # 5 mixing
 def test_pfair_lag_stays_below_one_block():
     shares = mixing.whole_shares({"a": 5.0, "b": 3.2, "c": 0.001, "d": 7.0}, 64)
