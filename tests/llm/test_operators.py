@@ -369,6 +369,12 @@ def test_fuzzy_lines_on_odd_rows(spark):
         fuzzy_lines.fuzzy_line_dedup(docs.withColumn("n_lines", F.lit(1)))
 
 
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "All rights reserved.\n\nx\n{ }\n日本語のテキスト"), (2, "ALL RIGHTS RESERVED\n\nX\n\t{ }\n日本語のテキスト\ny"), (3, "{}\n \n---\n---")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in fuzzy_lines.fuzzy_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\ny", 4), 3: ("{}\n \n---", 1)}
+
+
 # 10 token counts
 ODD = ["'re", "x're", "!'ve", "a  b", "a \n\nb", " ", "   ", "\n \n", "é  thell\tthe '<|endoftext|>'ve's  ", "foo!<|endoftext|>\n\nbar", "日本語  テキスト　x", "\x1c\x85 a", "a" * 300, "  lead", "trail  ", "<|endoftext|>"]
 
