@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_staged: list[str] = []
+_staged: list[tuple[str, str]] = []  # the owner and the path of each staged table that is still there
+_owners = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tesserae-staged/{label}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    _staged.append((_owners[-1], path))
     return path
 
 
@@ -45,10 +48,33 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete the tables staged so far. Only for callers that have written every result that reads them."""
-    jvm = spark.sparkContext._jvm
+def stage_result(build: Callable[[], DataFrame], spark: SparkSession, label: str) -> DataFrame:
+    """Stage what ``build`` gives and delete all that was staged on the way to it, as nothing reads that any more."""
+    before = len(_staged)
+    out = stage(build(), label)
+    _delete(spark, _staged[before:-1])
+    del _staged[before:-1]
+    return out
+
+
+@contextmanager
+def staged_for(owner: str) -> Iterator[None]:
+    """Tables staged within are the owner's, for ``clear_staged``."""
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
+def clear_staged(spark: SparkSession, owner: str = "") -> None:
+    """Delete the tables that this owner staged so far. Only for callers that have written every result of the owner that reads them."""
+    _delete(spark, [x for x in _staged if x[0] == owner])
+    _staged[:] = [x for x in _staged if x[0] != owner]
+
+
+def _delete(spark: SparkSession, tables: list[tuple[str, str]]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    for _, name in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
