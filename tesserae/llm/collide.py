@@ -1,79 +1,87 @@
 """Groups of nodes that share signatures, and components of the links found within them.
 
-Nodes are 64-bit numbers. Each has any number of 64-bit signatures; two nodes that share one are compared.
-Each node is first compared with the smallest of the smallest members of its groups.
-Components of the links found then collapse the groups; what is still apart from the
-smallest member of one of its groups is compared with it, and at last what is still apart
-within one group. So every pair of a group is linked, compared or already in one component. Groups that are frequent within one
-task are reduced to their smallest member and the name of the task's group before the shuffle, so a hot signature
-reaches its bucket about once per task. The bucket names the task's groups that have the signature in common, and
-these become one group of all their members, so nodes of different tasks are compared like those of one.
+Nodes are 64-bit numbers. Each has any number of 64-bit signatures; two nodes that share one are compared unless links
+have already put them in one component. First, each node is compared with the smallest member of each of its groups. Components
+of these links collapse the groups. Of a group that still holds several components, one pair of members
+for each pair of components is compared next, and then all pairs of members that are still apart. The pairs of a group are never emitted
+as such: a cheap necessary condition is tested within the task, on arrays, and only pairs that meet it leave the task.
+
+A signature that is frequent within one task (``LOCAL_HOT``) doesn't send all its nodes to one bucket: the task tells
+the members under the signature's own group name and sends only the smallest, with a mark. The bucket tells what it gets
+of a marked signature under the same name, so the members from all tasks form one group. Large groups are dealt in
+blocks of ``MEMBERS_PER_BLOCK``, and every pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import connected_components
 
-from .common import stage
+from .common import shuffle_partitions, stage, stage_result
+from .shingles import mix, segment_sums
 
 LOCAL_HOT = 32
-SIGNATURES_PER_BUCKET = 1_500_000
-SIGNATURES_PER_CHUNK = 2_000_000
-MEMBERS_PER_BLOCK = 1024
-SHORT = (1 << 48) - 1
+SIGNATURES_PER_BUCKET = 700_000
+SIGNATURES_PER_CHUNK = 1_000_000
+MEMBERS_PER_BLOCK = 512
+ROWS_PER_RUN = 20_000
+PAIRS_PER_STEP = 1 << 20
+SHORT = np.uint64((1 << 47) - 1)
+MARK = np.uint64(1 << 47)
 
+CANDIDATES = "a long, b long, gid long"
+_NAME, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-def _groups(sig: np.ndarray, node: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Groups of at least this many different nodes with one signature; nodes ascending."""
+
+def _sorted_groups(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures and nodes in order without repeats, the first row of each signature and its number of rows."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     fresh = np.ones(len(sig), bool)
     fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
     sig, node = sig[fresh], node[fresh]
-    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, len(sig)))
-    for h, n in zip(head[size >= least].tolist(), size[size >= least].tolist(), strict=True):
-        yield int(sig[h]), node[h : h + n]
+    head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    return sig, node, head, np.diff(np.append(head, len(sig)))
 
 
-CANDIDATES = "a long, b long, gid long, members array<long>"
+def _name(bucket: np.ndarray | int, short: np.ndarray) -> np.ndarray:
+    """The name of the group of a hot signature, alike in tasks and buckets; odd."""
+    return (mix(short * _NAME + np.uint64(bucket) if np.isscalar(bucket) else short * _NAME + bucket) | np.uint64(1)).view(np.int64)
 
 
-def _digest(own: np.ndarray, parts: tuple[int, ...] = ()) -> int:
-    """The name of a group: a digest of its members and of the groups that are part of it."""
-    told = np.array([*parts, len(parts)] if parts else [], np.int64).tobytes()
-    return int.from_bytes(hashlib.blake2b(own.tobytes() + told, digest_size=8).digest(), "little", signed=True)
+def _rows(a: np.ndarray, b: np.ndarray, gid: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": a, "b": b, "gid": gid})
 
 
-def _tell(own: np.ndarray, pairs: set[tuple[int, int]], groups: dict[int, np.ndarray]) -> None:
-    """Note a group: its first member with each other one, and its members if these aren't all of its pairs."""
-    first, *others = own.tolist()
-    pairs.update((first, x) for x in others)
-    if len(others) > 1:
-        groups[_digest(own)] = own
+def _star(node: np.ndarray, head: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    """Each group's smallest node with each other one, without repeats."""
+    first = np.repeat(node[head], size)
+    own = np.ones(len(node), bool)
+    own[head] = False
+    pairs = np.stack([first[own], node[own]], axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    pairs = pairs[fresh]
+    return _rows(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
 
 
-def _told(pairs: set[tuple[int, int]], groups: dict[int, np.ndarray], parts: dict[int, tuple[int, ...]] | None = None, block: int = 4096) -> pd.DataFrame:
-    """Candidate rows: pairs; the members of groups in blocks; and without members, the groups (a) that are part of a group (gid)."""
-    rows = [(a, b, 0, None) for a, b in pairs]
-    for gid, own in groups.items():
-        rows += [(0, 0, gid, own[k : k + block].tolist()) for k in range(0, len(own), block)]
-    for gid, own in (parts or {}).items():
-        rows += [(part, 0, gid, []) for part in own]
-    return pd.DataFrame(rows, columns=["a", "b", "gid", "members"])
+def _select(rows: np.ndarray, head: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows, heads and sizes of chosen groups only."""
+    kept = rows[np.repeat(chosen, size)]
+    size = size[chosen]
+    return kept, np.cumsum(size) - size, size
 
 
 def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int) -> DataFrame:
-    """Pairs and groups of nodes that share a signature; ``signed`` gives (node, signature) arrays of a batch."""
+    """Pairs (gid 0) and members of groups (a, with the group's gid); ``signed`` gives (node, signature) arrays of a batch."""
+    many = np.uint64(buckets)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
@@ -82,118 +90,112 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
                 held.append((node, sig))
                 count += len(sig)
                 if count >= SIGNATURES_PER_CHUNK:
-                    yield from deal(held)
-                    held, count = [], 0
+                    told, held, count = deal(held), [], 0
+                    yield told
         if count:
-            yield from deal(held)
+            yield deal(held)
 
-    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        """Signatures by bucket; of what is frequent here already, only one node and the group's name, as the others are told right away."""
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        """Signatures by bucket: each node's number of them, and 47 bits and a mark of each. What is told already is a bucket of its own."""
         node, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-        keep, groups, pairs = np.ones(len(sig), bool), {}, set()
-        hot, named = {s: own for s, own in _groups(sig, node, LOCAL_HOT)}, {}
-        if hot:
-            keys = np.array(sorted(hot), np.uint64)
-            at = np.minimum(np.searchsorted(keys, sig), len(keys) - 1)
-            first = np.array([hot[int(s)][0] for s in keys], np.int64)
-            keep = (keys[at] != sig) | (first[at] == node)
-            for s, own in hot.items():
-                _tell(own, pairs, groups)
-                named.setdefault(s % buckets, []).append((s // buckets & SHORT, _digest(own)))
-            node, sig = node[keep], sig[keep]
-        order = np.lexsort((node, sig >> np.uint64(48), sig % np.uint64(buckets)))
-        node, sig = node[order], sig[order]
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        held.clear()
+        bucket, short = sig % many, sig // many & SHORT
+        key, node, head, size = _sorted_groups(bucket << np.uint64(47) | short, node) if buckets < 1 << 16 else _sorted_groups(sig, node)
+        bucket, short = (key >> np.uint64(47), key & SHORT) if buckets < 1 << 16 else (key % many, key // many & SHORT)
+        hot = size >= LOCAL_HOT
         out = []
-        for n, s, b in zip(np.split(node, cuts), np.split(sig, cuts), bucket[np.append(0, cuts)] if len(bucket) else [], strict=False):
-            by_node = np.argsort(n, kind="stable")
-            nodes, counts = np.unique(n, return_counts=True)
-            short = np.ascontiguousarray((s[by_node] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            out.append((int(b), nodes.tobytes(), counts.astype("<u4").tobytes(), short.tobytes(), np.array(named.get(int(b), []), np.int64).tobytes()))
-        told = _told(pairs, groups)
-        if len(told):
-            sink = pa.BufferOutputStream()
-            table = pa.Table.from_pandas(told, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64()), ("members", pa.list_(pa.int64()))]), preserve_index=False)
-            with pa.ipc.new_stream(sink, table.schema) as writer:
-                writer.write_table(table)
-            out.append((buckets + int(node[0] % 1_000_003), sink.getvalue().to_pybytes(), b"", b"", b""))
-        yield pd.DataFrame(out, columns=["bucket", "nodes", "counts", "sigs", "hot"])
+        if hot.any():
+            own, first, n = _select(node, head, size, hot)
+            pairs = _star(own, first, n)
+            names = np.repeat(_name(bucket[head[hot]], short[head[hot]]), n)
+            told = (np.append(pairs["a"], own), np.append(pairs["b"], np.zeros(len(own), np.int64)), np.append(pairs["gid"], names))
+            out.append((buckets + int(own[0] % 1_000_003), *(x.tobytes() for x in told)))
+            short = short.copy()
+            short[head[hot]] |= MARK
+            keep = np.repeat(~hot, size)
+            keep[head] = True
+            node, bucket, short = node[keep], bucket[keep], short[keep]
+        order = np.lexsort((node, bucket))
+        node, bucket, short = node[order], bucket[order].astype(np.int64), short[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        raw = np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+        for first, last in zip(np.append(0, cuts).tolist(), np.append(cuts, len(node)).tolist(), strict=True):
+            nodes, counts = np.unique(node[first:last], return_counts=True)
+            out.append((int(bucket[first]), nodes.tobytes(), counts.astype("<u4").tobytes(), raw[first:last].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "nodes", "counts", "sigs"])
 
     def meet(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        """All signatures of one bucket, sorted: what several sets share."""
+        """All signatures of one bucket, sorted: what several nodes share."""
         if key[0] >= buckets:
-            return pd.concat([pa.ipc.open_stream(x).read_all().to_pandas() for x in batch["nodes"]])
+            return _rows(*(np.frombuffer(b"".join(batch[c]), np.int64) for c in ("nodes", "counts", "sigs")))
         node = np.concatenate([np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, "<u4")) for n, c in zip(batch["nodes"], batch["counts"], strict=True)])
         raw = np.frombuffer(b"".join(batch["sigs"]), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
-        pairs, groups, parts, hot = set(), {}, {}, {}
-        for short, gid in np.frombuffer(b"".join(batch["hot"]), np.int64).reshape(-1, 2).tolist():
-            hot.setdefault(short, set()).add(gid)
-        for short, own in _groups(wide.view("<u8").ravel(), node, 2):
-            if short not in hot:
-                _tell(own, pairs, groups)
-                continue
-            pairs.update((int(own[0]), x) for x in own[1:].tolist())
-            some = tuple(sorted(hot.pop(short)))
-            gid = _digest(own, some)
-            groups[gid], parts[gid] = own, some
-        # groups of several tasks with one smallest member
-        for some in (tuple(sorted(x)) for x in hot.values() if len(x) > 1):
-            parts[_digest(node[:0], some)] = some
-        return _told(pairs, groups, parts)
-
-    dealt = rows.mapInPandas(sign, "bucket long, nodes binary, counts binary, sigs binary, hot binary")
+        short = wide.view("<u8").ravel()
+        marked = np.unique(short[short >= MARK] & SHORT)
+        short, node, head, size = _sorted_groups(short & SHORT, node)
+        several = size > 1
+        node, (short, size) = node[np.repeat(several, size)], (short[head[several]], size[several])
+        head = np.cumsum(size) - size
+        pairs = _star(node, head, size)
+        # groups of three and more, those of the same members once, under a digest of them; even, as hot groups have odd names
+        hot = np.isin(short, marked)
+        gid = (mix(segment_sums(mix(node.view(np.uint64) + _SALT), size) + size.astype(np.uint64)) & ~np.uint64(1)).view(np.int64)
+        gid[gid == 0] = 2
+        gid[hot] = _name(int(key[0]), short[hot])
+        chosen = np.zeros(len(size), bool)
+        chosen[np.unique(gid, return_index=True)[1]] = True
+        chosen &= hot | (size > 2)
+        own, _, n = _select(node, head, size, chosen)
+        return pd.concat([pairs, _rows(own, np.zeros(len(own), np.int64), np.repeat(gid[chosen], n))])
+
+    dealt = rows.mapInPandas(sign, "bucket long, nodes binary, counts binary, sigs binary")
     return dealt.groupBy("bucket").applyInPandas(meet, CANDIDATES)
 
 
+Near = Callable[[dict[str, np.ndarray]], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+
+
 def linked_components(
-    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], prepare: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], label: str
+    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], near: Near, prepare: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], label: str
 ) -> DataFrame:
     """(node, component) of all nodes with a verified link.
 
-    ``may_link(x, y)`` is a necessary condition on the columns of ``nodes`` with these suffixes; ``prepare(nodes)`` gets
+    ``may_link(x, y)`` is a necessary condition on the columns of ``nodes`` with these suffixes, and ``near`` is the same on arrays: for
+    the columns of some nodes it gives the test of pairs of their row numbers. ``prepare(nodes)`` gets
     what the exact comparison needs of some nodes, and ``compare(pairs, prepared)`` keeps the pairs (a, b) that are links.
     """
+    return stage_result(lambda: _linked(found, nodes, may_link, near, prepare, compare, label), nodes.sparkSession, f"{label}-classes")
+
+
+def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, compare, label: str) -> DataFrame:
     features = [c for c in nodes.columns if c != "node"]
     a, b = (nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in features)) for side in "ab")
-    pairs = found.where("members is null").select("a", "b").distinct()
+    pairs = found.where("gid = 0").select("a", "b").distinct()
     pairs = stage(pairs.join(a, "a").join(b, "b").where(may_link("_a", "_b")).select("a", "b"), f"{label}-pairs")
-    large = stage(_members(found), f"{label}-groups")
-    links, classes = _compared(pairs, None, None, prepare, compare, label, (1,))
-    named = _apart(large, classes, label)
-    if named.isEmpty():
-        return classes
-    # neighbours within groups come next: as many pairs as members, and most of what is alike is joined by them
-    order = Window.partitionBy("gid", F.pmod("node", F.lit(16))).orderBy("node")
-    member = F.struct("node", "class")
-    beside = named.withColumns({f"next_{k}": F.lead(member, k).over(order) for k in (1, 2)})
-    beside = beside.select("node", "class", F.explode(F.array("next_1", "next_2")).alias("next")).where(F.col("class") != F.col("next.class"))
-    beside = beside.select(F.col("node").alias("a"), F.col("next.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    beside = stage(beside.join(a, "a").join(b, "b").where(may_link("_a", "_b")).select("a", "b"), f"{label}-beside")
-    if not beside.isEmpty():
-        links, classes = _compared(beside, links, classes, prepare, compare, label, (1,))
-        named = _apart(large, classes, label)
-    # one side of a large group is dealt over blocks, each of which meets all of the other side
-    blocks = named.groupBy("gid").agg(F.ceil(F.count("*") / MEMBERS_PER_BLOCK).alias("blocks"))
-    rest = stage(named.join(blocks, "gid").join(nodes, "node"), f"{label}-members")
-    dealt = (F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    a, b = (rest.withColumn("block", x).select(*(F.col(c).alias(f"{c}_{side}") for c in (*rest.columns, "block"))) for x, side in zip(dealt, "ab", strict=True))
-    near = (F.col("gid_a") == F.col("gid_b")) & (F.col("block_a") == F.col("block_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
-    more = a.join(b, near & may_link("_a", "_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = stage(more.join(pairs.unionAll(beside), ["a", "b"], "left_anti"), f"{label}-rest")
-    return classes if more.isEmpty() else _compared(more, links, classes, prepare, compare, label, (1, 8))[1]
-
-
-def _members(found: DataFrame) -> DataFrame:
-    """(gid, node) of the groups; those that are part of another group count only there."""
-    told = found.where("members is not null")
-    own = told.select("gid", F.explode("members").alias("node"))
-    parts = told.where("size(members) = 0").select("gid", F.col("a").alias("part")).distinct()
-    within = own.withColumnRenamed("gid", "part").join(parts, "part").select("gid", "node")
-    alone = own.join(parts.select(F.col("part").alias("gid")).distinct(), "gid", "left_anti")
-    return alone.unionAll(within).distinct()
+    large = stage(found.where("gid <> 0").select("gid", F.col("a").alias("node")).distinct(), f"{label}-groups")
+    links = _compared(pairs, prepare, compare, label)
+    classes = connected_components(links)
+    for one_each in (True, False):
+        apart = _apart(large, classes, label)
+        if apart.isEmpty():
+            break
+        more = _between(apart, nodes, near, one_each).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = stage(more, f"{label}-more")
+        if more.isEmpty():
+            continue
+        new = _compared(more, prepare, compare, label)
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            classes = connected_components(links)
+        pairs, large = pairs.unionAll(more), apart.select("gid", "node")
+    return classes
+
+
+def _compared(pairs: DataFrame, prepare, compare, label: str) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    return stage(compare(pairs, prepare(stage(wanted, f"{label}-wanted"))), f"{label}-links")
 
 
 def _apart(large: DataFrame, classes: DataFrame, label: str) -> DataFrame:
@@ -203,31 +205,55 @@ def _apart(large: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     return stage(named.join(apart, "gid"), f"{label}-apart")
 
 
-def _compared(pairs: DataFrame, links: DataFrame | None, classes: DataFrame | None, prepare, compare, label: str, rounds: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """Links and components after comparing all pairs, but for those whose ends other links have joined meanwhile.
-
-    Each round takes so many pairs for each node, the last one all that are left.
-    """
-    todo = pairs
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    prepared = prepare(stage(wanted, f"{label}-wanted"))
-    for n, most in enumerate((*rounds, None)):
-        if n and todo.isEmpty():
-            break
-        if most is None:
-            chosen = todo
-        elif most == 1:
-            chosen = todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        else:
-            chosen = todo.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("nth") <= most).select("a", "b")
-        chosen = stage(chosen, f"{label}-chosen")
-        new = stage(compare(chosen, prepared), f"{label}-links")
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            classes = connected_components(links)
-        if most is None:
-            break
-        class_a, class_b = (classes.select(F.col("node").alias(s), F.col("component").alias(f"class_{s}")) for s in "ab")
-        left = todo.join(chosen, ["a", "b"], "left_anti").join(class_a, "a", "left").join(class_b, "b", "left")
-        todo = stage(left.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"), f"{label}-todo")
-    return links, classes
+def _between(apart: DataFrame, nodes: DataFrame, near: Near, one_each: bool) -> DataFrame:
+    """Pairs (a, b) of members of one group that are in different classes and near; if wanted, one for each pair of classes in a task."""
+    blocks = apart.groupBy("gid").agg(F.ceil(F.count("*") / MEMBERS_PER_BLOCK).cast("int").alias("__blocks"))
+    dealt = apart.join(nodes, "node").join(blocks, "gid").withColumn("__block", F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    dealt = dealt.withColumns({"__low": F.least("__block", "__other"), "__high": F.greatest("__block", "__other")})
+    key = ["gid", "__low", "__high"]
+    dealt = dealt.drop("__blocks", "__other").repartition(shuffle_partitions(apart.sparkSession), *key).sortWithinPartitions(*key)
+
+    def test(rows: pd.DataFrame) -> pd.DataFrame:
+        """Each row with the next, the next but one, and so on, as far as groups reach."""
+        run = np.flatnonzero(np.append(True, (rows[key].to_numpy()[1:] != rows[key].to_numpy()[:-1]).any(axis=1)))
+        left = np.repeat(np.append(run[1:], len(rows)), np.diff(np.append(run, len(rows)))) - np.arange(len(rows)) - 1
+        node, kind, block = (rows[c].to_numpy() for c in ("node", "class", "__block"))
+        within = (rows["__low"] == rows["__high"]).to_numpy()
+        passes = near({c: rows[c].to_numpy() for c in rows.columns})
+        at, step, out, waiting, held = np.arange(len(rows)), 0, [], [], 0
+        while len(at) or held:
+            step += 1
+            at = at[left[at] >= step]
+            i = at[(kind[at] != kind[at + step]) & (within[at] | (block[at] != block[at + step]))]
+            waiting.append((i, i + step))
+            held += len(i)
+            if held >= PAIRS_PER_STEP or not len(at):
+                i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                good = passes(i, j) if len(i) else np.zeros(0, bool)
+                out.append(np.stack([i[good], j[good]]))
+                waiting, held = [], 0
+        i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        if one_each and len(i):
+            low, high = np.minimum(kind[i], kind[j]), np.maximum(kind[i], kind[j])
+            order = np.lexsort((high, low))
+            fresh = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))
+            i, j = i[order][fresh], j[order][fresh]
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= ROWS_PER_RUN:
+                rows = pd.concat(held, ignore_index=True)
+                last = rows[key].to_numpy()[-1]
+                open_ = (rows[key].to_numpy() == last).all(axis=1)
+                if not open_.all():
+                    yield test(rows[~open_])
+                    held, n = [rows[open_]], int(open_.sum())
+        if held:
+            yield test(pd.concat(held, ignore_index=True))
+
+    return dealt.mapInPandas(meet, "a long, b long")

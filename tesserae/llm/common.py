@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.sources.staging import clear_staged, stage, stage_path
+from tesserae.sources.staging import clear_staged, stage, stage_path, stage_result, staged_for
 
-__all__ = ["IdFilter", "ascii_lower", "clear_staged", "columns_of", "shuffle_partitions", "small_batches", "stage", "stage_path", "text_or_empty"]
+__all__ = ["IdFilter", "ascii_lower", "clear_staged", "columns_of", "shuffle_partitions", "small_batches", "stage", "stage_path", "stage_result", "staged_for", "text_or_empty"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -17,9 +17,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes, so that very long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound what one Arrow batch holds, by rows and by bytes, so that very long texts don't add up in a worker. Tighter bounds that are set stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (now and now.isdigit() and 0 < int(now) < most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def text_or_empty(text_col: str) -> Column:

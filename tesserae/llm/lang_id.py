@@ -7,12 +7,14 @@ gets the language whose prototype has the largest cosine with it, after the mean
 of all prototypes, which is what languages have in common, was taken off both.
 
 Letters' vectors follow from the code point alone, so any worker makes the same
-ones. Sums are whole numbers, so prototypes don't depend on the order or on lost tasks.
+ones. Sums are exact whole numbers, so prototypes don't depend on the order or on lost tasks. N-grams get their vectors
+``GRAMS_AT_ONCE`` at a time, so memory doesn't grow with the n-grams of a text.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0;
 ties go to the language that sorts first; with nothing to learn from, every text
 gets ``und``; repeated rows get equal rows; an empty table gives an empty result; other columns
-of the input play no part.
+of the input play no part, and of those kept, lang_pred and score are replaced by the results. With more than ``MAX_LANGUAGES`` labels,
+those with the most rows are learnt (ties: the first by name).
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ UNKNOWN = "und"
 DIMENSIONS = 1024
 GRAM = 3
 ROWS_AT_ONCE = 128
+GRAMS_AT_ONCE = 4096
+MAX_LANGUAGES = 1000
 
 
 @lru_cache(1 << 14)
@@ -113,6 +117,20 @@ def gram_vectors(letters: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarra
     return out
 
 
+def bundled(owner: np.ndarray, number: np.ndarray, counts: np.ndarray, letters: np.ndarray, owners: int, dimensions: int) -> np.ndarray:
+    """For each owner the sum of its n-grams' vectors, as often as they count: exact, in blocks of n-grams."""
+    kind = np.float32 if counts.sum() < 1 << 24 else np.float64
+    out = np.zeros((owners, dimensions), kind)
+    order = np.argsort(number, kind="stable")
+    owner, number, counts = owner[order], number[order], counts[order]
+    for first in range(0, len(letters), GRAMS_AT_ONCE):
+        block = letters[first : first + GRAMS_AT_ONCE]
+        own = slice(*np.searchsorted(number, (first, first + len(block))))
+        weights = np.bincount(owner[own] * len(block) + number[own] - first, counts[own], owners * len(block)).astype(kind)
+        out += weights.reshape(owners, len(block)) @ gram_vectors(block, dimensions).astype(kind)
+    return out
+
+
 def _by_rows(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     for part in pieces_of_batch(batch.assign(text=batch["text"].fillna("")), chars=500_000):
         for k in range(0, len(part), ROWS_AT_ONCE):
@@ -127,18 +145,19 @@ def learn_prototypes(labelled: DataFrame, text_col: str = "text", label_col: str
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    most = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(most) > MAX_LANGUAGES:
+        rows = rows.where(F.col("lang").isin(most[:MAX_LANGUAGES]))
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in _by_rows(batch):
                 text, number, counts, letters = gram_counts(list(part["text"]))
-                vectors = gram_vectors(letters, dimensions).astype(np.float32)
                 langs, which = np.unique(part["lang"].to_numpy(str), return_inverse=True)
-                for k, lang in enumerate(langs.tolist()):
-                    own = which[text] == k
-                    weight = np.bincount(number[own], counts[own], len(letters)).astype(np.float32)
-                    sums[lang] = sums.get(lang, 0) + np.rint(weight @ vectors).astype(np.int64)
+                vectors = bundled(which[text], number, counts, letters, len(langs), dimensions)
+                for lang, vector in zip(langs.tolist(), vectors, strict=True):
+                    sums[lang] = sums.get(lang, 0) + np.rint(vector).astype(np.int64)
         if sums:
             yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
@@ -151,8 +170,12 @@ def learn_prototypes(labelled: DataFrame, text_col: str = "text", label_col: str
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of each row (its id unless given), lang_pred and score: the cosine with the best prototype, at least 0."""
     small_batches(docs.sparkSession)
-    keep = [id_col] if keep is None else keep
-    rows = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("__text"))
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in ("lang_pred", "score")]
+    inner = [f"k{n}" for n in range(len(keep))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)))
+    text = inner[keep.index(text_col)] if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else "text"
+    if text == "text":
+        rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)), F.col(f"`{text_col}`").cast("string").alias("text"))
     unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
     common = unit.mean(axis=0) if len(unit) > 1 else np.zeros(prototypes.shape[1])
     apart = unit - common
@@ -161,23 +184,21 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, id_co
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _by_rows(pd.DataFrame({"text": batch["__text"]})):
-                yield pd.DataFrame(columns_of(batch, keep, part.index) | _tell(list(part["text"]), languages, apart, shared))
+            for part in _by_rows(pd.DataFrame({"text": batch[text]})):
+                yield pd.DataFrame(columns_of(batch, inner, part.index) | _tell(list(part["text"]), languages, apart, shared))
 
-    schema = docs.select(*keep).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.mapInPandas(tell, f"{fields}, lang_pred string, score double")
+    fields = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in inner)
+    told = rows.mapInPandas(tell, f"{fields}lang_pred string, score double")
+    return told.select(*(F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)), "lang_pred", "score")
 
 
 def _tell(texts: list[str], languages: list[str], apart: np.ndarray, shared: np.ndarray) -> dict[str, object]:
     text, number, counts, letters = gram_counts(texts)
-    weights = np.zeros((len(texts), len(letters)), np.float32)
-    weights[text, number] = counts
-    vectors = weights @ gram_vectors(letters, apart.shape[1]).astype(np.float32)
+    vectors = bundled(text, number, counts, letters, len(texts), apart.shape[1])
     vectors -= (vectors @ shared)[:, None] * shared[None, :]
     size = np.linalg.norm(vectors, axis=1)
     cosines = (vectors @ apart.T) / np.maximum(size, 1e-12)[:, None]
-    known = (weights.sum(axis=1) > 0) & (len(languages) > 0)
+    known = (np.bincount(text, minlength=len(texts)) > 0) & (len(languages) > 0)
     best = cosines.argmax(axis=1) if len(languages) else np.zeros(len(texts), int)
     score = np.clip(cosines.max(axis=1, initial=-1), 0, 1)
     return {"lang_pred": [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], "score": np.where(known, score, 0).astype(float)}

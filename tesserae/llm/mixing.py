@@ -1,169 +1,157 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of equally many documents. A source of weight m / H gets
-for its block k (from 0) the release time floor(k H / m) and the deadline
-ceil((k + 1) H / m); in every slot, of the released blocks the one with the
-earliest deadline is next. Then each source's count of blocks is at every time less than
-one block from its target share. Such a schedule repeats after H slots, so the
-driver makes one period for the sources that still have blocks, and the slot of
-any block follows by arithmetic. When a source runs out, the next phase starts
-with the others' weights scaled up.
+Each source is cut into blocks of equally many documents. The target of a source is its share of the slots by weight among the
+sources that still have blocks; when one runs out, the others' shares grow. With t(v) as the slots used when every source has had v blocks for
+each unit of its weight, or all it has, block k (from 0) of a source of weight m gets the release time floor(t(k / m)) and the deadline
+ceil(t((k + 1) / m)). In every slot, of the released blocks the one with the
+earliest deadline is next (ties: by source). Then each source's count of blocks is at every time less than
+one block from its target, for any number of sources and blocks, as times are exact whole-number arithmetic on the weights.
+
+The schedule is one stream of slots, made by one task that holds one block of each source and writes (source, block, slot) as it
+goes, about a million blocks in a few seconds. Documents join it by source and block.
 
 Defined results: a null source is the source of the empty name; null texts are
 documents like others; rows that repeat an id are each scheduled; an empty table gives an
-empty result; other columns come through only where they are asked for. Beyond
-``MAX_SOURCES`` sources, sources share a queue by hash; all rows are scheduled all the same.
+empty result; other columns play no part, whatever their names, and ``in_mixed_order`` returns them as they are.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
-import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, shuffle_partitions, stage
+from .common import shuffle_partitions, small_batches, stage
 
-MAX_SOURCES = 1024
-PERIOD = 1024
 ROWS_PER_BUCKET = 4096
-
-
-def period_slots(shares: dict[str, int]) -> dict[str, list[int]]:
-    """For whole shares that sum to the period, the slot of each block of one period."""
-    period = sum(shares.values())
-    done, slots = dict.fromkeys(shares, 0), {s: [] for s in shares}
-    later = [(0, s) for s in sorted(shares)]
+SLOTS_AT_ONCE = 50_000
+
+
+class Targets:
+    """When each source is due how many blocks: exact, from whole weights and numbers of blocks. Asked for blocks in ascending order."""
+
+    def __init__(self, blocks: dict[str, int], weights: dict[str, int]):
+        self.weights = weights
+        order = sorted((Fraction(n, weights[s]), s) for s, n in blocks.items())
+        self.phase = dict.fromkeys(blocks, 0)
+        # until all sources have had ends[k] blocks for each unit of weight, slots are done[k] + left[k] * that number
+        self.ends, self.done, self.left = [], [0], [sum(weights.values())]
+        for end, s in order:
+            self.ends.append((end.numerator, end.denominator))
+            self.done.append(self.done[-1] + blocks[s])
+            self.left.append(self.left[-1] - weights[s])
+
+    def time(self, source: str, block: int) -> tuple[int, int]:
+        """Slots used when this source is due ``block`` blocks: a numerator and a denominator."""
+        weight, phase = self.weights[source], self.phase[source]
+        while phase < len(self.ends) and self.ends[phase][0] * weight < block * self.ends[phase][1]:
+            phase += 1
+        self.phase[source] = phase
+        return self.done[phase] * weight + self.left[phase] * block, weight
+
+
+def pfair_slots(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline), slot by slot, for whole weights."""
+    blocks = {s: n for s, n in blocks.items() if n}
+    targets = Targets(blocks, {s: weights[s] for s in blocks})
+
+    def window(source: str, block: int) -> tuple[int, int]:
+        (a, m), (b, _) = targets.time(source, block), targets.time(source, block + 1)
+        return a // m, -(-b // m)
+
+    later = [(*window(s, 0), s, 0) for s in blocks]
     heapq.heapify(later)
-    ready: list[tuple[int, str]] = []
-    for slot in range(period):
+    ready: list[tuple[int, str, int, int]] = []
+    for slot in range(sum(blocks.values())):
         while later and later[0][0] <= slot:
-            s = heapq.heappop(later)[1]
-            heapq.heappush(ready, (-(-(done[s] + 1) * period // shares[s]), s))
-        _, s = heapq.heappop(ready)
-        slots[s].append(slot)
-        done[s] += 1
-        if done[s] < shares[s]:
-            heapq.heappush(later, (done[s] * period // shares[s], s))
-    return slots
-
-
-def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of at least 1 that sum to the period, nearest to the weights by largest remainder."""
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * period for s, w in weights.items()}
-    shares = {s: max(1, int(x)) for s, x in exact.items()}
-    gap = period - sum(shares.values())
-    order = sorted(weights, key=lambda s: (shares[s] - exact[s], s), reverse=gap < 0)
-    if spare < 0:
-        raise ValueError("the period is shorter than the number of sources")
-    while gap:
-        for s in order:
-            if gap > 0 or shares[s] > 1:
-                step = 1 if gap > 0 else -1
-                shares[s] += step
-                gap -= step
-            if not gap:
-                break
-    return shares
-
-
-class Schedule:
-    """Phases of a periodic schedule: for each, its first slot and each source's first block, share and slots."""
-
-    def __init__(self, blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD):
-        self.period, self.phases = max(period, len(blocks)), []
-        left, gone, start = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0
-        while left:
-            shares = whole_shares({s: weights[s] for s in left}, self.period)
-            slots = period_slots(shares)
-            # the phase ends when the first source has had its last block
-            ends = {s: (n - 1) // shares[s] * self.period + slots[s][(n - 1) % shares[s]] + 1 for s, n in left.items()}
-            end = min(ends.values())
-            self.phases.append((start, {s: (gone[s], shares[s], np.array(slots[s], np.int64)) for s in left}))
-            for s in list(left):
-                had = end // self.period * shares[s] + int(np.searchsorted(slots[s], end % self.period))
-                had = min(had, left[s])
-                gone[s] += had
-                left[s] -= had
-                if not left[s]:
-                    del left[s]
-            start += end
-        self.by_source = {s: [(p[0], *p[1][s]) for p in self.phases if s in p[1]] for s in blocks}
-
-    def place(self, source: str, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slot, release time and deadline of blocks of a source."""
-        phases = self.by_source[source]
-        which = np.searchsorted([p[1] for p in phases], block, side="right") - 1
-        slot, release, deadline = (np.empty(len(block), np.int64) for _ in range(3))
-        for k, (start, first, share, slots) in enumerate(phases):
-            own = which == k
-            n = block[own] - first
-            slot[own] = start + n // share * self.period + slots[n % share]
-            release[own] = start + n * self.period // share
-            deadline[own] = start - (-(n + 1) * self.period // share)
-        return slot, release, deadline
-
-
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    weights: dict[str, float] | None = None,
-    exponent: float = 0.7,
-    block_docs: int = 8,
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """doc_id, source (as queued), block, slot, release, deadline and position, with the columns to carry.
+            release, deadline, s, k = heapq.heappop(later)
+            heapq.heappush(ready, (deadline, s, k, release))
+        deadline, s, k, release = heapq.heappop(ready)
+        yield s, k, slot, release, deadline
+        if k + 1 < blocks[s]:
+            release, deadline = window(s, k + 1)
+            heapq.heappush(later, (release, deadline, s, k + 1))
+
+
+def whole_weights(sizes: dict[str, int], weights: dict[str, float] | None, exponent: float) -> dict[str, int]:
+    """Targets as whole numbers: the weights given, exactly (1 where none is, a billionth at least), or sizes to a power, to a thousandth."""
+    if weights is None:
+        return {s: max(1, round(1000 * n**exponent)) for s, n in sizes.items()}
+    exact = {s: max(Fraction(weights.get(s, 1)).limit_denominator(10**9), Fraction(1, 10**9)) for s in sizes}
+    common = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * common) for s, x in exact.items()}
+
+
+def schedule(counts: DataFrame, weights: dict[str, float] | None, exponent: float, block_docs: int) -> DataFrame:
+    """source, block, slot, release, deadline for a table of sources and their numbers of rows n."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            sizes.update(zip(batch["source"], batch["n"].tolist(), strict=True))
+        held = []
+        for row in pfair_slots({s: -(-n // block_docs) for s, n in sizes.items()}, whole_weights(sizes, weights, exponent)):
+            held.append(row)
+            if len(held) == SLOTS_AT_ONCE:
+                yield pd.DataFrame(held, columns=columns)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns)
+
+    columns = ["source", "block", "slot", "release", "deadline"]
+    return stage(counts.coalesce(1).mapInPandas(run, "source string, block long, slot long, release long, deadline long"), "mixing-slots")
+
+
+def _scheduled(rows: DataFrame, weights: dict[str, float] | None, exponent: float, block_docs: int) -> DataFrame:
+    """The rows (id, source and others) with block, slot, release, deadline and position."""
+    counts = stage(rows.groupBy("source").agg(F.count("*").alias("n")), "mixing-counts")
+    slots = schedule(counts, weights, exponent, block_docs)
+    # a document's number within its source: buckets of bounded size, whose first numbers come from their counts
+    parts = counts.select("source", F.ceil(F.col("n") / ROWS_PER_BUCKET).alias("parts"))
+    rows = rows.join(parts, "source").withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    sums = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stage(sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "mixing-bases")
+    within = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("id"))
+    numbered = rows.withColumn("nth", within - 1).join(bases, ["source", "bucket"]).withColumn("nth", F.col("nth") + F.col("base"))
+    numbered = numbered.withColumn("block", F.floor(F.col("nth") / block_docs)).drop("bucket", "base")
+    placed = numbered.join(slots, ["source", "block"])
+    return placed.withColumn("position", F.col("slot") * block_docs + F.col("nth") % block_docs).drop("nth")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, exponent: float = 0.7, block_docs: int = 8) -> DataFrame:
+    """doc_id, source, block, slot, release, deadline and position.
 
     Targets are ``weights`` by source; else document counts to the power ``exponent``.
     ``position`` orders all documents; those of one block follow one another.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), *[F.col(c) for c in carry])
-    counts = rows.groupBy("__source").agg(F.count("*").alias("n"))
-    if counts.count() > MAX_SOURCES:
-        rows = rows.withColumn("__source", F.concat(F.lit("#"), F.pmod(F.xxhash64("__source"), F.lit(MAX_SOURCES)).cast("string")))
-        counts = rows.groupBy("__source").agg(F.count("*").alias("n"))
-    sizes = {r["__source"]: r["n"] for r in counts.collect()}  # at most MAX_SOURCES rows
-    blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
-    targets = {s: max((weights or {}).get(s, 1.0), 1e-9) if weights is not None else n**exponent for s, n in sizes.items()}
-    schedule = Schedule(blocks, targets)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    placed = _scheduled(rows, weights, exponent, block_docs)
+    return placed.select(F.col("id").alias("doc_id"), "source", "block", "slot", "release", "deadline", "position")
 
-    # a document's number within its source: buckets of bounded size, whose first numbers come from their counts
-    parts = {s: -(-n // ROWS_PER_BUCKET) for s, n in sizes.items()}
-    many = F.create_map(*[F.lit(x) for s, n in parts.items() for x in (s, n)]) if parts else F.lit(None)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__id"), F.try_element_at(many, F.col("__source")) if parts else F.lit(1)))
-    sums = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stage(sums.select("__source", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base")), "mixing-bases")
-    within = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__id"))
-    numbered = rows.withColumn("__nth", within - 1).join(bases, ["__source", "__bucket"]).withColumn("__nth", F.col("__nth") + F.col("__base"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            nth, source = batch["__nth"].to_numpy(np.int64), batch["__source"].to_numpy(object)
-            out = {c: np.zeros(len(batch), np.int64) for c in ("slot", "release", "deadline")}
-            for s in pd.unique(source):
-                own = source == s
-                for c, x in zip(out, schedule.place(s, nth[own] // block_docs), strict=True):
-                    out[c][own] = x
-            told = columns_of(batch, ["__id"]) | {"source": source, "block": nth // block_docs, **out, "position": out["slot"] * block_docs + nth % block_docs}
-            told["doc_id"] = told.pop("__id")
-            yield pd.DataFrame(told | {f"carried_{c}": x for c, x in columns_of(batch, carry).items()})
-
-    schema = f"doc_id {rows.schema['__id'].dataType.simpleString()}, source string, block long, slot long, release long, deadline long, position long"
-    schema += "".join(f", `carried_{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return numbered.select("__id", "__source", "__nth", *carry).mapInPandas(place, schema)
-
-
-def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
-    """All rows and columns of ``docs``, range-partitioned and sorted by their position in the mixture."""
-    mixed = mix_sources(docs, id_col, source_col, carry=tuple(docs.columns), **how)
-    mixed = mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), "position").sortWithinPartitions("position")
-    return mixed.select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
+
+def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, exponent: float = 0.7, block_docs: int = 8) -> DataFrame:
+    """All rows and columns of ``docs``, range-partitioned and sorted by their position in the mixture.
+
+    Rows that come from files are told apart by file and row, and only ids and sources move for the schedule; others move whole.
+    """
+    small_batches(docs.sparkSession)
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    key = [F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")]
+    try:
+        at = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+        placed = _scheduled(docs.select(*key, *at), weights, exponent, block_docs).select("file", "row", "position")
+        placed = docs.select(doc, *at).join(placed.hint("shuffle_hash"), ["file", "row"])
+    except AnalysisException:
+        placed = _scheduled(docs.select(*key, doc), weights, exponent, block_docs)
+    mixed = placed.select("doc", "position").repartitionByRange(shuffle_partitions(docs.sparkSession), "position").sortWithinPartitions("position")
+    return mixed.select("doc.*")
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,14 @@ and subset, and the pair shares one. Subsets without any element are signed only
 by sets with at most k parts in use: with more, one of the agreed parts holds an element.
 
 Sets that share a signature are linked when their exact similarity reaches the
-threshold: first each with one smaller member of its groups; then components
+threshold: first each with the smallest member of each of its groups; then components
 of the links found collapse the groups, and what is still apart within
 one group is compared (see ``collide``). Necessary
 conditions (sizes, and parity sketches whose distance never exceeds the sets')
 come before every exact comparison. So no group's pairs are emitted as such, and
 no link between components is lost.
 
-Sets are told apart by 64-bit digests of 64-bit shingle hashes.
+Sets are told apart by 64-bit digests of 64-bit shingle hashes: sets whose digests collide, which is improbable, would count as equal.
 
 Defined results: texts that are null, empty or blank have the empty set and link
 with nothing; rows that repeat an id are one node of the graph only if their
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collide import SIGNATURES_PER_BUCKET, candidates, linked_components
-from .common import IdFilter, shuffle_partitions, small_batches, stage, text_or_empty
+from .common import IdFilter, shuffle_partitions, small_batches, stage, stage_result, text_or_empty
 from .shingles import mix, set_digests, shingle_sets
 from .tokens import pieces_of_batch
 
@@ -138,8 +138,12 @@ def _sets(texts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def part_enum_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), set_id (equal for equal shingle sets)."""
+    small_batches(docs.sparkSession)
+    return stage_result(lambda: _components(docs, id_col, text_col, width, num, den), docs.sparkSession, "partenum")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -166,7 +170,7 @@ def part_enum_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scheme = Scheme(num, den)
     found = stage(candidates(rows.select("text"), signed, buckets), "partenum-candidates")
     classes = linked_components(
-        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: _verified(pairs, sets, num, den), "partenum"
+        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: _verified(pairs, sets, num, den), "partenum"
     )
 
     placed = nodes.select("node", "doc_id").join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -187,6 +191,41 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
     return (F.least(a, b) * den >= F.greatest(a, b) * num) & (flips * (den + num) <= (a + b) * (den - num))
 
 
+def _near(told: dict[str, np.ndarray], num: int, den: int):
+    """The same for rows given as arrays."""
+    n, words = told["n"].astype(np.int64), np.array([len(s) for s in told["sketch"]], np.int64)
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sketches(width: int) -> tuple[np.ndarray, np.ndarray]:
+        """All sketches of this many words and more folded to it, and the rows they are in."""
+        if width not in folded:
+            place, parts = np.zeros(len(words), np.int64), []
+            for w in np.unique(words[words >= width]).tolist():
+                own = np.flatnonzero(words == w)
+                place[own] = sum(map(len, parts)) + np.arange(len(own))
+                told_as = np.stack([told["sketch"][k] for k in own]).astype(np.int64).view(np.uint64)  # bits of signed numbers count wrongly
+                while told_as.shape[1] > width:
+                    half = told_as.shape[1] // 2
+                    told_as = told_as[:, :half] ^ told_as[:, half:]
+                parts.append(told_as)
+            folded[width] = np.concatenate(parts), place
+        return folded[width]
+
+    def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        good = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+        width = np.minimum(words[i], words[j])
+        for w in np.unique(width[good]).tolist():
+            rows, place = sketches(w)
+            own = np.flatnonzero(good & (width == w))
+            for part in np.array_split(own, -(-len(own) * w // (1 << 22))):
+                x, y = i[part], j[part]
+                flips = np.bitwise_count(rows[place[x]] ^ rows[place[y]]).sum(axis=1, dtype=np.int64)
+                good[part] = flips * (den + num) <= (n[x] + n[y]) * (den - num)
+        return good
+
+    return test
+
+
 def _needed_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(node, elements) of the nodes wanted, from one document of each."""
     let = IdFilter(wanted.join(nodes.select("node", "doc_id"), "node"), IdFilter.cell("doc_id"))

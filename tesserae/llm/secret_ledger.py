@@ -90,9 +90,11 @@ def read_ledger(spark: SparkSession, ledger: str, rule_version: str) -> DataFram
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scan_history(docs, stage_path(spark, "ledger"), "doc_id")
-    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
+    """All documents in two arrivals on one ledger: the second scans only blobs that the first didn't hold."""
+    docs, ledger = spark.read.parquet(f"{sf_dir}/documents.parquet"), stage_path(spark, "ledger")
+    arrival = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2, F.lit(0))
+    first, second = (scan_history(docs.where(arrival == k), ledger, "doc_id") for k in (0, 1))
+    return first.unionAll(second).select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "blob")
 
 
 QUERIES = {"op7_secret_ledger": op7_secret_ledger}

@@ -33,17 +33,18 @@ from tokenizers import Tokenizer
 from .common import small_batches, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.json"
-# A space before white space or at the end: such texts are not cut into chunks.
-_UNEVEN = re.compile(r" (?:\s|$|\Z)|\A ")
+# A space before white space: texts with one, and those that begin or end with a space, are not cut into chunks.
+_UNEVEN = tuple(" " + chr(c) for c in range(1 << 16) if chr(c).isspace())
+_UNEVEN_ASCII = tuple(x for x in _UNEVEN if x.isascii())
 # From this character on, libraries may differ in the Unicode version by which they tell letters.
 PLAIN_SCRIPTS = "\u0530"
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS, CACHED_VALUES = 1_000_000, 1 << 25
 
 
 class Gathered:
-    """Arrays per chunk, kept end to end, for chunks numbered in order of arrival."""
+    """Arrays per chunk, kept end to end, for chunks numbered in order of arrival; ``fill`` gives them end to end, and the length of each."""
 
-    def __init__(self, fill: Callable[[list[str]], list[np.ndarray]], dtype):
+    def __init__(self, fill: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype):
         self.fill, self.dtype = fill, dtype
         self.clear()
 
@@ -64,20 +65,18 @@ class Gathered:
         self.first.new, self.inner.new = [], []
         if not new:
             return
-        parts = self.fill([s for _, s in new])
-        need = self.used + sum(map(len, parts))
+        flat, lengths = self.fill([s for _, s in new])
+        need = self.used + len(flat)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(need - len(self.flat), len(self.flat)), self.dtype)])
         count = self.first.total[0]
         if count > len(self.start):
             more = np.zeros(max(count - len(self.start), len(self.start)), np.int64)
             self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter((n for n, _ in new), np.int64, len(new))
         self.length[at] = lengths
         self.start[at] = self.used + np.cumsum(lengths) - lengths
-        if parts:
-            self.flat[self.used : need] = np.concatenate(parts)
+        self.flat[self.used : need] = flat
         self.used = need
 
     def gather(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +114,8 @@ class BytePairs:
         self.special = sorted(added, key=len, reverse=True)
         self.vocab = {bytes(map(byte_of.__getitem__, s)): i for s, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if s not in added}
         self.bytes_of = {i: s for s, i in self.vocab.items()}
+        self.token_bytes = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.token_bytes[list(self.bytes_of)] = [len(x) for x in self.bytes_of.values()]
         # ids rank the merges in this vocabulary, so the ranked encoder gives the same ids for a piece
         self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.vocab, special_tokens={})
         self.split = regex.compile(public_tokenizers.PATTERN).findall
@@ -130,13 +131,27 @@ class BytePairs:
         self.long_ends = np.unique(np.array([packed(s[-8:]) for s in self.vocab if len(s) > 8], np.uint64))
         self.memo_key, self.memo_ok = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The library's ids; texts of the plain scripts, on which both agree, go to the ranked encoder."""
-        out = [np.array(self.ranked.encode_ordinary(t), np.uint32) if not t or max(t) < PLAIN_SCRIPTS else None for t in texts]
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(rest, self.library_ids([texts[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of chunks, end to end, and the number of each.
+
+        Chunks that begin with a space are cut from texts where the pre-tokenizer cuts too, so they are encoded in one go and told apart by
+        the bytes of the tokens. Those of the plain scripts, on which both agree, go to the ranked encoder.
+        """
+        out, counts = [], np.zeros(len(chunks), np.int64)
+        kinds = np.fromiter(((not c.startswith(" ")) + 2 * (not c.isascii() and max(c) >= PLAIN_SCRIPTS) for c in chunks), np.int64, len(chunks))
+        place = np.zeros(len(chunks), np.int64)
+        for kind in np.unique(kinds).tolist():
+            own = np.flatnonzero(kinds == kind)
+            for group in [own] if kind in (0, 2) else own[:, None]:
+                text = "".join([chunks[k] for k in group])
+                ids = np.array(self.ranked.encode_ordinary(text) if kind < 2 else self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+                ends = np.cumsum([len(chunks[k].encode()) for k in group])
+                upto = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, side="right")
+                counts[group], place[group] = np.diff(upto, prepend=0), sum(map(len, out)) + np.append(0, upto[:-1])
+                out.append(ids.astype(np.uint32))
+        flat = np.concatenate(out) if out else np.zeros(0, np.uint32)
+        at = np.repeat(place - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return flat[at], counts
 
     def library_ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -272,12 +287,13 @@ class BytePairs:
                 base = int(out[-1][-1])
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
-    def chunk_prefixes(self, chunks: list[str]) -> list[np.ndarray]:
+    def chunk_prefixes(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > CACHED_CHUNKS:
             self.pieces.clear()
         pieces = [self.pretokenize(c) if c else [] for c in chunks]
         self.learn([p for p in {p for own in pieces for p in own} if p not in self.pieces])
-        return [self.plain_prefixes(c, own) if c else np.zeros(0, np.int32) for c, own in zip(chunks, pieces, strict=True)]
+        parts = [self.plain_prefixes(c, own) if c else np.zeros(0, np.int32) for c, own in zip(chunks, pieces, strict=True)]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -306,13 +322,15 @@ def _store(name: str, kind: str) -> Gathered:
     if (name, kind) not in _stores:
         _stores[name, kind] = Gathered(model.ids, np.uint32) if kind == "ids" else Gathered(model.chunk_prefixes, np.int32)
     store = _stores[name, kind]
-    if store.first.total[0] > CACHED_CHUNKS:
+    if store.first.total[0] > CACHED_CHUNKS or len(store.flat) > CACHED_VALUES:
         store.clear()
     return store
 
 
 def _even(text: str, model: BytePairs) -> bool:
-    return _UNEVEN.search(text) is None and not any(s in text for s in model.special)
+    if text[0] == " " or text[-1] == " " or any(s in text for s in model.special):
+        return False
+    return not any(x in text for x in (_UNEVEN_ASCII if text.isascii() else _UNEVEN))
 
 
 def batch_ids(texts: list[str], name: str = VOCABULARY) -> list[np.ndarray]:
@@ -416,7 +434,8 @@ def pieces_of_batch(batch: pd.DataFrame, text: str = "text", chars: int = 2_000_
 
 
 def op10_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_table=False)
+    """Counts and the table of all prefixes' counts of every document."""
+    return prefix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op10_prefix_counts": op10_prefix_counts}

@@ -15,7 +15,8 @@ def documents(spark, rows=None, extra=True):
     rows = rows if rows is not None else [(k, t, rng.choice(["en", "fr", None]), rng.choice(["a", "a", "b", None]), len(t or "")) for k, t in enumerate(texts)] + [(6, base[0], "en", "a", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     if extra:  # columns with names that operators use themselves
-        return spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], f"{schema}, node string, digit int, sim double")
+        names = ("node", "file", "row", "score", "lang_pred", "n_lines", "queue", "__source", "id", "text_", "class", "gid", "low", "position", "payload", "blob", "c0", "k0")
+        return spark.createDataFrame([(*r, *(f"{c} of {r[0]}" for c in names)) for r in rows], schema + "".join(f", `{c}` string" for c in names))
     return spark.createDataFrame(rows, schema)
 
 
@@ -25,3 +26,9 @@ def empty(spark):
 
 def texts(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
+
+
+def long_text(words=300_000):
+    """About 2 MB with few repeats."""
+    rng = random.Random(3)
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(words)) + "\n" + "\n".join(f"line {k} of many {k * k} ones" for k in range(20_000))

@@ -1,8 +1,10 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tesserae.llm import fuzzy_lines, tokens
 
+from .fixtures import documents, empty
 from .test_operators import brute_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,3 +39,18 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
+
+
+@pytest.mark.parametrize("make", [documents, empty])
+def test_stages_on_odd_rows(spark, tmp_path, make):
+    docs = make(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
+        if k == 4:
+            break
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        # what stays has its own values in all further columns
+        assert after.where("node <> concat('node of ', doc_id) or score <> concat('score of ', doc_id) or n_lines <> concat('n_lines of ', doc_id)").count() == 0
+        docs = after
+    assert (after.count() == 0) == (make is empty)
