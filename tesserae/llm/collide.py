@@ -2,7 +2,7 @@
 
 Nodes are 64-bit numbers. Each has any number of 64-bit signatures; two nodes that share one are compared unless links
 have already put them in one component. First, each node is compared with the smallest member of each of its groups. Components
-of these links collapse the groups. Of a group that still holds several components, one pair of members
+of these links collapse the groups. Of groups that still hold several components, if some are large, one pair of members
 for each pair of components is compared next, and then all pairs of members that are still apart. The pairs of a group are never emitted
 as such: a cheap necessary condition is tested within the task, on arrays, and only pairs that meet it leave the task.
 
@@ -179,8 +179,11 @@ def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, c
     classes = connected_components(links)
     for one_each in (True, False):
         apart = _apart(large, classes, label)
-        if apart.isEmpty():
+        most = apart.groupBy("gid").count().agg(F.max("count")).first()[0]
+        if most is None:
             break
+        if one_each and most <= MEMBERS_PER_BLOCK:  # no large group: all pairs at once
+            continue
         more = _between(apart, nodes, near, one_each).distinct().join(pairs, ["a", "b"], "left_anti")
         more = stage(more, f"{label}-more")
         if more.isEmpty():

@@ -509,38 +509,55 @@ def test_edit_distance():
 
 def test_simhash_by_definition():
     lines = [b"one two two three", b"a b c d " * 200, "x y 日本語 z".encode(), b"q" * 40]
-    blocks, used = fuzzy_lines.simhashes(lines)
+    blocks, shares = fuzzy_lines.simhashes(lines)
     for k, line in enumerate(lines):
         words = [w[i : i + 12] for w in line.replace("日本語".encode(), " 日 本 語".encode()).split() for i in range(0, len(w), 12)]
-        votes, seen = np.zeros((fuzzy_lines.BLOCKS, fuzzy_lines.BITS), np.int64), set()
+        votes, letters = np.zeros((fuzzy_lines.BLOCKS, fuzzy_lines.BITS), np.int64), [0] * fuzzy_lines.BLOCKS
         for w in words:
             h = int(shingles.mix(shingles.word_hashes([w])[0])[0])
             block = (h >> 40) % fuzzy_lines.BLOCKS
-            seen.add(block)
+            letters[block] += len(w)
             votes[block] += [min(len(w), 9) ** 2 * (1 if h >> b & 1 else -1) for b in range(fuzzy_lines.BITS)]
-        assert set(np.flatnonzero(used[k])) == seen
+        assert shares[k].tolist() == [-(-255 * x // sum(letters)) for x in letters]
         assert blocks[k].tolist() == [sum(int(v > 0) << b for b, v in enumerate(row)) for row in votes]
 
 
 def line_links(lines):
     """All pairs of distinct normalised lines that link, by the definition."""
-    blocks, used = fuzzy_lines.simhashes(lines)
+    blocks, shares = fuzzy_lines.simhashes(lines)
     size = [fuzzy_lines.characters(x) for x in lines]
     for i in range(len(lines)):
         for j in range(i):
-            same = [k for k in range(fuzzy_lines.BLOCKS) if blocks[i, k] == blocks[j, k] and used[i, k] == used[j, k]]
-            if len(same) < 2 or not used[i, same].any() or sum(int(x).bit_count() for x in blocks[i] ^ blocks[j]) > fuzzy_lines.DISTANCE:
+            same = [k for k in range(fuzzy_lines.BLOCKS) if blocks[i, k] == blocks[j, k] and (shares[i, k] > 0) == (shares[j, k] > 0)]
+            if len(same) < 2 or not shares[i, same].any() or sum(int(x).bit_count() for x in blocks[i] ^ blocks[j]) > fuzzy_lines.DISTANCE:
+                continue
+            if sum(min(shares[i, k], shares[j, k]) for k in same) < fuzzy_lines.LEAST_SHARE:
                 continue
             if 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]) and fuzzy_lines.edit_similar(lines[i].decode(), lines[j].decode()):
                 yield i, j
 
 
+def test_nearness_of_lines_is_the_same_in_both_forms(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefg"), rng.integers(1, 9))) for _ in range(60)]
+    base = [" ".join(rng.choice(words, n)) for n in (3, 8, 30)]
+    lines = [" ".join([w if rng.random() < 0.9 else str(rng.choice(words)) for w in base[k % 3].split()]).encode() for k in range(60)]
+    low, high, share = fuzzy_lines.packed(*fuzzy_lines.simhashes(lines))
+    told = {"low": low, "high": high, "share": share, "size": np.array([len(x) for x in lines])}
+    df = spark.createDataFrame(pd.DataFrame({"node": np.arange(60), **told}))
+    a, b = (df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns)) for x in "ab")
+    want = {(r["node_a"], r["node_b"]) for r in a.join(b, fuzzy_lines._may_link("_a", "_b")).collect()}
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    good = fuzzy_lines._near(told)(i, j)
+    assert set(zip(i[good].tolist(), j[good].tolist())) == want and 60 < len(want) < 3600
+
+
 def test_every_link_of_lines_shares_a_signature():
     rng = np.random.default_rng(8)
     words = [f"w{a}{b}" * rng.integers(1, 4) for a in "abcdefgh" for b in "ijklmnop"]
     base = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 5, 8, 12, 20, 40) for _ in range(4)]
     lines = sorted({x.encode() for x in base} | {" ".join([w if rng.random() < 0.92 else str(rng.choice(words)) for w in x.split()]).encode() for x in base * 6})
-    low, high = fuzzy_lines.packed(*fuzzy_lines.simhashes(lines))
+    low, high, _ = fuzzy_lines.packed(*fuzzy_lines.simhashes(lines))
     owner, sigs = fuzzy_lines.line_signatures(low, high, np.array([len(x) for x in lines]))
     own = [set(sigs[owner == k].tolist()) for k in range(len(lines))]
     links = list(line_links(lines))
