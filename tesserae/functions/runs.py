@@ -55,7 +55,3 @@ def prefetch_box(x: Column, y: Column, radius: Column, margin: float, dx: Column
     high = lambda p, d: F.least(F.lit(ARENA_HALF), p + radius + margin + F.greatest(F.lit(0.0), d))
     return F.struct(low(x, lx).alias("min_x"), low(y, ly).alias("min_y"), high(x, lx).alias("max_x"), high(y, ly).alias("max_y"))
 
-
-def streaming_extent(radius: Column) -> Column:
-    """Half the height of the view of a hole."""
-    return F.greatest(F.lit(700.0), radius * 4)

@@ -42,27 +42,27 @@ def span_cells(spans: DataFrame) -> DataFrame:
 def capsule_spans(shapes: DataFrame) -> DataFrame:
     """Spans of circles swept from (x, y) to (x2, y2) with a radius; a circle at rest has equal ends.
 
-    All other columns come through. On each row the span is that of either end's disc and of the band between them.
+    All other columns come through. A row meets each disc on the way in a span, and the ends of these spans move along the way as concave and convex
+    functions, whose extremes have a closed form: right and left are furthest where the row lies at a fixed height in the disc, or at an end of the way.
     """
-    x, y, x2, y2, r = (F.col(c) for c in ("x", "y", "x2", "y2", "radius"))
-    rows = _rows(shapes, _first(F.least(y, y2) - r), _last(F.greatest(y, y2) + r))
-    cy = cell_center(F.col("gy"))
-    half = lambda d: F.sqrt(F.greatest(F.lit(0.0), r * r - d * d))
-    size = F.hypot(x2 - x, y2 - y)
-    nx, ny = F.try_divide(y - y2, size) * r, F.try_divide(x2 - x, size) * r
-    corners = [(x + nx, y + ny), (x2 + nx, y2 + ny), (x2 - nx, y2 - ny), (x - nx, y - ny)]
-    lows, highs = [], []
-    for px, py in ((x, y), (x2, y2)):
-        near = F.abs(cy - py) <= r
-        lows.append(F.when(near, px - half(cy - py)))
-        highs.append(F.when(near, px + half(cy - py)))
-    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
-        between = (size > 0) & (cy >= F.least(ay, by)) & (cy <= F.greatest(ay, by))
-        at = ax + (cy - ay) * F.try_divide(bx - ax, by - ay)
-        lows += [F.when(between, F.coalesce(at, F.least(ax, bx)))]
-        highs += [F.when(between, F.coalesce(at, F.greatest(ax, bx)))]
-    rows = rows.withColumns({"lo": _first(F.least(*lows)), "hi": _last(F.greatest(*highs))})
-    return rows.drop("x", "y", "x2", "y2", "radius").where("lo <= hi")
+    x, y, r = F.col("x"), F.col("y"), F.col("radius")
+    dx, dy = F.col("x2") - x, F.col("y2") - y
+    shapes = shapes.withColumns({"__dx": dx, "__dy": dy, "__tilt": F.coalesce(r * dx * F.signum(dy) / F.nullif(F.hypot(dx, dy), F.lit(0.0)), F.lit(0.0))})
+    rows = _rows(shapes, _first(F.least(y, F.col("y2")) - r), _last(F.greatest(y, F.col("y2")) + r))
+    dx, dy, tilt = F.col("__dx"), F.col("__dy"), F.col("__tilt")
+    rows = rows.withColumn("__c", cell_center(F.col("gy")) - y)
+    c, level = F.col("__c"), dy == 0
+    # shares of the way on which the disc reaches the row
+    reach = F.try_divide(r, F.abs(dy))
+    rows = rows.withColumns({"__from": F.when(level, 0.0).otherwise(F.greatest(F.lit(0.0), F.try_divide(c, dy) - reach)), "__to": F.when(level, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(c, dy) + reach))})
+    share = lambda best: F.least(F.greatest(best, F.col("__from")), F.col("__to"))
+    rightmost = F.when(level, (dx > 0).cast("double")).otherwise(share(F.try_divide(c + tilt, dy)))
+    leftmost = F.when(level, (dx < 0).cast("double")).otherwise(share(F.try_divide(c - tilt, dy)))
+    rows = rows.withColumns({"__right": rightmost, "__left": leftmost})
+    half = lambda s: F.sqrt(F.greatest(F.lit(0.0), r * r - (c - dy * s) * (c - dy * s)))
+    right, left = x + dx * F.col("__right") + half(F.col("__right")), x + dx * F.col("__left") - half(F.col("__left"))
+    rows = rows.withColumns({"lo": _first(left), "hi": _last(right)})
+    return rows.drop("x", "y", "x2", "y2", "radius", *(f"__{n}" for n in ("dx", "dy", "tilt", "c", "from", "to", "right", "left"))).where("lo <= hi")
 
 
 def disc_spans(shapes: DataFrame) -> DataFrame:
@@ -141,33 +141,6 @@ def awards(touched: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
-def consume_whole(footprints: DataFrame, coverage: DataFrame, consumed: DataFrame, known_chunks: DataFrame, key: str) -> DataFrame:
-    """(key, area_m2): fresh cells of footprints all of whose chunks are known; the others have no effect.
-
-    A cell of several footprints goes to the smallest key.
-    """
-    cells = footprints.select(key, "gx", "gy", chunk_of(F.col("gx")).alias("cx"), chunk_of(F.col("gy")).alias("cy"))
-    known = known_chunks.select("cx", "cy").distinct().withColumn("__known", F.lit(True))
-    gate = cells.select(key, "cx", "cy").distinct().join(known, ["cx", "cy"], "left").groupBy(key).agg(F.bool_and(F.coalesce("__known", F.lit(False))).alias("ok")).where("ok").select(key)
-    fresh = cells.join(gate, key, "left_semi").join(coverage.select("gx", "gy"), ["gx", "gy"], "left_semi").join(consumed.select("gx", "gy"), ["gx", "gy"], "left_anti")
-    return fresh.groupBy("gx", "gy").agg(F.min(key).alias(key)).groupBy(key).agg((F.count("*") * CELL_AREA).alias("area_m2"))
-
-
-def footprint_state(footprints: DataFrame, coverage: DataFrame, consumed: DataFrame, key: str) -> DataFrame:
-    """(key, state): unknown if a cell isn't covered, else gone, partial or untouched."""
-    marked = footprints.join(coverage.select("gx", "gy", F.lit(True).alias("__c")), ["gx", "gy"], "left").join(consumed.select("gx", "gy", F.lit(True).alias("__e")), ["gx", "gy"], "left")
-    state = marked.groupBy(key).agg(
-        F.bool_or(F.col("__c").isNull()).alias("u"), F.bool_or(F.col("__e").isNotNull()).alias("eaten"), F.bool_or(F.col("__e").isNull()).alias("left")
-    )
-    return state.select(key, F.when(F.col("u"), "unknown").when(~F.col("left"), "gone").when(F.col("eaten"), "partial").otherwise("untouched").alias("state"))
-
-
-def remaining(coverage: DataFrame, consumed: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
-    """Covered cells that are neither consumed nor replaced."""
-    left = coverage.select("gx", "gy").distinct().join(consumed.select("gx", "gy"), ["gx", "gy"], "left_anti")
-    return left if replaced is None else left.join(replaced.select("gx", "gy"), ["gx", "gy"], "left_anti")
-
-
 def covered_at(points: DataFrame, coverage: DataFrame, known_chunks: DataFrame) -> DataFrame:
     """Points (gx, gy, …) with ``covered``: true, false, or null where the chunk isn't known."""
     known = known_chunks.select("cx", "cy").distinct().withColumn("__k", F.lit(True))
@@ -177,31 +150,6 @@ def covered_at(points: DataFrame, coverage: DataFrame, known_chunks: DataFrame)
     return joined.withColumn("covered", F.when(F.col("__k"), F.col("__c").isNotNull())).drop("__k", "__c", "cx", "cy")
 
 
-def pack_chunks(cells: DataFrame) -> DataFrame:
-    """(cx, cy, bits): chunks of 256 x 256 cells, 8192 bytes, lowest bit first."""
-    bit = (F.col("gy") % CHUNK_CELLS) * CHUNK_CELLS + F.col("gx") % CHUNK_CELLS
-    placed = cells.select(chunk_of(F.col("gx")).alias("cx"), chunk_of(F.col("gy")).alias("cy"), F.floor(bit / 8).cast("int").alias("byte"), (bit % 8).cast("int").alias("bit"))
-    byte = placed.groupBy("cx", "cy", "byte").agg(F.hex(F.bit_or(F.expr("shiftleft(1, bit)"))).alias("v"))
-    # runs of zero bytes go before the byte that ends them and after the last one
-    order = Window.partitionBy("cx", "cy").orderBy("byte")
-    gap = F.col("byte") - F.coalesce(F.lag("byte").over(order), F.lit(-1)) - 1
-    after = F.coalesce(F.lead("byte").over(order) * 0, 8191 - F.col("byte"))
-    text = F.concat(F.expr("repeat('00', gap)"), F.lpad("v", 2, "0"), F.expr("repeat('00', after)"))
-    parts = byte.withColumns({"gap": gap, "after": after}).select("cx", "cy", F.struct("byte", text.alias("t")).alias("part"))
-    packed = parts.groupBy("cx", "cy").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # at most 8192 parts
-    return packed.select("cx", "cy", F.unhex(F.array_join(F.transform("parts", lambda p: p["t"]), "")).alias("bits"))
-
-
-def unpack_chunks(chunks: DataFrame) -> DataFrame:
-    """Cells (gx, gy) of packed chunks; bits beyond the grid are dropped."""
-    byte = chunks.select("cx", "cy", F.posexplode(F.expr("transform(sequence(0, 8191), i -> substring(bits, i + 1, 1))")).alias("k", "h")).where("h <> x'00'")
-    value = byte.select("cx", "cy", "k", F.conv(F.hex("h"), 16, 10).cast("int").alias("v"))
-    bits = value.select("cx", "cy", F.col("k"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.call_function("shiftright", F.col("v"), b).bitwiseAND(1) == 1)).alias("b"))
-    place = F.col("k") * 8 + F.col("b")
-    cells = bits.select((F.col("cx") * CHUNK_CELLS + place % CHUNK_CELLS).cast("long").alias("gx"), (F.col("cy") * CHUNK_CELLS + F.floor(place / CHUNK_CELLS)).cast("long").alias("gy"))
-    return cells.where(f"gx < {GRID_CELLS} and gy < {GRID_CELLS}")
-
-
 def interval_cover(intervals: DataFrame, key: str, low: str, high: str, eps: float = 1e-10) -> DataFrame:
     """(key, island, low, high): the union of each key's intervals, gaps of up to ``eps`` closed."""
     order = Window.partitionBy(key).orderBy(low, high)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tesserae.functions.checks import required
+
 OSM_SCHEMA = (
     "type string, id bigint, version int, tags map<string,string>, nodes array<bigint>, lat double, lon double, geometry array<struct<lat:double,lon:double>>, "
     "members array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>"
@@ -194,3 +197,104 @@ def geonames(spark: SparkSession, path: str) -> DataFrame:
     others = F.filter(F.split(F.coalesce("alternate", F.lit("")), ","), lambda n: (n != "") & (n != F.col("name")))
     kept = raw.where((F.col("class") == "P") & F.col("lat").between(-84.9, 84.9))
     return kept.select("id", "name", "ascii", F.slice(F.array_sort(F.array_distinct(others)), 1, 3).alias("other_names"), "country", "lat", "lon", "population")
+
+
+def without_members(ways: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
+    """Ways that are no member of a relation that counts (``counts``): those members come in with their relation."""
+    return ways.join(members.where("counts").select(key), key, "left_anti")
+
+
+def rewards(taken: DataFrame, worth: DataFrame, run: str = "run", key: str = "id") -> DataFrame:
+    """(run, area, rewarded): everything that a run took is worth its area once, however often it was reported."""
+    return taken.select(run, key).distinct().join(worth.select(key, "area"), key).groupBy(run).agg(F.sum("area").alias("area"), F.count("*").alias("rewarded"))
+
+
+def sector_totals(sectors: DataFrame, buildings: DataFrame, key: str, start: float = 18.0, tolerance: float = 1.06, few: int = 100) -> DataFrame:
+    """Each sector's buildings, area, smallest radius, buildings that the first hole can take, the radius to begin with, and whether it suits.
+
+    A sector without buildings is empty, one with fewer than ``few`` sparse, any other ready; without buildings there is no radius.
+    """
+    rows = sectors.select(key).join(buildings.select(key, "radius", "area"), key, "left")
+    told = rows.groupBy(key).agg(
+        F.count("radius").alias("buildings"), F.coalesce(F.sum("area"), F.lit(0)).alias("area"), F.min("radius").alias("least_radius"), F.count_if(F.col("radius") <= start * tolerance).alias("edible")
+    )
+    suits = F.when(F.col("buildings") == 0, "empty").when(F.col("buildings") < few, "sparse").otherwise("ready")
+    return told.withColumns({"suggested_radius": F.ceil(F.col("least_radius") / tolerance + 1).cast("double"), "suitability": suits})
+
+
+def content_digest(items: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, digest): SHA-256 over the JSON of each key's items in order, so the order they are read in plays no part."""
+    return items.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items")).select(key, F.sha2(F.to_json("__items"), 256).alias("digest"))
+
+
+def attached_members(relations: DataFrame, ways: DataFrame) -> DataFrame:
+    """(rel, nth, type, ref, role, line): members of relations (rel, members) in order, each with its own line or else that of the way it refers to."""
+    rows = relations.select("rel", F.posexplode("members").alias("nth", "m")).select("rel", "nth", "m.*")
+    named = ways.select(F.lit("way").alias("type"), F.col("id").alias("ref"), F.col("line").alias("__line"))
+    return rows.join(named, ["type", "ref"], "left").select("rel", "nth", "type", "ref", "role", F.coalesce("line", "__line").alias("line"))
+
+
+def exclusions(features: DataFrame, *reasons: tuple[str, Column]) -> DataFrame:
+    """(reason, n): features by the first reason that excludes them; those that stay have the reason kept."""
+    first = F.coalesce(*(F.when(F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in reasons), F.lit("kept"))
+    return features.groupBy(first.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def parts_within(parts: DataFrame, parents: DataFrame, cell: float, contained: Callable[[Column, Column], Column]) -> DataFrame:
+    """(part) of building parts whose centre's grid cell a parent's box meets, and that ``contained(part, parent)`` holds for.
+
+    Parts have id, x, y and a struct ``shape``; parents have min_x to max_y and ``shape``. An equi-join on cells, never a cross join.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    spread = parents.withColumn("gx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("gy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+    met = parts.select("id", F.col("shape").alias("part"), at("x").alias("gx"), at("y").alias("gy")).join(spread.select("gx", "gy", F.col("shape").alias("parent")), ["gx", "gy"])
+    return met.where(contained(F.col("part"), F.col("parent"))).select("id").distinct()
+
+
+def progress_of(cells: DataFrame, progress: DataFrame, key: str, total: int = 100_000) -> DataFrame:
+    """Visible cells with their saved progress; those without any have consumed nothing of a usual total."""
+    saved = progress.select(key, "consumed_area", "total_area")
+    return cells.join(saved, key, "left").withColumns({"consumed_area": F.coalesce("consumed_area", F.lit(0)), "total_area": F.coalesce("total_area", F.lit(total))})
+
+
+def most_recent(saved: DataFrame, when: str, key: str, keep: int = 40) -> DataFrame:
+    """The latest of the saved campaigns."""
+    return saved.orderBy(F.desc(when), key).limit(keep)
+
+
+def within_limit(rows: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """Rows of lists (by key) that must not have more than so many; else the job fails."""
+    size = rows.groupBy(key).agg(F.count("*").alias("__size"))
+    checked = rows.join(size, key).withColumn(key, required(F.col(key), F.col("__size") <= most, "the list is too long").cast(rows.schema[key].dataType))
+    return checked.drop("__size")
+
+
+def nearest(rows: DataFrame, by: str, distance: Column, key: str, keep: int) -> DataFrame:
+    """For each group, so many rows nearest first; only those move, as each task keeps its own nearest before the shuffle."""
+    ranked = F.row_number().over(Window.partitionBy(by).orderBy("__d", key))
+    return rows.withColumn("__d", distance).withColumn("rank", ranked).where(F.col("rank") <= keep).drop("__d")
+
+
+def free_spawn(blocked: DataFrame, by: str, step: float, rings: int) -> DataFrame:
+    """(by, x, y): the first of the places on rings around the origin, ring by ring, that no box of the group meets; null if all are met.
+
+    Place n of ring r is the point at distance r * step in the direction n of 8 r; ring 0 is the origin.
+    """
+    spark = blocked.sparkSession
+    place = spark.range(rings + 1).withColumnRenamed("id", "r").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("r") * 8 - 1, F.lit(0)))))
+    turn = F.col("n") * 2 * math.pi / F.greatest(F.col("r") * 8, F.lit(1))
+    place = place.select("r", "n", (F.col("r") * step * F.cos(turn)).alias("x"), (F.col("r") * step * F.sin(turn)).alias("y"))
+    groups = blocked.select(by).distinct()
+    tried = groups.crossJoin(F.broadcast(place))  # a fixed number of places for each group
+    hit = tried.join(blocked, by).where("x between min_x and max_x and y between min_y and max_y").select(by, "r", "n").distinct()
+    free = tried.join(hit, [by, "r", "n"], "left_anti").groupBy(by).agg(F.min(F.struct("r", "n", "x", "y")).alias("p"))
+    return groups.join(free, by, "left").select(by, "p.x", "p.y")
+
+
+def validation_report(stored: DataFrame, computed: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(key, problem): what stored totals differ in from those computed anew, what is missing and what nothing is stored for."""
+    a = stored.select(key, F.struct(*values).alias("__stored"))
+    b = computed.select(key, F.struct(*values).alias("__computed"))
+    wrong = F.array_compact(F.array(*(F.when(~F.col(f"__stored.{v}").eqNullSafe(F.col(f"__computed.{v}")), F.lit(v)) for v in values)))
+    problem = F.when(F.col("__stored").isNull(), "not stored").when(F.col("__computed").isNull(), "nothing there").otherwise(F.array_join(wrong, ","))
+    return a.join(b, key, "full").select(key, problem.alias("problem")).where("problem <> ''")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checks, features, grids, raster
+from . import checks, features, grids, raster, state
 
-_modules = (raster, grids, features, checks)
+_modules = (raster, grids, features, checks, state)
 
 
 def queries():

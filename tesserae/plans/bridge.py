@@ -65,3 +65,10 @@ def polygons(spark, sf_dir):
     outer = F.array(p(cx - w, cy - h), p(cx + w, cy - h), p(cx + w, cy), p(cx + w / 2, cy), p(cx + w / 2, cy + h), p(cx - w, cy + h), p(cx - w, cy - h))
     hole = F.array(p(cx - w / 2, cy - h / 2), p(cx - w / 2, cy - h / 4), p(cx, cy - h / 4), p(cx, cy - h / 2), p(cx - w / 2, cy - h / 2))
     return rects(spark, sf_dir).select("id", F.array(F.array(outer, hole)).alias("polygons"), "cx", "cy", "w", "h")
+
+
+def pattern_words(spark, condition: str) -> DataFrame:
+    """The cells of the arena that a condition on gx and gy holds for, as words."""
+    rows = spark.range(1500 * 24).selectExpr("CAST(id DIV 24 AS INT) AS gy", "CAST(id % 24 AS INT) AS k")
+    bits = f"aggregate(filter(sequence(0, 63), b -> k * 64 + b < 1500 AND ({condition.replace('gx', '(k * 64 + b)')})), 0L, (s, b) -> s | shiftleft(1L, b))"
+    return rows.selectExpr("k DIV 4 AS cx", "gy DIV 256 AS cy", "gy % 256 * 4 + k % 4 AS w", f"{bits} AS bits").selectExpr("CAST(cx AS INT) AS cx", "CAST(cy AS INT) AS cy", "w", "bits").where("bits <> 0")

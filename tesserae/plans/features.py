@@ -176,13 +176,10 @@ SELECT m.rel, bool_and(ok) AND count(*) FILTER (role = 'outer') > 0 AND NOT bool
 
 
 def components(spark, sf_dir):
-    """Parts and suppliers of returned lines as a graph."""
-    li = B.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45")
-    return graph.connected_components(li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")))
-
-
-COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node"""
+    """Parts and suppliers of all lines as a graph, and orders with their customers as others."""
+    lines = B.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b"))
+    orders = B.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1_000_000_000).alias("a"), (F.col("o_custkey") + 20_000_000).alias("b"))
+    return graph.connected_components(lines.unionAll(orders))
 
 
 def snapshot_diff(spark, sf_dir):
@@ -197,18 +194,23 @@ DIFF = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orde
 def way_join(spark, sf_dir):
     """Orders as ways over line numbers as nodes; some nodes are missing."""
     li = B.table(spark, sf_dir, "lineitem")
-    ways = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.col("l_partkey") % 500)).alias("nodes"))
-    nodes = B.table(spark, sf_dir, "part").where("p_partkey between 1 and 489").selectExpr("p_partkey AS id", "p_size * 1.0D AS lon", "p_partkey * 1.0D AS lat")
+    ways = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("l_partkey")).alias("nodes"))
+    nodes = B.table(spark, sf_dir, "part").where("p_size > 3").selectExpr("p_partkey AS id", "p_size * 1.0D AS lon", "p_partkey * 1.0D AS lat")
     return features.way_lines(ways, nodes).select("id", F.col("line").isNotNull().alias("whole"), F.coalesce(F.aggregate("line", F.lit(0.0), lambda s, p: s * 0.5 + p["lat"]), F.lit(0.0)).alias("mark"))
 
 
-WAYS = """WITH n AS (SELECT l_orderkey AS id, list_sort(list(l_partkey % 500)) AS ns FROM lineitem GROUP BY 1), w AS (SELECT id, ns, len(list_filter(ns, lambda x: x < 1 OR x >= 490)) = 0 AS whole FROM n)
-SELECT id, whole, CASE WHEN whole THEN list_reduce(list_transform(ns, lambda x: CAST(x AS DOUBLE)), lambda s, x: s * 0.5 + x, 0.0) ELSE 0.0 END AS mark FROM w"""
+WAYS = """WITH n AS (SELECT l_orderkey AS id, list(l_partkey ORDER BY l_partkey) AS ns, bool_and(p_size > 3) AS whole FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT id, whole, CASE WHEN whole THEN list_reduce(list_transform(ns, lambda x: CAST(x AS DOUBLE)), lambda s, x: s * 0.5 + x, 0.0) ELSE 0.0 END AS mark FROM n"""
 
 
 def suppressed_members(spark, sf_dir):
-    """Parts (as ways) that no order (as relation) has as a member."""
-    return B.table(spark, sf_dir, "part").select("p_partkey").join(B.table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    """Parts (as ways) that are no member of an urgent order (as relation)."""
+    urgent = B.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_orderpriority = '1-URGENT' AS counts")
+    members = B.table(spark, sf_dir, "lineitem").join(urgent, "l_orderkey").select(F.col("l_partkey").alias("id"), "counts")
+    return features.without_members(B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), members).withColumnRenamed("id", "p_partkey")
+
+
+SUPPRESSED = "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT')"
 
 
 def budget_pick(spark, sf_dir):
@@ -226,21 +228,25 @@ SELECT p_brand, p_partkey, p_size FROM r WHERE hit"""
 
 def once_only_reward(spark, sf_dir):
     """Each part is rewarded once per order customer, however often it was ordered."""
-    li = B.table(spark, sf_dir, "lineitem").join(B.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
-    return li.join(B.table(spark, sf_dir, "part").selectExpr("p_partkey", "CAST(p_size AS BIGINT) * 4 AS area"), F.col("l_partkey") == F.col("p_partkey")).groupBy("o_custkey").agg(F.sum("area").alias("area"), F.count("*").alias("parts"))
+    taken = B.table(spark, sf_dir, "lineitem").join(B.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("run"), F.col("l_partkey").alias("id"))
+    return features.rewards(taken, B.table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(p_size AS BIGINT) * 4 AS area")).select(F.col("run").alias("o_custkey"), "area", F.col("rewarded").alias("parts"))
 
 
 ONCE = "SELECT o_custkey, CAST(sum(p_size * 4) AS BIGINT) AS area, count(*) AS parts FROM (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN part ON l_partkey = p_partkey GROUP BY 1"
 
 
 def sector_totals(spark, sf_dir):
-    """Totals, smallest radius, small ones at the start and a class for each manufacturer brand."""
-    p = B.table(spark, sf_dir, "part").selectExpr("p_brand", "CAST(p_size AS DOUBLE) AS radius", "CAST(p_size AS BIGINT) * 4 AS area")
-    t = p.groupBy("p_brand").agg(F.count("*").alias("buildings"), F.sum("area").alias("area"), F.min("radius").alias("least_radius"), F.count_if(F.col("radius") <= 18 * 1.06).alias("edible"))
-    return t.withColumn("suitability", F.when((F.col("edible") >= 30), "good").when(F.col("edible") > 0, "sparse").otherwise("unsuitable"))
+    """Totals and class of each nation's suppliers, and of each brand, as sectors; some nations have none here."""
+    p = B.table(spark, sf_dir, "part").selectExpr("p_brand AS sector", "CAST(p_size AS DOUBLE) AS radius", "CAST(p_size AS BIGINT) * 4 AS area")
+    s = B.table(spark, sf_dir, "supplier").selectExpr("concat('nation ', s_nationkey) AS sector", "10.0D + s_suppkey % 30 AS radius", "CAST(s_suppkey % 30 AS BIGINT) * 4 AS area")
+    every = B.table(spark, sf_dir, "part").selectExpr("p_brand AS sector").unionAll(B.table(spark, sf_dir, "nation").selectExpr("concat('nation ', n_nationkey) AS sector")).distinct()
+    return features.sector_totals(every, p.unionAll(s), "sector")
 
 
-TOTALS = "SELECT p_brand, count(*) AS buildings, CAST(sum(p_size * 4) AS BIGINT) AS area, CAST(min(p_size) AS DOUBLE) AS least_radius, count(*) FILTER (p_size <= 18 * 1.06) AS edible, CASE WHEN count(*) FILTER (p_size <= 18 * 1.06) >= 30 THEN 'good' WHEN count(*) FILTER (p_size <= 18 * 1.06) > 0 THEN 'sparse' ELSE 'unsuitable' END AS suitability FROM part GROUP BY 1"
+TOTALS = """WITH b AS (SELECT p_brand AS sector, CAST(p_size AS DOUBLE) AS radius, p_size * 4 AS area FROM part UNION ALL SELECT 'nation ' || s_nationkey, 10.0 + s_suppkey % 30, s_suppkey % 30 * 4 FROM supplier),
+  e AS (SELECT DISTINCT p_brand AS sector FROM part UNION SELECT 'nation ' || n_nationkey FROM nation),
+  t AS (SELECT e.sector, count(b.radius) AS buildings, CAST(coalesce(sum(area), 0) AS BIGINT) AS area, CAST(min(radius) AS DOUBLE) AS least_radius, count(*) FILTER (radius <= 18 * 1.06) AS edible FROM e LEFT JOIN b ON b.sector = e.sector GROUP BY 1)
+SELECT *, CAST(ceil(least_radius / 1.06 + 1) AS DOUBLE) AS suggested_radius, CASE WHEN buildings = 0 THEN 'empty' WHEN buildings < 100 THEN 'sparse' ELSE 'ready' END AS suitability FROM t"""
 
 
 def goal_progress(spark, sf_dir):
@@ -258,10 +264,12 @@ def html_escape(spark, sf_dir):
 
 
 def content_digest(spark, sf_dir):
-    """One digest of each customer's orders, whatever order they are read in."""
-    o = B.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
-    return o.select("o_custkey", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256).alias("digest"))
+    """One digest of each customer's orders as canonical JSON, whatever order they are read in."""
+    o = B.table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", "o_orderstatus").alias("item"))
+    return features.content_digest(o, "o_custkey", "item")
+
 
+DIGEST = """SELECT o_custkey, sha256('[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey, o_orderstatus) || ']') AS digest FROM orders GROUP BY 1"""
 
 QUERIES = {
     "latest_version": (latest_version, LATEST),
@@ -279,14 +287,14 @@ QUERIES = {
     "interval_cover": (interval_cover, COVER),
     "interval_overlap": (interval_overlap, OVERLAP),
     "endpoint_parity": (endpoint_parity, PARITY),
-    "components": (components, COMPONENTS),
+    "components": (components, None),
     "snapshot_diff": (snapshot_diff, DIFF),
     "way_join": (way_join, WAYS),
-    "suppressed_members": (suppressed_members, "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)"),
+    "suppressed_members": (suppressed_members, SUPPRESSED),
     "budget_pick": (budget_pick, PICK),
     "once_only_reward": (once_only_reward, ONCE),
     "sector_totals": (sector_totals, TOTALS),
     "goal_progress": (goal_progress, GOAL),
     "html_escape": (html_escape, "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_md5 FROM pages"),
-    "content_digest": (content_digest, "SELECT o_custkey, sha256(array_to_string(list_sort(list(o_orderkey)), ',')) AS digest FROM orders GROUP BY 1"),
+    "content_digest": (content_digest, DIGEST),
 }

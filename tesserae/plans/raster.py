@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import frames, runs, shapes
-from tesserae.operators import cells, spatial_join
+from tesserae.operators import cells, spatial_join, words
 
 from . import bridge as B
 
@@ -72,38 +75,44 @@ def consume_late_coverage(spark, sf_dir):
 CONSUME_LATE = f"SELECT seq, count(*) * 4 AS area_m2 FROM (SELECT gx, gy, min(seq) AS seq FROM ({DISC_CELLS}) WHERE ({B.COVERED}) AND seq >= (gx * 7 + gy * 3) % 5000 GROUP BY gx, gy) GROUP BY seq"
 
 
-def _consumed(spark):
-    return B.coverage(spark).where("(gx + 2 * gy) % 7 < 3")
+CONSUMED = f"({B.COVERED}) AND (gx + 2 * gy) % 7 < 3"
 
 
 def _foot(spark, sf_dir):
     return cells.span_cells(cells.rectangle_spans(B.boxes(spark, sf_dir)))
 
 
+def _foot_words(spark, sf_dir, *by):
+    return words.span_words(cells.rectangle_spans(B.boxes(spark, sf_dir)), by)
+
+
+def _disc_words(spark, sf_dir):
+    return words.span_words(cells.disc_spans(B.discs(spark, sf_dir).select("seq", "x", "y", "radius")))
+
+
 def consume_whole_atomic(spark, sf_dir):
-    known = spark.range(6).crossJoin(spark.range(6).withColumnRenamed("id", "cy")).withColumnRenamed("id", "cx").where("(cx * 5 + cy) % 7 <> 0")
-    return cells.consume_whole(_foot(spark, sf_dir), B.coverage(spark), _consumed(spark), known, "id")
+    known = spark.range(36).selectExpr("id DIV 6 AS cx", "id % 6 AS cy").where("(cx * 5 + cy) % 7 <> 0")
+    won = words.consume(_foot_words(spark, sf_dir, "id"), B.pattern_words(spark, B.COVERED), B.pattern_words(spark, CONSUMED), "id", known)
+    return won.select("id", "area_m2", "unknown")
 
 
 CONSUME_WHOLE = f"""
-WITH f AS ({BOX_CELLS}), g AS (SELECT id FROM f GROUP BY id HAVING bool_and(((gx // 256) * 5 + gy // 256) % 7 <> 0)),
-     n AS (SELECT gx, gy, min(id) AS id FROM f SEMI JOIN g USING (id) WHERE ({B.COVERED}) AND NOT ((gx + 2 * gy) % 7 < 3) GROUP BY gx, gy)
-SELECT id, count(*) * 4 AS area_m2 FROM n GROUP BY id"""
+WITH f AS ({BOX_CELLS}), g AS (SELECT id, NOT bool_and(((gx // 256) * 5 + gy // 256) % 7 <> 0) AS unknown FROM f GROUP BY id),
+     n AS (SELECT gx, gy, min(id) AS id FROM f JOIN g USING (id) WHERE NOT unknown AND ({B.COVERED}) AND NOT ((gx + 2 * gy) % 7 < 3) GROUP BY gx, gy), a AS (SELECT id, count(*) * 4 AS area_m2 FROM n GROUP BY id)
+SELECT g.id, coalesce(area_m2, 0) AS area_m2, unknown FROM g LEFT JOIN a ON a.id = g.id"""
 
 
 def footprint_state(spark, sf_dir):
     # all cells count as covered within two thirds of the columns
-    covered = spark.range(1500).withColumnRenamed("id", "gx").where("gx < 1000").withColumn("gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1499).cast("long"))))
-    eaten = covered.where("gx % 400 < 150")
-    return cells.footprint_state(_foot(spark, sf_dir), covered, eaten, "id")
+    return words.footprint_state(_foot_words(spark, sf_dir, "id"), B.pattern_words(spark, "gx < 1000"), B.pattern_words(spark, "gx < 1000 AND gx % 400 < 150"), "id")
 
 
 FOOTPRINT_STATE = f"""SELECT id, CASE WHEN bool_or(gx >= 1000) THEN 'unknown' WHEN bool_and(gx % 400 < 150) THEN 'gone' WHEN bool_or(gx % 400 < 150) THEN 'partial' ELSE 'untouched' END AS state FROM ({BOX_CELLS}) GROUP BY id"""
 
 
 def remaining_cells(spark, sf_dir):
-    left = cells.remaining(_foot(spark, sf_dir), _consumed(spark), _disc_cells(spark, sf_dir))
-    return left.groupBy(frames.chunk_of(F.col("gx")).alias("chunk_x"), frames.chunk_of(F.col("gy")).alias("chunk_y")).agg(F.count("*").alias("cells"))
+    left = words.without(words.without(_foot_words(spark, sf_dir), B.pattern_words(spark, CONSUMED)), _disc_words(spark, sf_dir))
+    return left.groupBy(F.col("cx").cast("long").alias("chunk_x"), F.col("cy").cast("long").alias("chunk_y")).agg(F.sum(F.bit_count("bits")).alias("cells"))
 
 
 REMAINING = f"""SELECT gx // 256 AS chunk_x, gy // 256 AS chunk_y, count(*) AS cells FROM (SELECT DISTINCT gx, gy FROM ({BOX_CELLS}) WHERE NOT (({B.COVERED}) AND (gx + 2 * gy) % 7 < 3)
@@ -111,10 +120,10 @@ REMAINING = f"""SELECT gx // 256 AS chunk_x, gy // 256 AS chunk_y, count(*) AS c
 
 
 def cell_set_algebra(spark, sf_dir):
-    a, b = _foot(spark, sf_dir).select("gx", "gy").distinct(), _disc_cells(spark, sf_dir).select("gx", "gy").distinct()
-    sets = [("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("minus", a.exceptAll(b)), ("only_discs", b.exceptAll(a))]
-    parts = [df.agg(F.count("*").alias("cells"), F.sum(F.col("gx") * 1500 + F.col("gy")).alias("mark")).withColumn("op", F.lit(name)) for name, df in sets]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    a, b = _foot_words(spark, sf_dir), _disc_words(spark, sf_dir)
+    sets = {"union": words.merged(a.unionByName(b)), "intersect": words.common(a, b), "minus": words.without(a, b), "only_discs": words.without(b, a)}
+    every = reduce(DataFrame.unionAll, [words.word_cells(df).withColumn("op", F.lit(name)) for name, df in sets.items()])
+    return every.groupBy("op").agg(F.count("*").alias("cells"), F.sum(F.col("gx") * 1500 + F.col("gy")).alias("mark"))
 
 
 ALGEBRA = "WITH a AS (SELECT DISTINCT gx, gy FROM ({0})), b AS (SELECT DISTINCT gx, gy FROM ({1})) ".format(BOX_CELLS, DISC_CELLS) + " UNION ALL ".join(
@@ -135,8 +144,8 @@ DIRTY = f"SELECT gx // 256 AS chunk_x, gy // 256 AS chunk_y, max(seq) AS revisio
 
 def mask_round_trip(spark, sf_dir):
     """Cells through packed chunks of 8192 bytes and back, with each chunk's count of bits."""
-    packed = cells.pack_chunks(_foot(spark, sf_dir).select("gx", "gy").distinct())
-    back = cells.unpack_chunks(packed.withColumn("bits", F.unbase64(F.base64("bits"))))
+    packed = words.pack(_foot_words(spark, sf_dir))
+    back = words.word_cells(words.unpack(packed.withColumn("content", F.unbase64(F.base64("content")))))
     return back.groupBy(frames.chunk_of(F.col("gx")).alias("chunk_x"), frames.chunk_of(F.col("gy")).alias("chunk_y")).agg(F.count("*").alias("cells"), F.sum(F.col("gx") * 1500 + F.col("gy")).alias("mark"))
 
 
@@ -212,6 +221,55 @@ WITH w AS (SELECT user_id, count(*) * 4 AS area FROM ({FIRST}) JOIN (SELECT even
 SELECT user_id, area, least(500.0, sqrt(324.0 + 0.06 * t)) AS radius, t // 10 AS score, goal, least(100.0, area / goal * 100) AS percent,
   CAST(len(list_filter([10000, 50000, 100000, 500000, 1000000, 2500000, 5000000], lambda m: t >= m)) + greatest(0, t // 5000000 - 1) AS BIGINT) AS milestones FROM g"""
 
+ARENAS = 3
+
+
+def _arena_words(spark, sf_dir):
+    """Footprints, discs and a region of three arenas."""
+    foot = words.span_words(cells.rectangle_spans(B.boxes(spark, sf_dir)).withColumn("arena", F.col("id") % ARENAS), ("arena",))
+    discs = cells.disc_spans(B.discs(spark, sf_dir).select("seq", "x", "y", "radius")).withColumn("arena", F.col("seq") % ARENAS)
+    region = spark.range(ARENAS * 1500).selectExpr(f"id % {ARENAS} AS arena", f"id DIV {ARENAS} AS gy", f"100 + id % {ARENAS} * 50 + (id DIV {ARENAS}) % 9 AS lo", "1399L AS hi")
+    return foot, words.span_words(discs, ("arena",)), words.span_words(region, ("arena",))
+
+
+IN_REGION = "gx BETWEEN 100 + arena * 50 + gy % 9 AND 1399"
+ARENA_FOOT = f"SELECT DISTINCT id % {ARENAS} AS arena, gx, gy FROM ({BOX_CELLS})"
+ARENA_DISC = f"SELECT DISTINCT seq % {ARENAS} AS arena, gx, gy FROM ({DISC_CELLS})"
+
+
+def coverage_cycle(spark, sf_dir):
+    """Coverage of arenas: footprints are held, discs come in clipped to the region, and some chunks are given up."""
+    foot, discs, region = _arena_words(spark, sf_dir)
+    held = words.ingest(foot, discs, region, ("arena",))
+    gone = spark.range(ARENAS * 36).selectExpr(f"id % {ARENAS} AS arena", f"CAST(id DIV {ARENAS} DIV 6 AS INT) AS cx", f"CAST(id DIV {ARENAS} % 6 AS INT) AS cy").where("(cx + cy + arena) % 4 = 0")
+    kept = words.evict(held, gone, ("arena",))
+    return kept.groupBy("arena", "cx", "cy").agg(F.sum(F.bit_count("bits")).alias("cells"), F.sum(F.bit_count("bits") * F.col("w")).alias("mark"))
+
+
+CYCLE = f"""WITH u AS ({ARENA_FOOT} UNION SELECT arena, gx, gy FROM ({ARENA_DISC}) WHERE {IN_REGION})
+SELECT arena, CAST(gx // 256 AS INT) AS cx, CAST(gy // 256 AS INT) AS cy, count(*) AS cells, CAST(sum(gy % 256 * 4 + gx % 256 // 64) AS BIGINT) AS mark FROM u WHERE (gx // 256 + gy // 256 + arena) % 4 <> 0 GROUP BY ALL"""
+
+
+def saved_state(spark, sf_dir):
+    """A region is installed, what discs consume within it is saved as packed chunks, and restored against it; with the score area."""
+    foot, discs, region = _arena_words(spark, sf_dir)
+    active = words.install_region(foot, region, foot.where("bits = 0").select("arena", "bits"), ("arena",))
+    consumed = words.pack(words.common(active, discs, ("arena",)), ("arena",))
+    back = words.restored(words.unpack(consumed, ("arena",)), active, ("arena",))
+    return words.area(back, "arena").join(words.area(active, "arena").withColumnRenamed("area_m2", "active_m2"), "arena")
+
+
+SAVED = f"""WITH a AS (SELECT * FROM ({ARENA_FOOT}) WHERE {IN_REGION}), c AS (SELECT arena, count(*) * 4 AS area_m2 FROM (FROM a INTERSECT FROM ({ARENA_DISC})) GROUP BY 1)
+SELECT c.arena, area_m2, active_m2 FROM c JOIN (SELECT arena, count(*) * 4 AS active_m2 FROM a GROUP BY 1) USING (arena)"""
+
+
+def chunk_edges(spark, sf_dir):
+    met = cells.chunks_of_box(B.boxes(spark, sf_dir)).groupBy("cx", "cy").agg(F.count("*").alias("boxes"))
+    return met.select("cx", "cy", "boxes", words.chunk_bounds(F.col("cx"), F.col("cy")).alias("b")).select("cx", "cy", "boxes", "b.*")
+
+
+EDGES = f"SELECT CAST(split_part(key, ',', 1) AS INT) AS cx, CAST(split_part(key, ',', 2) AS INT) AS cy, count(*) AS boxes, cx * 512.0 - 1500 AS min_x, cy * 512.0 - 1500 AS min_y, least(1500.0, cx * 512.0 - 988) AS max_x, least(1500.0, cy * 512.0 - 988) AS max_y FROM ({CHUNKS}) GROUP BY 1, 2"
+
 QUERIES = {
     "raster_rect": (raster_rect, f"SELECT id, count(*) * 4 AS area_m2, CAST(sum(gx) AS BIGINT) AS sum_gx, CAST(sum(gy) AS BIGINT) AS sum_gy FROM ({BOX_CELLS}) GROUP BY id"),
     "raster_disc": (raster_disc, f"SELECT seq, count(*) AS cells FROM ({DISC_CELLS}) GROUP BY seq"),
@@ -231,4 +289,7 @@ QUERIES = {
     "radius_candidates": (radius_candidates, RADIUS),
     "nearest_building": (nearest_building, NEAREST),
     "growth_by_user": (growth_by_user, GROWTH),
+    "coverage_cycle": (coverage_cycle, CYCLE),
+    "saved_state": (saved_state, SAVED),
+    "chunk_edges": (chunk_edges, EDGES),
 }
