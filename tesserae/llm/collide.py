@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.graph import connected_components
 
-from .common import shuffle_partitions, stage, stage_result
+from .common import release_memory, shuffle_partitions, stage, stage_result
 from .shingles import mix, segment_sums
 
 LOCAL_HOT = 32
-SIGNATURES_PER_BUCKET = 700_000
-SIGNATURES_PER_CHUNK = 1_000_000
+SIGNATURES_PER_BUCKET = 500_000
+SIGNATURES_PER_CHUNK = 600_000
 MEMBERS_PER_BLOCK = 512
 ROWS_PER_RUN = 20_000
-PAIRS_PER_STEP = 1 << 20
+PAIRS_PER_STEP = 1 << 18
 SHORT = np.uint64((1 << 47) - 1)
 MARK = np.uint64(1 << 47)
 
@@ -94,6 +94,7 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
                     yield told
         if count:
             yield deal(held)
+        release_memory()
 
     def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
         """Signatures by bucket: each node's number of them, and 47 bits and a mark of each. What is told already is a bucket of its own."""
@@ -258,5 +259,6 @@ def _between(apart: DataFrame, nodes: DataFrame, near: Near, one_each: bool) ->
                     held, n = [rows[open_]], int(open_.sum())
         if held:
             yield test(pd.concat(held, ignore_index=True))
+        release_memory()
 
     return dealt.mapInPandas(meet, "a long, b long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae.sources.staging import clear_staged, stage, stage_path, stage_result, staged_for
 
-__all__ = ["IdFilter", "ascii_lower", "clear_staged", "columns_of", "shuffle_partitions", "small_batches", "stage", "stage_path", "stage_result", "staged_for", "text_or_empty"]
+__all__ = ["IdFilter", "ascii_lower", "clear_staged", "columns_of", "release_memory", "shuffle_partitions", "small_batches", "stage", "stage_path", "stage_result", "staged_for", "text_or_empty"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -18,12 +20,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds, by rows and by bytes, so that very long texts don't add up in a worker. Tighter bounds that are set stay."""
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 8 << 20)):
         now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
         if not (now and now.isdigit() and 0 < int(now) < most):
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+def release_memory() -> None:
+    """Give back what this worker has freed; workers live on, and stages with other needs share their executor's memory."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, small_batches
+from .common import columns_of, release_memory, small_batches
 from .shingles import mix
 from .tokens import pieces_of_batch
 
@@ -158,6 +158,7 @@ def learn_prototypes(labelled: DataFrame, text_col: str = "text", label_col: str
                 vectors = bundled(which[text], number, counts, letters, len(langs), dimensions)
                 for lang, vector in zip(langs.tolist(), vectors, strict=True):
                     sums[lang] = sums.get(lang, 0) + np.rint(vector).astype(np.int64)
+        release_memory()
         if sums:
             yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
@@ -186,6 +187,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, id_co
         for batch in batches:
             for part in _by_rows(pd.DataFrame({"text": batch[text]})):
                 yield pd.DataFrame(columns_of(batch, inner, part.index) | _tell(list(part["text"]), languages, apart, shared))
+        release_memory()
 
     fields = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in inner)
     told = rows.mapInPandas(tell, f"{fields}lang_pred string, score double")

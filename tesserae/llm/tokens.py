@@ -425,7 +425,7 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInPandas(count, schema)
 
 
-def pieces_of_batch(batch: pd.DataFrame, text: str = "text", chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def pieces_of_batch(batch: pd.DataFrame, text: str = "text", chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Runs of rows with a bounded number of characters, a longer row alone."""
     if len(batch):
         group = (batch[text].str.len().cumsum() // chars).to_numpy()
