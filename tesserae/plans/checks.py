@@ -19,12 +19,12 @@ SHORT = "SELECT c_custkey, list_reduce(list_transform(string_split(c_name, ''),
 
 
 def extents(spark, sf_dir):
-    p = B.points(spark, sf_dir).where("lat between -80 and 80")
+    p = B.points(spark, sf_dir)
     e = checks.extent_km(F.col("lon"), F.col("lat"), F.col("lon") + 0.5, F.col("lat") + 0.25, F.col("lat"))
     return p.select("id", f.half_up(e["width_km"], 6).alias("width_km"), f.half_up(e["height_km"], 6).alias("height_km"))
 
 
-EXTENTS = f"SELECT id, {s6(f'(lon + 0.5 - lon) * {f.DEGREE!r} * 6378137.0 * cos(lat * {f.DEGREE!r}) / 1000')} AS width_km, {s6(f'(lat + 0.25 - lat) * {f.DEGREE!r} * 6378137.0 / 1000')} AS height_km FROM {PT} WHERE lat BETWEEN -80 AND 80"
+EXTENTS = f"SELECT id, {s6(f'(lon + 0.5 - lon) * {f.DEGREE!r} * 6378137.0 * cos(lat * {f.DEGREE!r}) / 1000')} AS width_km, {s6(f'(lat + 0.25 - lat) * {f.DEGREE!r} * 6378137.0 / 1000')} AS height_km FROM {PT}"
 
 
 def canonical_tiles(spark, sf_dir):

@@ -89,27 +89,40 @@ SELECT id, arg_min(cell, {{'d': pow(sin((lat - clat) * {D!r} / 2), 2) + cos(lat
 
 
 def visible_cells(spark, sf_dir):
-    v = B.points(spark, sf_dir).where("lat between -80 and 80").select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), f.wrap_degrees(F.col("lon") + 0.3).alias("east"), (F.col("lat") + 0.2).alias("north"))
-    return grids.visible_cells(v, "id").groupBy("id", "total").agg(F.count("row").alias("cells"), F.sum("row").alias("sum_row"))
+    """Cells in views of many sizes, across the date line and up to the polar caps; views with too many cells yield none."""
+    k = F.col("id")
+    v = B.points(spark, sf_dir).select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), f.wrap_degrees(F.col("lon") + 0.3 + k % 4 * 0.5).alias("east"), (F.col("lat") + 0.1 + k % 3 * 0.1).alias("north"))
+    return grids.visible_cells(v, "id").groupBy("id", "total").agg(F.count("row").alias("cells"), F.coalesce(F.sum("row"), F.lit(0)).alias("sum_row"), F.coalesce(F.sum("col"), F.lit(0)).alias("sum_col"))
+
+
+VISIBLE = f"""WITH v AS (SELECT id, {WRAP.format('lon')} AS w, {WRAP.format('lon')} + 0.3 + id % 4 * 0.5 AS e, lat AS s, lat + 0.1 + id % 3 * 0.1 AS n FROM {PT}),
+  r AS (SELECT id, w, e, unnest(generate_series(greatest({-LIMIT}, CAST(floor({SNAP.format(f's / {STEP!r}')}) AS BIGINT)), least({LIMIT - 1}, CAST(ceil({SNAP.format(f'n / {STEP!r}')}) AS BIGINT) - 1))) AS row FROM v),
+  c AS (SELECT *, {COLUMNS} AS n FROM r),
+  h AS (SELECT id, row, n, unnest(generate_series(CAST(floor({SNAP.format('(w + 180.0) / 360.0 * n')}) AS BIGINT), CAST(ceil({SNAP.format('(e + 180.0) / 360.0 * n')}) AS BIGINT) - 1)) AS c FROM c),
+  d AS (SELECT DISTINCT id, row, c % n AS col FROM h), t AS (SELECT id, count(*) AS total, CAST(sum(row) AS BIGINT) AS sum_row, CAST(sum(col) AS BIGINT) AS sum_col FROM d GROUP BY 1)
+SELECT id, total, CASE WHEN total <= 400 THEN total ELSE 0 END AS cells, CASE WHEN total <= 400 THEN sum_row ELSE 0 END AS sum_row, CASE WHEN total <= 400 THEN sum_col ELSE 0 END AS sum_col FROM t"""
 
 
 def campaign_grid(spark, sf_dir):
-    a = B.points(spark, sf_dir).where("lat between -70 and 70").select("id", "lon", "lat", (F.col("lon") - 0.2).alias("west"), (F.col("lat") - 0.1).alias("south"), (F.col("lon") + 0.15).alias("east"), (F.col("lat") + 0.2).alias("north"))
-    return grids.campaign_grid(a, "id").groupBy("id").agg(F.count("*").alias("sectors"), F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    """Sectors of areas around points, nearest first."""
+    a = B.points(spark, sf_dir).select("id", "lon", "lat", (F.col("lon") - 0.2).alias("west"), (F.col("lat") - 0.1).alias("south"), (F.col("lon") + 0.15).alias("east"), (F.col("lat") + 0.2).alias("north"))
+    return grids.campaign_grid(a, "id").select("id", "row", "col", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-CAMPAIGN = f"""WITH a AS (SELECT id, lon - 0.2 AS west, lat - 0.1 AS south, lon + 0.15 AS east, lat + 0.2 AS north FROM {PT} WHERE lat BETWEEN -70 AND 70),
-  g AS (SELECT id, CAST(ceil((north - south) / {10000 / (R * D)!r} - 1e-10) AS BIGINT) AS nr, CAST(ceil((east - west) / (10000.0 / ({R * D!r} * cos(floor((south + north) / 2 * 1e7 + 0.5) / 1e7 * {D!r}))) - 1e-10) AS BIGINT) AS nc FROM a)
-SELECT id, nr * nc AS sectors, nr - 1 AS last_row, nc - 1 AS last_col FROM g"""
+CAMPAIGN = f"""WITH a AS (SELECT id, lon, lat, lon - 0.2 AS west, lat - 0.1 AS south, lon + 0.15 AS east, lat + 0.2 AS north, floor((lat - 0.1 + lat + 0.2) / 2 * 1e7 + 0.5) / 1e7 AS basis FROM {PT}),
+  s AS (SELECT *, {10000 / (R * D)!r} AS dlat, 10000.0 / ({R * D!r} * cos(basis * {D!r})) AS dlon FROM a),
+  r AS (SELECT *, unnest(range(CAST(ceil((north - south) / dlat - 1e-10) AS BIGINT))) AS row FROM s), c AS (SELECT *, unnest(range(CAST(ceil((east - west) / dlon - 1e-10) AS BIGINT))) AS col FROM r),
+  d AS (SELECT id, row, col, {WRAP.format('(' + WRAP.format('west + col * dlon + dlon / 2') + ') - lon')} * cos(basis * {D!r}) AS dx, south + row * dlat + dlat / 2 - lat AS dy FROM c)
+SELECT id, row, col, row_number() OVER (PARTITION BY id ORDER BY floor((dx * dx + dy * dy) * 1e9 + 0.5) / 1e9, row, col) - 1 AS ordinal FROM d"""
 
 
 def tile_plan(spark, sf_dir):
-    c = B.points(spark, sf_dir).where("lat between -84 and 84").select("id", "lon", "lat")
+    c = B.points(spark, sf_dir).select("id", "lon", "lat")
     return grids.water_tiles(c).groupBy("id", "tile_count").agg(F.count("tile_x").alias("tiles"))
 
 
 TY = f"(1 - asinh(tan(({{0}}) * {D!r})) / pi()) / 2 * 16384"
-TILE_PLAN = f"""WITH p AS (SELECT id, lon, lat, {R * D!r} * cos(lat * {D!r}) AS s FROM {PT} WHERE lat BETWEEN -84 AND 84),
+TILE_PLAN = f"""WITH p AS (SELECT id, lon, lat, {R * D!r} * cos(lat * {D!r}) AS s FROM {PT}),
   t AS (SELECT id, CAST((ceil((lon + 2000.0 / s + 180.0) / 360.0 * 16384) - 1 - floor((lon - 2000.0 / s + 180.0) / 360.0 * 16384) + 1) * (ceil({TY.format(f'lat - 2000.0 / {R * D!r}')}) - 1 - floor({TY.format(f'lat + 2000.0 / {R * D!r}')}) + 1) AS BIGINT) AS tile_count FROM p)
 SELECT id, tile_count, CASE WHEN tile_count <= 64 THEN tile_count ELSE 0 END AS tiles FROM t"""
 
@@ -196,7 +209,7 @@ QUERIES = {
     "world_row_geometry": (world_row_geometry, WORLD_ROWS),
     "world_cell_of_point": (world_cell_of_point, WORLD_CELL),
     "nearest_cell": (nearest_cell, NEAREST_CELL),
-    "visible_cells": (visible_cells, None),
+    "visible_cells": (visible_cells, VISIBLE),
     "campaign_grid": (campaign_grid, CAMPAIGN),
     "tile_plan": (tile_plan, TILE_PLAN),
     "ring_area": (ring_area, f"SELECT id, 4 * w * h - w * h / 2 AS outer_area, -w * h / 8 AS hole_area FROM ({B.RECTS})"),
