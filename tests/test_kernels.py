@@ -120,3 +120,53 @@ def test_water_policy_fails_closed(spark):
     assert T.water_features(spark.createDataFrame(good, schema), 0, 0).count() == 1
     with pytest.raises(Exception, match="unknown water class"):
         T.water_features(spark.createDataFrame(bad, schema), 0, 0).collect()
+
+
+def outside(x, y, shape):
+    """Distance from a polygon's boundary, negative inside, by its definition."""
+    edges = [(a, b) for ring in shape[0] for a, b in zip(ring, ring[1:])]
+    far, odd = math.inf, False
+    for (ax, ay), (bx, by) in edges:
+        t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        far = min(far, math.dist((x, y), (ax + t * (bx - ax), ay + t * (by - ay))))
+        if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+            odd = not odd
+    return -far if odd else far
+
+
+def test_collisions_push_out_the_shortest_way():
+    rng, shape = random.Random(4), [[box(0, 0, 10, 6), box(3, 2, 5, 4)]]
+    for _ in range(300):
+        x, y, r = rng.uniform(-3, 13), rng.uniform(-3, 9), rng.uniform(0.1, 3)
+        found, d = V.collision(x, y, r, shape), outside(x, y, shape)
+        assert (found is None) == (d >= r - 1e-8)
+        if found:
+            assert math.isclose(found[2], r - d, abs_tol=1e-9) and math.isclose(math.hypot(*found[:2]), 1)
+            # along the normal, the distance grows by what is left to the way out
+            assert outside(x + found[0] * 0.01, y + found[1] * 0.01, shape) > d
+
+
+@pytest.mark.parametrize(("x", "y", "normal"), [(0, 3, (-1, 0)), (10, 3, (1, 0)), (5, 0, (0, -1)), (5, 6, (0, 1)), (3, 3, (1, 0)), (4, 4, (0, -1)), (0, 0, (-(0.5**0.5), -(0.5**0.5)))])
+@pytest.mark.parametrize("wind", [1, -1])
+def test_collisions_on_the_boundary_push_outwards(x, y, normal, wind):
+    found = V.collision(x, y, 1, [[box(0, 0, 10, 6)[::wind], box(3, 2, 5, 4)[::wind]]])
+    assert found[:2] == pytest.approx(normal) and found[2] == pytest.approx(1)
+
+
+def test_only_approaching_circles_touch():
+    wall = ((0.5, -3), (0.5, 3))
+    assert V.earliest_touch(0, 0, 10, 0, 1, *wall) is None and V.earliest_touch(0, 0, -10, 0, 1, *wall) is None
+    assert V.earliest_touch(-0.5, 0, 10, 0, 1, *wall) == 0 and V.earliest_touch(-0.5, 0, -10, 0, 1, *wall) is None
+    assert V.earliest_touch(-5, 0, 0, 10, 1, *wall) is None and V.earliest_touch(-5, 0, 2, 0, 1, *wall) is None
+    rng = random.Random(6)
+    for _ in range(200):
+        p = [rng.uniform(-5, 5) for _ in range(8)]
+        a, b, r = (p[4], p[5]), (p[6], p[7]), rng.uniform(0.1, 2)
+        gap = lambda t: outside(p[0] + p[2] * t, p[1] + p[3] * t, [[[a, b, a]]]) - r
+        found = V.earliest_touch(*p[:4], r, a, b)
+        steps = [gap(k / 2000) for k in range(2001)]
+        if steps[0] <= 0 or min(steps) > 0:
+            assert found is None or (steps[0] > 0 and min(steps) < 1e-3)
+        else:
+            first = next(k for k, g in enumerate(steps) if g <= 0) / 2000
+            assert found == pytest.approx(first, abs=1e-3)

@@ -6,7 +6,7 @@ import pytest
 from tesserae import plans
 
 from .conftest import ROOT
-from .oracle import connect, same
+from .oracle import SF, connect, same
 
 ORACLES = plans.oracle_sql()
 
@@ -36,3 +36,23 @@ def test_entry_runs(spark):
 def test_spatial_joins_are_equi_joins(spark, name):
     plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_components_query_against_union_find(spark):
+    """No SQL runs over this graph in time: most parts and suppliers are one component, orders form one for each customer."""
+    got = {r["node"]: r["component"] for r in plans.queries()["components"](spark, SF).collect()}
+    lines, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders"))
+    pairs = [(r[0], r[1] + 10_000_000) for r in lines.select("l_partkey", "l_suppkey").collect()] + [(r[0] + 1_000_000_000, r[1] + 20_000_000) for r in orders.select("o_orderkey", "o_custkey").collect()]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in root}
