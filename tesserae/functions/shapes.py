@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import BOUNDARY_EPS, FIT_TOLERANCE
+from .constants import ARENA_HALF, BOUNDARY_EPS, FIT_TOLERANCE
 
 
 
@@ -205,3 +205,33 @@ def circumcircle(a: Column, b: Column, c: Column) -> Column:
     ux = F.try_divide(cy * (bx * bx + by * by) - by * (cx * cx + cy * cy), d)
     uy = F.try_divide(bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by), d)
     return F.when(F.abs(d) > 1e-12, F.struct((a["x"] + ux).alias("x"), (a["y"] + uy).alias("y"), F.hypot(ux, uy).alias("radius")))
+
+
+def square(radius: Column) -> Column:
+    """The box of the arena grown by a radius."""
+    half = ARENA_HALF + radius
+    return F.struct((-half).alias("min_x"), (-half).alias("min_y"), half.alias("max_x"), half.alias("max_y"))
+
+
+def swept_box(x: Column, y: Column, dx: Column, dy: Column, radius: Column) -> Column:
+    """The box that a circle covers on its way."""
+    low = lambda p, d: F.least(p, p + d) - radius
+    high = lambda p, d: F.greatest(p, p + d) + radius
+    return F.struct(low(x, dx).alias("min_x"), low(y, dy).alias("min_y"), high(x, dx).alias("max_x"), high(y, dy).alias("max_y"))
+
+
+def every_vertex(polygons: Column) -> Column:
+    return F.flatten(F.flatten(polygons))
+
+
+def mapped(polygons: Column, use: Callable[[Column], Column]) -> Column:
+    """Polygons with each point replaced."""
+    return F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, use)))
+
+
+def seam_intervals(polygons: Column, axis: str, at, eps: float = 1e-10) -> Column:
+    """Intervals of the outlines that run along a tile edge (the line where ``axis`` has this value), longer than ``eps``, in order."""
+    other = "y" if axis == "x" else "x"
+    every = F.flatten(F.transform(F.flatten(polygons), edges))
+    along = F.filter(every, lambda e: (F.abs(e["a"][axis] - at) <= eps) & (F.abs(e["b"][axis] - at) <= eps) & (F.abs(e["a"][other] - e["b"][other]) > eps))
+    return F.array_sort(F.transform(along, lambda e: F.struct(F.least(e["a"][other], e["b"][other]).alias("lo"), F.greatest(e["a"][other], e["b"][other]).alias("hi"))))

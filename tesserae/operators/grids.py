@@ -115,3 +115,28 @@ def page_bounds(count: Column, page: Column, size: int = 9) -> Column:
     pages = F.ceil(total / size)
     chosen = F.greatest(F.lit(0), F.least(F.greatest(pages - 1, F.lit(0)), F.floor(F.coalesce(page, F.lit(0)))))
     return F.struct(chosen.alias("page"), pages.alias("pages"), (chosen * size).alias("first"), F.least(total, chosen * size + size).alias("last"))
+
+
+def single_cell_campaigns(cells: DataFrame) -> DataFrame:
+    """Campaigns of one world cell (row, col): its identifiers, bounds, centre and basis, as one sector in one row and column."""
+    c = f.world_cell(F.col("row"), F.col("col"))
+    told = cells.withColumn("__c", c)
+    return told.select("row", "col", *(F.col(f"__c.{n}").alias(n) for n in ("campaign_id", "cell_id", "west", "south", "east", "north", "lon", "lat", "basis")), F.lit(1).alias("rows"), F.lit(1).alias("cols"))
+
+
+def visual_tiles(views: DataFrame, key: str, max_tiles: int = 16, tile_pixels: int = 512) -> DataFrame:
+    """(key, z, x, y, ordinal): the display tiles of a view (mx, my as shares of the world, zoom, width, height), nearest first.
+
+    The level is the whole zoom, or the next lower one whose window has few enough tiles. Columns wrap around the world; rows beyond it are left out.
+    """
+    levels = views.withColumn("z", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor("zoom")).cast("int"))))
+    n = F.pow(F.lit(2.0), F.col("z"))
+    half = lambda side: F.col(side) / (2 * tile_pixels * F.pow(F.lit(2.0), F.col("zoom")))
+    edge = lambda c, side, sign: F.floor((F.col(c) + sign * half(side)) * n)
+    levels = levels.withColumns({"__x0": edge("mx", "width", -1), "__x1": edge("mx", "width", 1), "__y0": F.greatest(F.lit(0), edge("my", "height", -1)), "__y1": F.least(n.cast("long") - 1, edge("my", "height", 1))})
+    fits = (F.col("__x1") - F.col("__x0") + 1) * (F.col("__y1") - F.col("__y0") + 1) <= max_tiles
+    best = levels.where(fits).groupBy(key).agg(F.max_by(F.struct("z", "mx", "my", "__x0", "__x1", "__y0", "__y1"), "z").alias("b")).select(key, "b.*").where("__y0 <= __y1")
+    rows = best.withColumn("column", F.explode(F.sequence("__x0", "__x1"))).withColumn("y", F.explode(F.sequence("__y0", "__y1")))
+    away = F.pow((F.col("column") + 0.5) / n - F.col("mx"), 2) + F.pow((F.col("y") + 0.5) / n - F.col("my"), 2)
+    order = Window.partitionBy(key).orderBy(f.half_up(away * n * n, 9), "y", "column")
+    return rows.withColumn("ordinal", F.row_number().over(order) - 1).select(key, "z", F.pmod("column", n.cast("long")).alias("x"), "y", "ordinal")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions import shapes
+
+from . import cells
+
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
@@ -40,3 +44,24 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) ->
     a, b = before.select(F.col(key), F.col(value).alias("__a"), F.lit(1).alias("__in_a")), after.select(F.col(key), F.col(value).alias("__b"), F.lit(1).alias("__in_b"))
     change = F.when(F.col("__in_a").isNull(), "added").when(F.col("__in_b").isNull(), "removed").when(~F.col("__a").eqNullSafe(F.col("__b")), "changed")
     return a.join(b, key, "full").select(key, change.alias("change")).where("change is not null")
+
+
+def region_of(points: DataFrame, regions: DataFrame, key: str, cell: float = 256.0) -> DataFrame:
+    """(key, region): of each point (x, y) the first region (region, polygons), by its number, that holds it; null where none does.
+
+    Regions are spread over the grid cells of their boxes, so a point meets only those of its own cell.
+    """
+    boxed = regions.select("region", "polygons", shapes.bounds(shapes.outer_vertices(F.col("polygons"))).alias("b"))
+    at = lambda c: F.floor(c / cell)
+    spread = boxed.withColumn("gx", F.explode(F.sequence(at(F.col("b.min_x")), at(F.col("b.max_x"))))).withColumn("gy", F.explode(F.sequence(at(F.col("b.min_y")), at(F.col("b.max_y")))))
+    near = points.select(key, "x", "y", at(F.col("x")).alias("gx"), at(F.col("y")).alias("gy")).join(spread, ["gx", "gy"])
+    held = near.where(shapes.in_multipolygon(F.col("x"), F.col("y"), F.col("polygons"))).groupBy(key).agg(F.min("region").alias("region"))
+    return points.select(key).join(held, key, "left")
+
+
+def covered_circles(circles: DataFrame, known_chunks: DataFrame, key: str) -> DataFrame:
+    """(key, covers): whether all chunks that a circle's box meets are there; a circle outside the arena needs none."""
+    box = circle_box(F.col("x"), F.col("y"), F.col("radius"))
+    needed = cells.chunks_of_box(circles.select(key, *(c.alias(n) for n, c in box.items()))).select(key, "cx", "cy")
+    missing = needed.join(known_chunks.select("cx", "cy").distinct(), ["cx", "cy"], "left_anti").select(key).distinct().withColumn("__missing", F.lit(True))
+    return circles.select(key).join(missing, key, "left").select(key, F.col("__missing").isNull().alias("covers"))

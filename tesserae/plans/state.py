@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import camera, checks, runs, shapes, tags
 from tesserae.functions import frames as f
-from tesserae.operators import features, grids
+from tesserae.operators import features, grids, spatial_join
 
 from . import bridge as B
-from .grids import PT, WRAP, s6
+from .grids import COLUMNS, LIMIT, PT, SNAP, STEP, WRAP, s6
 
 D, R = repr(f.DEGREE), "6378137.0"
 MY = f"(0.5 - ln(tan(pi() / 4 + ({{0}}) * {D} / 2)) / (2 * pi()))"
@@ -250,6 +250,72 @@ STORED = """WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem) SELECT k A
 FROM l WHERE k % 11 = 0 OR k % 5 = 0 OR k % 7 = 0 UNION ALL SELECT -1 - c_custkey, 'nothing there' FROM customer"""
 
 
+def geometry_helpers(spark, sf_dir):
+    """Swept boxes, grown squares, vertices, shapes in degrees near a reference, seams on a tile edge and Mercator offsets."""
+    p = B.polygons(spark, sf_dir)
+    cx, cy, w, h, k = (F.col(c) for c in ("cx", "cy", "w", "h", "id"))
+    sweep = shapes.swept_box(cx, cy, k % 9 - 4.0, k % 7 - 3.0, F.lit(2.5))
+    degrees = shapes.mapped(F.col("polygons"), lambda q: shapes.point(f.unwrap_longitude(f.local_lon(q["x"], 179.99, 10.0), -179.9), f.local_lat(q["y"], 10.0)))
+    seams = shapes.seam_intervals(F.col("polygons"), "x", cx - w)
+    offsets = shapes.mapped(degrees, lambda q: shapes.point(f.mercator_x(q["x"]) - f.mercator_x(F.lit(-180.01)), f.mercator_y(q["y"]) - f.mercator_y(F.lit(10.0))))
+    return p.select(
+        "id", sweep["min_x"].alias("low"), sweep["max_y"].alias("high"), shapes.square(w)["max_x"].alias("square"), F.size(shapes.every_vertex(F.col("polygons"))).alias("vertices"), r6(degrees[0][0][0]["x"]).alias("lon"),
+        r6(degrees[0][0][0]["y"]).alias("lat"), F.size(seams).alias("seams"), seams[0]["lo"].alias("seam_low"), seams[0]["hi"].alias("seam_high"), f.half_up(offsets[0][0][0]["x"], 9).alias("east"), f.half_up(offsets[0][0][0]["y"], 9).alias("south"),
+    )
+
+
+LON_AT = f"(179.99 + (cx - w) / ({R} * cos(10.0 * {D}) * {D}))"
+HELPERS = f"""WITH p AS (SELECT *, {WRAP.format(LON_AT)} AS l, 10.0 + (cy - h) / ({R} * {D}) AS lat FROM ({B.RECTS})), q AS (SELECT *, l - 360.0 * floor((l + 179.9 + 180.0) / 360.0) AS lon FROM p)
+SELECT id, least(cx, cx + id % 9 - 4.0) - 2.5 AS low, greatest(cy, cy + id % 7 - 3.0) + 2.5 AS high, 1500 + w AS square, CAST(12 AS INT) AS vertices, {s6('lon')} AS lon, {s6('lat')} AS lat, CAST(1 AS INT) AS seams, cy - h AS seam_low, cy + h AS seam_high,
+  floor(((lon + 180.0) / 360.0 - (-180.01 + 180.0) / 360.0) * 1e9 + 0.5) / 1e9 AS east, floor(({MY.format('lat')} - {MY.format('10.0')}) * 1e9 + 0.5) / 1e9 AS south FROM q"""
+
+
+def chosen_regions(spark, sf_dir):
+    """Which building, as a region, each event's point lies in."""
+    points = B.discs(spark, sf_dir).select("seq", "x", "y")
+    found = spatial_join.region_of(points, B.polygons(spark, sf_dir).select(F.col("id").alias("region"), "polygons"), "seq")
+    return found.select("seq", F.coalesce("region", F.lit(-1)).alias("region"))
+
+
+CHOSEN = f"""WITH m AS (SELECT seq, min(id) AS region FROM ({B.DISCS}) JOIN ({B.RECTS}) ON x BETWEEN cx - w AND cx + w AND y BETWEEN cy - h AND cy + h AND NOT (x > cx + w / 2 AND y > cy) AND NOT (x > cx - w / 2 AND x < cx AND y > cy - h / 2 AND y < cy - h / 4) GROUP BY 1)
+SELECT event_id AS seq, coalesce(region, -1) AS region FROM events LEFT JOIN m ON m.seq = event_id"""
+
+
+def covers(spark, sf_dir):
+    """Circles whose box is covered by the chunks that are there."""
+    known = spark.range(36).selectExpr("CAST(id DIV 6 AS INT) AS cx", "CAST(id % 6 AS INT) AS cy").where("(cx * 2 + cy) % 5 <> 0")
+    return spatial_join.covered_circles(B.circles(spark, sf_dir), known, "cid")
+
+
+COVERS = f"""WITH k AS (SELECT unnest(range(6)) AS k), n AS (SELECT cid, a.k AS cx, b.k AS cy FROM ({B.CIRCLES}), k a, k b WHERE x + radius >= -1500 AND y + radius >= -1500 AND x - radius < 1500 AND y - radius < 1500
+  AND a.k BETWEEN least(5, greatest(0, floor((x - radius + 1500) / 512))) AND least(5, greatest(0, floor((x + radius + 1500) / 512))) AND b.k BETWEEN least(5, greatest(0, floor((y - radius + 1500) / 512))) AND least(5, greatest(0, floor((y + radius + 1500) / 512))))
+SELECT s_suppkey AS cid, coalesce(ok, true) AS covers FROM supplier LEFT JOIN (SELECT cid, bool_and((cx * 2 + cy) % 5 <> 0) AS ok FROM n GROUP BY 1) ON cid = s_suppkey"""
+
+
+def cell_campaigns(spark, sf_dir):
+    """The campaign of the world cell of each point; none over the polar caps."""
+    p = B.points(spark, sf_dir).withColumn("row", f.world_row(F.col("lat"))).where("row is not null").withColumn("col", f.world_column(F.col("lon"), F.col("row")))
+    return grids.single_cell_campaigns(p.select("row", "col").distinct()).select("row", "col", "cell_id", r6(F.col("west")).alias("west"), r6(F.col("north")).alias("north"), r6(F.col("lon")).alias("lon"), "rows", "cols")
+
+
+CAMPAIGNS = f"""WITH p AS (SELECT {WRAP.format('lon')} AS lon, CAST(floor({SNAP.format(f'lat / {STEP!r}')}) AS BIGINT) AS row FROM {PT}), n AS (SELECT *, {COLUMNS} AS n FROM p WHERE row BETWEEN {-LIMIT} AND {LIMIT - 1}),
+  c AS (SELECT DISTINCT row, n, least(greatest(CAST(floor({SNAP.format('(lon + 180.0) / 360.0 * n')}) AS BIGINT), 0), n - 1) AS col FROM n)
+SELECT row, col, 'map-3km-v3-r' || row || '-c' || col || '/s0-0' AS cell_id, {s6('col * 360.0 / n - 180.0')} AS west, {s6(f'(row + 1) * {STEP!r}')} AS north, {s6('(col * 360.0 / n - 180.0 + ((col + 1) * 360.0 / n - 180.0)) / 2')} AS lon, CAST(1 AS INT) AS rows, CAST(1 AS INT) AS cols FROM c"""
+
+
+def display_tiles(spark, sf_dir):
+    v = B.points(spark, sf_dir).selectExpr("id", "(lon + 180) / 360 AS mx", "(lat + 90) / 180 AS my", "1 + id % 12 + 0.25D AS zoom", "300.0D + id % 3000 AS width", "200.0D + id % 1700 AS height")
+    return grids.visual_tiles(v, "id").groupBy("id", "z").agg(F.count("*").alias("tiles"), F.sum(F.col("x") * (F.col("ordinal") + 1) + F.col("y")).cast("long").alias("mark"))
+
+
+DISPLAY = f"""WITH v AS (SELECT id, (lon + 180) / 360 AS mx, (lat + 90) / 180 AS my, 1 + id % 12 + 0.25 AS zoom, 300.0 + id % 3000 AS width, 200.0 + id % 1700 AS height FROM {PT}), l AS (SELECT *, unnest(range(CAST(floor(zoom) AS BIGINT) + 1)) AS z FROM v),
+  e AS (SELECT *, CAST(pow(2, z) AS BIGINT) AS n, width / (1024 * pow(2.0, zoom)) AS hw, height / (1024 * pow(2.0, zoom)) AS hh FROM l),
+  b AS (SELECT *, CAST(floor((mx - hw) * n) AS BIGINT) AS x0, CAST(floor((mx + hw) * n) AS BIGINT) AS x1, greatest(0, CAST(floor((my - hh) * n) AS BIGINT)) AS y0, least(n - 1, CAST(floor((my + hh) * n) AS BIGINT)) AS y1 FROM e),
+  m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY z DESC) AS k FROM b WHERE (x1 - x0 + 1) * (y1 - y0 + 1) <= 16), c AS (SELECT *, unnest(generate_series(x0, x1)) AS c FROM m WHERE k = 1), t AS (SELECT *, unnest(generate_series(y0, y1)) AS y FROM c),
+  o AS (SELECT id, z, (c % n + n) % n AS x, y, row_number() OVER (PARTITION BY id ORDER BY floor((pow((c + 0.5) / n - mx, 2) + pow((y + 0.5) / n - my, 2)) * n * n * 1e9 + 0.5) / 1e9, y, c) AS k FROM t)
+SELECT id, CAST(z AS INT) AS z, count(*) AS tiles, CAST(sum(x * k + y) AS BIGINT) AS mark FROM o GROUP BY 1, 2"""
+
+
 QUERIES = {
     "views": (views, VIEWS),
     "bounds_checks": (bounds_checks, BOUNDS),
@@ -269,4 +335,9 @@ QUERIES = {
     "nearest_cells": (nearest_cells, NEAREST),
     "spawn_places": (spawn_places, SPAWN),
     "stored_totals": (stored_totals, STORED),
+    "geometry_helpers": (geometry_helpers, HELPERS),
+    "chosen_regions": (chosen_regions, CHOSEN),
+    "covers": (covers, COVERS),
+    "cell_campaigns": (cell_campaigns, CAMPAIGNS),
+    "display_tiles": (display_tiles, DISPLAY),
 }
