@@ -42,6 +42,7 @@ from .shingles import mix, set_digests, shingle_sets
 from .tokens import pieces_of_batch
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+SKETCH_WORDS = 16
 
 
 class Scheme:
@@ -119,11 +120,12 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple
 
 
 def parity_sketches(elements: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """For each set, the parities of the numbers of elements that hash to each of at least four bits for each element.
+    """For each set, the parities of the numbers of elements that hash to each of some bits: four for each element, up to ``SKETCH_WORDS``.
 
-    The number of bits is a power of 2; the lower half of them XORed with the upper half is the sketch of half the size.
+    The number of bits is a power of 2; the lower half of them XORed with the upper half is the sketch of half the size. However few the bits,
+    no more of them differ than elements do, so a sketch never turns away a pair that links.
     """
-    words = np.maximum(4, 4 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) >> 6)
+    words = np.clip(4 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) >> 6, 4, SKETCH_WORDS)
     start = np.cumsum(words) - words
     owner = np.repeat(np.arange(len(sizes)), sizes)
     bit = (elements >> np.uint64(7)) & (words[owner] * 64 - 1).astype(np.uint64)
