@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fuzzy_lines, hard_negatives, lang_id, license_rules, mixing, packing, part_enum, secret_ledger, telephony, tokens
+from . import conversations, exact_dedup, fuzzy_lines, hard_negatives, lang_id, license_rules, mixing, packing, part_enum, secret_ledger, telephony, token_codes, tokens
 
-_modules = (telephony, lang_id, packing, part_enum, mixing, license_rules, secret_ledger, exact_dedup, fuzzy_lines, tokens, hard_negatives)
+_modules = (telephony, lang_id, packing, part_enum, mixing, license_rules, secret_ledger, exact_dedup, fuzzy_lines, tokens, hard_negatives, token_codes, conversations)
 
 
 def queries():
