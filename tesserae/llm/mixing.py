@@ -145,7 +145,7 @@ def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     key = [F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")]
     try:
-        at = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+        at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
         placed = _scheduled(docs.select(*key, *at), weights, exponent, block_docs).select("file", "row", "position")
         placed = docs.select(doc, *at).join(placed.hint("shuffle_hash"), ["file", "row"])
     except AnalysisException:

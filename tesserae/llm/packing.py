@@ -66,28 +66,29 @@ def pack(
     small = np.dtype("<u2" if byte_pairs(vocabulary).tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The ids of each document, and its place within its queue in this run of rows of one file."""
-        task, file, first, done = TaskContext.get().partitionId(), None, -1, defaultdict(int)
+        """The ids of each document, and its place within its queue in this run of rows of one file; runs of a task are numbered, as a file may come in several."""
+        task, file, first, run, done = TaskContext.get().partitionId(), None, -1, -1, defaultdict(int)
         for batch in batches:
             for part in pieces_of_batch(batch):
                 ids = batch_ids(list(part["text"]), vocabulary)
-                firsts, places = [], []
+                firsts, runs, places = [], [], []
                 for f, r, queue, own in zip(part["file"], part["row"], part["queue"], ids, strict=True):
                     if f != file:
-                        file, first, done = f, r, defaultdict(int)
+                        file, first, run, done = f, r, run + 1, defaultdict(int)
                     firsts.append(first)
+                    runs.append(run)
                     places.append(done[queue])
                     done[queue] += len(own) + 1
                 end = np.array([end_id], small).tobytes()
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "queue": part["queue"].to_numpy(), "file": part["file"].to_numpy(), "row": firsts, "task": task, "place": places,
+                    "doc_id": part["doc_id"].to_numpy(), "queue": part["queue"].to_numpy(), "file": part["file"].to_numpy(), "row": firsts, "task": task, "run": runs, "place": places,
                     "n": [len(own) + 1 for own in ids], "ids": [own.astype(small).tobytes() + end for own in ids],
                 })
 
-    token_rows = stage(rows.mapInPandas(tokenise, f"doc_id {id_type}, queue string, file string, row long, task long, place long, n long, ids binary"), "packing-ids")
-    chunk = ["queue", "file", "row", "task"]
-    sums = token_rows.groupBy(chunk).agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("queue").orderBy("file", "row", "task").rowsBetween(Window.unboundedPreceding, -1)
+    token_rows = stage(rows.mapInPandas(tokenise, f"doc_id {id_type}, queue string, file string, row long, task long, run long, place long, n long, ids binary"), "packing-ids")
+    chunk = ["queue", "task", "run"]
+    sums = token_rows.groupBy(chunk).agg(F.sum("n").alias("n"), F.first("file").alias("file"), F.first("row").alias("row"))
+    before = Window.partitionBy("queue").orderBy("file", "row", "task", "run").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(sums.select(*chunk, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n"), "packing-bases")
     found = bases.groupBy("queue").agg(F.sum("n").alias("n")).limit(MAX_QUEUES + 1).collect()
     if len(found) > MAX_QUEUES:
@@ -119,7 +120,7 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> D
     """Ids, queues and texts with the file and row that each comes from, where it comes from files, for the order of the queues."""
     wanted = [F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("queue"), text_or_empty(text_col).alias("text")]
     try:
-        return docs.select(*wanted, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return docs.select(*wanted, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
         return docs.select(*wanted, F.lit("").alias("file"), F.lit(0).cast("long").alias("row"))
 
@@ -181,14 +182,20 @@ class Plan:
             found -= late
         return found
 
-    def bases(self, rounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each of these rounds, the place of its first token, and how far into it each queue's run begins."""
-        every, base, into = np.arange(len(self.names))[None, :], [], []
-        for part in np.array_split(rounds, max(1, -(-len(rounds) * len(self.names) // CELLS_AT_ONCE))):
+    def bases(self, rounds: np.ndarray, queue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of these rounds, in ascending order, the place of its first token, and how far into it this queue's run begins."""
+        every, base, into = np.arange(len(self.names))[None, :], np.empty(len(rounds), np.int64), np.empty(len(rounds), np.int64)
+        unique, first = np.unique(rounds, return_index=True)
+        ends = np.append(first[1:], len(rounds))
+        step = max(1, CELLS_AT_ONCE // max(1, len(self.names)))
+        for k in range(0, len(unique), step):
+            part = unique[k : k + step]
             now, then = self.served(every, part[:, None]), self.served(every, part[:, None] + 1)
-            base.append(now.sum(axis=1))
-            into.append(np.cumsum(then - now, axis=1) - (then - now))
-        return np.concatenate(base), np.concatenate(into)
+            begins = np.cumsum(then - now, axis=1) - (then - now)
+            own = slice(first[k], ends[k + len(part) - 1])
+            at = np.searchsorted(part, rounds[own])
+            base[own], into[own] = now.sum(axis=1)[at], begins[at, queue[own]]
+        return base, into
 
     def pieces(self, queues: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For documents at these places of their queues: document, start, length and global position of each piece."""
@@ -213,9 +220,10 @@ class Plan:
         final = np.append(doc[1:] != doc[:-1], True)
         stop = np.append(begin[1:], 0)
         stop[final] = (place + n)[doc[final]]
-        rounds, where = np.unique(turn, return_inverse=True)
-        base, into = self.bases(rounds)
-        at = base[where] + into[where, q[doc]] + begin - self.served(q[doc], turn)
+        order = np.argsort(turn, kind="stable")
+        at = np.empty(len(turn), np.int64)
+        at[order] = np.add(*self.bases(turn[order], q[doc[order]]))
+        at += begin - self.served(q[doc], turn)
         # and where sequences end
         parts = (at + stop - begin - 1) // self.length - at // self.length + 1
         own = np.repeat(np.arange(len(doc)), parts)

@@ -38,6 +38,9 @@ _UNEVEN = tuple(" " + chr(c) for c in range(1 << 16) if chr(c).isspace())
 _UNEVEN_ASCII = tuple(x for x in _UNEVEN if x.isascii())
 # From this character on, libraries may differ in the Unicode version by which they tell letters.
 PLAIN_SCRIPTS = "\u0530"
+_AFTER_BLANK = re.compile(r"(?<=\s) ")
+# Longer chunks go to the library as well: the ranked encoder's pattern fails on runs of white space of a megabyte.
+LONG_CHUNK = 20_000
 CACHED_CHUNKS, CACHED_VALUES = 1_000_000, 1 << 25
 
 
@@ -122,6 +125,7 @@ class BytePairs:
         self.longest = max(map(len, self.vocab))
         self.pair_ok: dict[int, bool] = {}
         self.pieces: dict[str, np.ndarray] = {}
+        self.held = 0  # characters of the pieces known
         # for the array form: tokens of up to 8 bytes by length, packed big-endian, and the last 8 bytes of longer ones
         packed = lambda x: int.from_bytes(x, "big")
         self.short = {}
@@ -138,7 +142,7 @@ class BytePairs:
         the bytes of the tokens. Those of the plain scripts, on which both agree, go to the ranked encoder.
         """
         out, counts = [], np.zeros(len(chunks), np.int64)
-        kinds = np.fromiter(((not c.startswith(" ")) + 2 * (not c.isascii() and max(c) >= PLAIN_SCRIPTS) for c in chunks), np.int64, len(chunks))
+        kinds = np.fromiter(((not c.startswith(" ")) + 2 * (len(c) > LONG_CHUNK or (not c.isascii() and max(c) >= PLAIN_SCRIPTS)) for c in chunks), np.int64, len(chunks))
         place = np.zeros(len(chunks), np.int64)
         for kind in np.unique(kinds).tolist():
             own = np.flatnonzero(kinds == kind)
@@ -238,12 +242,23 @@ class BytePairs:
             if piece in ("'re", "'ve", "'ll"):  # cut after one letter these are no contraction but two pieces
                 counts = np.array([1, 2, counts[2]], np.int32)
             self.pieces[piece] = counts
+            self.held += len(piece)
+
+    def forget(self) -> None:
+        """Drop the known pieces where there are too many, or too long ones."""
+        if len(self.pieces) > CACHED_CHUNKS or self.held > CACHED_VALUES:
+            self.pieces.clear()
+            self.held = 0
 
     def piece_prefixes(self, piece: str) -> np.ndarray:
         if piece not in self.pieces:
             self.learn([piece])
         return self.pieces[piece]
 
+    def piece_count(self, piece: str) -> int:
+        """Tokens of a piece."""
+        return int(self.pieces[piece][-1]) if piece in self.pieces else len(self.ranked._core_bpe.encode_single_piece(piece.encode()))
+
     def pretokenize(self, text: str) -> list[str]:
         if not text or max(text) < PLAIN_SCRIPTS:
             if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
@@ -272,6 +287,7 @@ class BytePairs:
 
     def text_prefixes(self, text: str) -> np.ndarray:
         """Token counts after each character of any text."""
+        self.forget()
         parts = re.split(f"({'|'.join(map(re.escape, self.special))})", text) if self.special else [text]
         out, base = [], 0
         for k, part in enumerate(parts):
@@ -288,8 +304,7 @@ class BytePairs:
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def chunk_prefixes(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pieces) > CACHED_CHUNKS:
-            self.pieces.clear()
+        self.forget()
         pieces = [self.pretokenize(c) if c else [] for c in chunks]
         self.learn([p for p in {p for own in pieces for p in own} if p not in self.pieces])
         parts = [self.plain_prefixes(c, own) if c else np.zeros(0, np.int32) for c, own in zip(chunks, pieces, strict=True)]
@@ -371,10 +386,13 @@ def batch_prefixes(texts: list[str], name: str = VOCABULARY) -> list[np.ndarray]
         bounds = np.concatenate([[0], ends])[firsts]
         for j, k in enumerate(even):
             counts = flat[bounds[j] : bounds[j + 1]]
-            for m in re.finditer(r"\s+ ", texts[k]):  # white space before a cut space: one run where a prefix ends there
-                run = m.group()
-                kept = int(counts[m.start() - 1]) if m.start() else 0
-                counts[m.end() - 1] = kept + int(model.piece_prefixes(run)[-1])
+            text = texts[k]
+            for m in _AFTER_BLANK.finditer(text):  # white space before a cut space: one run where a prefix ends there
+                first = m.start()
+                while first and text[first - 1].isspace():
+                    first -= 1
+                kept = int(counts[first - 1]) if first else 0
+                counts[m.start()] = kept + model.piece_count(text[first : m.end()])
             out[k] = counts
     for k in set(range(len(texts))) - set(even):
         if texts[k]:

@@ -1,9 +1,11 @@
 import hashlib
 import itertools
+import random
 import re
 import textwrap
+import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
@@ -696,3 +698,76 @@ def test_queries_on_long_odd_and_empty_tables(spark, tmp_path, name):
         assert len(got) == docs.count()
     docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert registry.queries()[name](spark, str(tmp_path / "none")).count() == 0
+
+
+def equally_named(spark, tmp_path, rows=300):
+    """Documents in folders whose files all have one name, so that many come into one task, out of order."""
+    import shutil
+
+    rng = random.Random(11)
+    own = [(k, " ".join(rng.choice(["some", "words", "of", "text", "\n"]) for _ in range(rng.randint(0, 60))), "en", "ab"[rng.random() < 0.3], 1) for k in range(rows)]
+    for part in range(12):
+        spark.createDataFrame(own[part::12], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/raw{part}")
+        (tmp_path / "docs" / f"part={part}").mkdir(parents=True)
+        (file,) = (tmp_path / f"raw{part}").glob("*.parquet")
+        shutil.copy(file, tmp_path / "docs" / f"part={part}" / "part-0000.parquet")
+    return own, spark.read.parquet(f"{tmp_path}/docs")
+
+
+@pytest.mark.parametrize("layout", ["names", "hive"])
+def test_mixed_order_and_packing_of_equally_named_files(spark, tmp_path, layout):
+    own, docs = equally_named(spark, tmp_path)
+    if layout == "hive":
+        docs.drop("part").repartition(3).write.partitionBy("source").parquet(f"{tmp_path}/hive")
+        docs = spark.read.parquet(f"{tmp_path}/hive")
+    docs = docs.coalesce(1)
+    mixed = mixing.in_mixed_order(docs)
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(r[0] for r in own)
+    pieces = packing.pack(docs).collect()
+    check_pieces(pieces, {r[0]: r[1] for r in own})
+    check_pieces(packing.pack(mixed).collect(), {r[0]: r[1] for r in own})
+
+
+def check_pieces(pieces, texts):
+    """Every id in one place, and places without a gap."""
+    at = 0
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert (p["sequence_id"], p["offset"]) == divmod(at, 2048)
+        at += p["length"]
+    ids = {k: len(i) + 1 for k, i in zip(texts, tokens.batch_ids(list(texts.values())), strict=True)}
+    done = defaultdict(int)
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        assert p["start"] == done[p["doc_id"]] and p["doc_tokens"] == ids[p["doc_id"]]
+        done[p["doc_id"]] += p["length"]
+    assert done == ids
+
+
+MEGABYTE = 1_000_000
+RUNS = {"newlines": "\n" * MEGABYTE, "newlines and a word": "\n" * MEGABYTE + " x", "token starts": "eyJ" * (MEGABYTE // 3), "letters": "a" * MEGABYTE, "blanks": " " * MEGABYTE, "blanks in words": "x" + " " * MEGABYTE + "x", "lines": "\n\n\n x" * (MEGABYTE // 5), "dots": "eyJabcdefgh." * (MEGABYTE // 12)}
+
+
+@pytest.mark.parametrize("name", list(RUNS))
+def test_a_megabyte_of_one_thing_takes_seconds(name):
+    text, began = RUNS[name], time.process_time()
+    counts, found, ids = tokens.batch_prefixes([text])[0], secret_ledger.find_spans(text), tokens.batch_ids([text])[0]
+    assert time.process_time() - began < 10  # about 2 on an idle machine
+    library = tokens.byte_pairs().tokenizer
+    assert counts[-1] == len(library.encode(text).ids) and ids.tolist() == library.encode(text).ids
+    for n in (1, 2, 5, 999, 54_321):
+        assert counts[n - 1] == len(library.encode(text[:n]).ids)
+    assert [(f[0], f[3]) for f in found if f[2] == "jwt"] == ([(12 * 3 * k, 12 * 3 * k + 35) for k in range(MEGABYTE // 36)] if name == "dots" else [])
+
+
+def test_jwt_rule_against_its_pattern():
+    rng, pattern = random.Random(5), re.compile(dict((r[0], r[1]) for r in secret_ledger.RULES)["jwt"], re.ASCII)
+    for _ in range(5000):
+        text = "".join(rng.choice(["eyJ", "eyJ", ".", ".", "a", "abcdefgh", "ABCDEFGHIJ", " ", "é", "-", "_"]) for _ in range(rng.randint(1, 30)))
+        assert [m.span() for m in pattern.finditer(text)] == [(f[0], f[3]) for f in secret_ledger.find_spans(text) if f[2] == "jwt"]
+
+
+def test_white_space_before_cut_spaces():
+    rng, library = random.Random(6), tokens.byte_pairs().tokenizer
+    for _ in range(150):
+        text = "x" + "".join(rng.choice(["\n", "\t", " a", "b", "\r\n", " c", " ", "é"]) for _ in range(rng.randint(1, 25)))
+        counts = tokens.batch_prefixes([text])[0]
+        assert counts.tolist() == [len(library.encode(text[:n]).ids) for n in range(1, len(text) + 1)]
