@@ -80,25 +80,29 @@ def rectangle_spans(boxes: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": _first(F.col("min_x")), "hi": _before(F.col("max_x"))}).drop("min_x", "min_y", "max_x", "max_y").where("lo <= hi")
 
 
-def polygon_cells(shapes: DataFrame, key: str, polygons: str = "polygons") -> DataFrame:
-    """Distinct cells (key, gx, gy) of multipolygons; each polygon's holes come off before the union.
+def polygon_spans(shapes: DataFrame, by: tuple[str, ...], polygons: str = "polygons") -> DataFrame:
+    """Spans (by, __p, __r, gy, lo, hi) of each ring of multipolygons: polygon and ring by number, outer rings being 0.
 
-    Every edge is cut by the rows it crosses; on a row, sorted crossings of a ring pair up into spans.
+    Every edge is cut by the rows it crosses; on a row, sorted crossings of a ring pair up into spans. ``by`` tells the shapes apart.
     """
-    poly = shapes.select(key, F.posexplode(polygons).alias("__p", "__polygon"))
-    ring = poly.select(key, "__p", F.posexplode("__polygon").alias("__r", "__ring")).where(F.size("__ring") >= 3)
-    nth = ring.select(key, "__p", "__r", "__ring", F.posexplode("__ring").alias("__k", "b"))
-    edge = nth.select(key, "__p", "__r", "b", F.when(F.col("__k") > 0, F.get("__ring", F.col("__k") - 1)).otherwise(F.element_at("__ring", -1)).alias("a"))
+    poly = shapes.select(*by, F.posexplode(polygons).alias("__p", "__polygon"))
+    ring = poly.select(*by, "__p", F.posexplode("__polygon").alias("__r", "__ring")).where(F.size("__ring") >= 3)
+    nth = ring.select(*by, "__p", "__r", "__ring", F.posexplode("__ring").alias("__k", "b"))
+    edge = nth.select(*by, "__p", "__r", "b", F.when(F.col("__k") > 0, F.get("__ring", F.col("__k") - 1)).otherwise(F.element_at("__ring", -1)).alias("a"))
     low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
     rows = _rows(edge.where("a.y <> b.y"), _first(low), _before(high))
     cy = cell_center(F.col("gy"))
     rows = rows.where((F.col("a.y") > cy) != (F.col("b.y") > cy))
     at = F.col("a.x") + (cy - F.col("a.y")) * (F.col("b.x") - F.col("a.x")) / (F.col("b.y") - F.col("a.y"))
-    line = rows.groupBy(key, "__p", "__r", "gy").agg(F.array_sort(F.collect_list(at)).alias("__xs"))
+    line = rows.groupBy(*by, "__p", "__r", "gy").agg(F.array_sort(F.collect_list(at)).alias("__xs"))
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("__xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("__xs", 2 * i).alias("a"), F.get("__xs", 2 * i + 1).alias("b")))
-    spans = line.where(F.size("__xs") >= 2).select(key, "__p", "__r", "gy", F.explode(pairs).alias("__s"))
-    spans = spans.select(key, "__p", "__r", "gy", _first(F.col("__s.a")).alias("lo"), _before(F.col("__s.b")).alias("hi"))
-    cells = span_cells(spans)
+    spans = line.where(F.size("__xs") >= 2).select(*by, "__p", "__r", "gy", F.explode(pairs).alias("__s"))
+    return spans.select(*by, "__p", "__r", "gy", _first(F.col("__s.a")).alias("lo"), _before(F.col("__s.b")).alias("hi"))
+
+
+def polygon_cells(shapes: DataFrame, key: str, polygons: str = "polygons") -> DataFrame:
+    """Distinct cells (key, gx, gy) of multipolygons; each polygon's holes come off before the union."""
+    cells = span_cells(polygon_spans(shapes, (key,), polygons))
     # a cell belongs to a polygon if its outer ring covers it and no hole does
     kept = cells.groupBy(key, "__p", "gx", "gy").agg(F.bool_and(F.col("__r") == 0).alias("solid"))
     return kept.where("solid").select(key, "gx", "gy").distinct()

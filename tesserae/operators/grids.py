@@ -79,13 +79,13 @@ def campaign_grid(areas: DataFrame, key: str, max_sectors: int = 1600) -> DataFr
     return cells.withColumn("ordinal", F.row_number().over(order) - 1).select(key, "row", "col", "ordinal", "basis", "center_lon", "center_lat")
 
 
-def tile_window(boxes: DataFrame, half: float | None = None, max_tiles: int = 64) -> DataFrame:
-    """Native tiles (x, y) that a local box meets, around a centre (lon, lat) with that basis.
+def tile_window(boxes: DataFrame, half: float | None = None, max_tiles: int = 64, basis: str = "lat") -> DataFrame:
+    """Native tiles (x, y) that a local box meets, around a centre (lon, lat) with a basis, by default the centre's.
 
     With ``half`` the box is the square of that half width. More than ``max_tiles`` give one row without a tile.
     """
     box = {c: F.lit(v) for c, v in zip(("min_x", "min_y", "max_x", "max_y"), (-half, -half, half, half), strict=True)} if half else {c: F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")}
-    scale = METRES_PER_DEGREE * F.cos(F.col("lat") * f.DEGREE)
+    scale = METRES_PER_DEGREE * F.cos(F.col(basis) * f.DEGREE)
     rows = boxes.withColumns({
         "__x0": F.floor(f.tile_x(F.col("lon") + box["min_x"] / scale)), "__x1": F.ceil(f.tile_x(F.col("lon") + box["max_x"] / scale)) - 1,
         "__y0": F.floor(f.tile_y(F.col("lat") + box["max_y"] / METRES_PER_DEGREE)), "__y1": F.ceil(f.tile_y(F.col("lat") + box["min_y"] / METRES_PER_DEGREE)) - 1,

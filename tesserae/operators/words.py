@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from tesserae.functions.checks import required
 from tesserae.functions.constants import ARENA_HALF, CELL_AREA, CHUNK_CELLS, CHUNK_METRES, GRID_CELLS
 
+from .cells import polygon_spans
+
 KEY = ("cx", "cy", "w")
 CHUNK_WORDS = 1024
 CHUNK_BYTES = 8192
+#: Masks of the places 0 to 63 whose number has bit n set, as signed numbers.
+PLACE_BITS = [int.from_bytes(sum(1 << k for k in range(64) if k >> n & 1).to_bytes(8, "little"), "little", signed=True) for n in range(6)]
 
 
 def _none() -> Column:
@@ -28,12 +32,24 @@ def range_mask(low: Column, high: Column) -> Column:
     return F.call_function("shiftleft", ones, low.cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", ones, (63 - high).cast("int")))
 
 
-def span_words(spans: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, cx, cy, w, bits) of spans (by, gy, lo, hi)."""
+def _placed(spans: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """A row (by, cx, cy, w, bits) for each word that a span meets."""
     at = spans.where("lo <= hi").withColumn("k", F.explode(F.sequence(F.shiftright("lo", 6), F.shiftright("hi", 6))))
     bits = range_mask(F.greatest(F.col("lo") - F.col("k") * 64, F.lit(0)), F.least(F.col("hi") - F.col("k") * 64, F.lit(63)))
-    placed = at.select(*by, F.shiftright("k", 2).cast("int").alias("cx"), F.shiftright("gy", 8).cast("int").alias("cy"), ((F.col("gy") % CHUNK_CELLS) * 4 + F.col("k") % 4).cast("int").alias("w"), bits.alias("bits"))
-    return merged(placed, by)
+    return at.select(*by, F.shiftright("k", 2).cast("int").alias("cx"), F.shiftright("gy", 8).cast("int").alias("cy"), ((F.col("gy") % CHUNK_CELLS) * 4 + F.col("k") % 4).cast("int").alias("w"), bits.alias("bits"))
+
+
+def span_words(spans: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cx, cy, w, bits) of spans (by, gy, lo, hi)."""
+    return merged(_placed(spans, by), by)
+
+
+def polygon_words(shapes: DataFrame, by: tuple[str, ...], polygons: str = "polygons") -> DataFrame:
+    """(by, cx, cy, w, bits) of multipolygons, which ``by`` tells apart: each polygon's holes come off before the union, all on words."""
+    ring = _placed(polygon_spans(shapes, by, polygons), (*by, "__p", "__r"))
+    outer, holes = F.bit_or(F.when(F.col("__r") == 0, F.col("bits"))), F.bit_or(F.when(F.col("__r") > 0, F.col("bits")))
+    polygon = ring.groupBy(*by, "__p", *KEY).agg(outer.bitwiseAND(F.bitwise_not(F.coalesce(holes, _none()))).alias("bits"))
+    return merged(polygon.where("bits <> 0"), by)
 
 
 def cell_words(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,6 +66,14 @@ def word_cells(words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*by, (F.col("cx") * CHUNK_CELLS + F.col("w") % 4 * 64 + F.col("k")).cast("long").alias("gx"), (F.col("cy") * CHUNK_CELLS + F.floor(F.col("w") / 4)).cast("long").alias("gy"))
 
 
+def index_sum(per_column: int, per_row: int) -> Column:
+    """The sum of ``per_column * gx + per_row * gy`` over the cells of a word, without making them: a sum over the six bits of their places."""
+    count = F.bit_count("bits").cast("long")
+    within = sum((F.bit_count(F.col("bits").bitwiseAND(F.lit(mask).cast("long"))).cast("long") * (1 << n) for n, mask in enumerate(PLACE_BITS)), F.lit(0).cast("long"))
+    gx = count * (F.col("cx") * CHUNK_CELLS + F.col("w") % 4 * 64) + within
+    return gx * per_column + count * (F.col("cy") * CHUNK_CELLS + F.floor(F.col("w") / 4)) * per_row
+
+
 def merged(words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each word: the union of all rows of it."""
     return words.groupBy(*by, *KEY).agg(F.bit_or("bits").alias("bits"))

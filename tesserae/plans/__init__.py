@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checks, features, grids, raster, state
+from . import checks, features, grids, raster, state, tiles
 
-_modules = (raster, grids, features, checks, state)
+_modules = (raster, grids, features, checks, state, tiles)
 
 
 def queries():

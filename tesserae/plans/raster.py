@@ -45,8 +45,8 @@ GROUP BY seq"""
 
 
 def raster_polygon(spark, sf_dir):
-    found = cells.polygon_cells(B.polygons(spark, sf_dir).select("id", "polygons"), "id")
-    return found.groupBy("id").agg(F.count("*").alias("cells"), F.sum(F.col("gx") * 3 + F.col("gy")).alias("mark"))
+    found = words.polygon_words(B.polygons(spark, sf_dir).select("id", "polygons"), ("id",))
+    return found.groupBy("id").agg(F.sum(F.bit_count("bits")).cast("long").alias("cells"), F.sum(words.index_sum(3, 1)).cast("long").alias("mark"))
 
 
 RASTER_POLYGON = f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,8 +57,6 @@ def _packed(data: bytes) -> list[int]:
 
 
 def _value(data: bytes):
-    import struct
-
     for n, v in _fields(data):
         if n == 1:
             return v.decode()
@@ -133,9 +132,9 @@ def decode_tile(data: bytes, wanted: str) -> list[tuple[dict, list]] | None:
     return found
 
 
-def _local(shape: list, z: int, x: int, y: int, lon0: float, lat0: float) -> list:
-    """A shape in tile fractions, in metres around a centre."""
-    n, shrink = 2**z, max(1e-8, math.cos(math.radians(lat0)))
+def _local(shape: list, z: int, x: int, y: int, lon0: float, lat0: float, basis: float | None = None) -> list:
+    """A shape in tile fractions, in metres around a centre; longitudes shrink as at the latitude ``basis``, else as at the centre."""
+    n, shrink = 2**z, max(1e-8, math.cos(math.radians(lat0 if basis is None else basis)))
     out = []
     for polygon in shape:
         rings = []
@@ -160,26 +159,66 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return files.select(place(1).alias("z"), place(2).alias("x"), place(3).alias("y"), sound.alias("content")).where("z is not null")
 
 
-def tile_fragments(tiles: DataFrame, layer: str, lon: float, lat: float) -> DataFrame:
-    """(z, x, y, nth, properties, polygons, area): a layer's features clipped to their tile's core, in metres around a centre.
+def _inside(shape: list) -> bool:
+    return all(0 <= px <= 1 and 0 <= py <= 1 for polygon in shape for px, py in polygon[0])
+
 
-    A malformed tile fails the job; a tile without the layer, and a feature that lies in the buffer only, give no rows.
+def tile_fragments(tiles: DataFrame, layer: str, lon: float | str, lat: float | str, basis: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, z, x, y, nth, properties, polygons, area): a layer's features clipped to their tile's core, in metres around a centre.
+
+    The centre is a pair of numbers or of columns, so tiles of many sectors go in one pass. A malformed tile fails the job; a tile without the layer, and a
+    feature that lies in the buffer only, give no rows.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for z, x, y, content in zip(batch["z"], batch["x"], batch["y"], batch["content"], strict=True):
+            for *kept, z, x, y, content, lon0, lat0, basis0 in batch.itertuples(index=False, name=None):
                 for nth, (properties, shape) in enumerate(decode_tile(bytes(content), layer) or []):
-                    inside = overlay(shape, CORE, INTERSECTION)
+                    inside = shape if _inside(shape) else overlay(shape, CORE, INTERSECTION)
                     if inside:
-                        metres = _local(inside, z, x, y, lon, lat)
+                        metres = _local(inside, z, x, y, lon0, lat0, basis0)
                         told = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in properties.items()}
-                        rows.append((z, x, y, nth, told, to_rows(metres), shape_area(metres)))
+                        rows.append((*kept, z, x, y, nth, told, to_rows(metres), shape_area(metres)))
             if rows:
-                yield pd.DataFrame(rows, columns=["z", "x", "y", "nth", "properties", "polygons", "area"])
-
-    return tiles.select("z", "x", "y", "content").mapInPandas(decode, f"z int, x int, y int, nth int, properties map<string,string>, polygons {POLYGONS}, area double")
+                yield pd.DataFrame(rows, columns=[*keep, "z", "x", "y", "nth", "properties", "polygons", "area"])
+
+    as_col = lambda c: F.col(c) if isinstance(c, str) else F.lit(float(c))
+    rows = tiles.select(*keep, "z", "x", "y", "content", as_col(lon).alias("__lon"), as_col(lat).alias("__lat"), as_col(lat if basis is None else basis).alias("__basis"))
+    kept = "".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.mapInPandas(decode, f"{kept}z int, x int, y int, nth int, properties map<string,string>, polygons {POLYGONS}, area double")
+
+
+def _number(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _counted(field: int, data: bytes) -> bytes:
+    return _number(field << 3 | 2) + _number(len(data)) + data
+
+
+def encode_tile(layer: str, features: list[tuple[dict, list[list[tuple[int, int]]]]], extent: int = 4096) -> bytes:
+    """A tile of one layer of polygons: features are properties (texts and numbers) and open rings of whole coordinates."""
+    keys: dict[str, int] = {}
+    values: dict[object, int] = {}
+    body = b""
+    for properties, rings in features:
+        tags = b"".join(_number(keys.setdefault(k, len(keys))) + _number(values.setdefault(v, len(values))) for k, v in properties.items())
+        x = y = 0
+        commands = b""
+        for ring in rings:
+            for k, (px, py) in enumerate(ring):
+                commands += _number(1 << 3 | 1) if k == 0 else _number((len(ring) - 1) << 3 | 2) if k == 1 else b""
+                commands += b"".join(_number(d << 1 if d >= 0 else (-d << 1) - 1) for d in (px - x, py - y))
+                x, y = px, py
+            commands += _number(1 << 3 | 7)
+        body += _counted(2, _counted(2, tags) + _number(3 << 3) + _number(3) + _counted(4, commands))
+    told = [_counted(1, v.encode()) if isinstance(v, str) else _number(3 << 3 | 1) + struct.pack("<d", v) for v in values]
+    parts = [_number(15 << 3) + _number(2), _counted(1, layer.encode()), body, *(_counted(3, k.encode()) for k in keys), *(_counted(4, v) for v in told), _number(5 << 3) + _number(extent)]
+    return _counted(3, b"".join(parts))
 
 
 def water_features(tiles: DataFrame, lon: float, lat: float) -> DataFrame:
