@@ -17,10 +17,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage_path, text_or_empty
+from .common import release_memory, small_batches, stage, stage_path, text_or_empty
 
 # The kinds, in order, with their patterns, the group whose length counts and the least length.
 RULES = (
@@ -82,6 +83,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = [t for t, f in zip(told, found, strict=True) if f[2] in BASE]
             rows.append((blob, *(sum(f[2] == k for f in found) for k in BASE), ",".join(base), ",".join(told)))
         yield pd.DataFrame(rows, columns=["blob", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
+    release_memory()
 
 
 def scan_history(history: DataFrame, ledger: str, path_col: str = "path", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
@@ -92,21 +94,31 @@ def scan_history(history: DataFrame, ledger: str, path_col: str = "path", text_c
     """
     spark = history.sparkSession
     small_batches(spark)
-    rows = history.select(F.col(path_col).alias("path"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("path", "text", F.sha2("text", 256).alias("blob"))
-    # map-side aggregation leaves one text per blob and task before the shuffle, so a hot blob moves once per task
-    unseen = rows.groupBy("blob").agg(F.first("text").alias("text"))
+    rows = _placed(history, path_col, text_col)
+    blobs = rows.select("path", "at", F.sha2("text", 256).alias("blob"))
+    # one row of each unseen blob is scanned; which one is settled by digests and places, so texts move once and aren't sorted
+    unseen = blobs.groupBy("blob").agg(F.min("at").alias("at"))
     known = read_ledger(spark, ledger, rule_version)
     if known is not None:
-        todo = rows.select("blob").distinct().join(known.select("blob"), "blob", "left_anti")
-        unseen = unseen.join(todo.hint("shuffle_hash"), "blob", "left_semi")
-    unseen.mapInPandas(_scan, FINDINGS).withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
+        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+    scanned = rows.select("at", "text").join(unseen.select("at").hint("shuffle_hash"), "at", "left_semi").select(F.sha2("text", 256).alias("blob"), "text")
+    scanned.mapInPandas(_scan, FINDINGS).withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
     hits = read_ledger(spark, ledger, rule_version).where("spans <> ''").dropDuplicates(["blob"])
-    out = rows.select("path", "blob").join(hits, "blob", "left")
+    out = blobs.select("path", "blob").join(hits, "blob", "left")
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_assign", "n_access", "n_hex")]
     return out.select("path", "blob", *counts, *(F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")))
 
 
+def _placed(history: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """path, text and a number for the place of each row, the same whenever the table is read. Two rows of one number are both scanned, which changes nothing."""
+    rows = [F.col(path_col).alias("path"), text_or_empty(text_col).alias("text")]
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("at")
+    try:
+        return history.select(*rows, place)
+    except AnalysisException:  # not from files
+        return stage(history.select(*rows), "ledger-history").select("path", "text", place)
+
+
 def read_ledger(spark: SparkSession, ledger: str, rule_version: str) -> DataFrame | None:
     """The ledger's rows for one rule version, or None before its first run."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
