@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 
 from tesserae.functions.checks import required
 
+from .spatial_join import BOX, bbox_join
+
 OSM_SCHEMA = (
     "type string, id bigint, version int, tags map<string,string>, nodes array<bigint>, lat double, lon double, geometry array<struct<lat:double,lon:double>>, "
     "members array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>"
@@ -269,12 +271,6 @@ def within_limit(rows: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     return checked.drop("__size")
 
 
-def nearest(rows: DataFrame, by: str, distance: Column, key: str, keep: int) -> DataFrame:
-    """For each group, so many rows nearest first; only those move, as each task keeps its own nearest before the shuffle."""
-    ranked = F.row_number().over(Window.partitionBy(by).orderBy("__d", key))
-    return rows.withColumn("__d", distance).withColumn("rank", ranked).where(F.col("rank") <= keep).drop("__d")
-
-
 def free_spawn(blocked: DataFrame, by: str, step: float, rings: int) -> DataFrame:
     """(by, x, y): the first of the places on rings around the origin, ring by ring, that no box of the group meets; null if all are met.
 
@@ -286,7 +282,9 @@ def free_spawn(blocked: DataFrame, by: str, step: float, rings: int) -> DataFram
     place = place.select("r", "n", (F.col("r") * step * F.cos(turn)).alias("x"), (F.col("r") * step * F.sin(turn)).alias("y"))
     groups = blocked.select(by).distinct()
     tried = groups.crossJoin(F.broadcast(place))  # a fixed number of places for each group
-    hit = tried.join(blocked, by).where("x between min_x and max_x and y between min_y and max_y").select(by, "r", "n").distinct()
+    # places meet the boxes of their group that share a grid cell with them, so a group with very many boxes is many keys
+    at = tried.withColumns({"min_x": F.col("x"), "max_x": F.col("x"), "min_y": F.col("y"), "max_y": F.col("y")})
+    hit = bbox_join(at, blocked.select(by, *BOX), 4 * step, by=(by,)).select(by, "r", "n").distinct()
     free = tried.join(hit, [by, "r", "n"], "left_anti").groupBy(by).agg(F.min(F.struct("r", "n", "x", "y")).alias("p"))
     return groups.join(free, by, "left").select(by, "p.x", "p.y")
 

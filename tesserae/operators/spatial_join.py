@@ -12,26 +12,29 @@ from . import cells
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
-def bbox_join(left: DataFrame, right: DataFrame, cell: float = 100.0, condition: Column | None = None) -> DataFrame:
+def bbox_join(left: DataFrame, right: DataFrame, cell: float = 100.0, condition: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of rows whose boxes overlap or touch, each pair once.
 
     Both sides have the columns min_x, min_y, max_x and max_y, those of ``right`` come out as r_min_x and so on;
-    other names must not clash. Each box goes to all cells it meets; a pair that meets in
+    other names must not clash. With ``by``, columns of both sides, only rows that agree in these meet. Each box goes to all cells it meets; a pair that meets in
     several cells is kept in the one that holds the lower left corner of the common part. So it is an
     equi-join on the cell, without a distinct, and a crowded cell is a skewed key that adaptive execution can split.
     """
     index = lambda c: F.floor(F.col(c) / cell)
-    right = right.withColumnsRenamed({c: f"r_{c}" for c in BOX})
+    right = right.withColumnsRenamed({c: f"r_{c}" for c in (*BOX, *by)})
     spread = lambda df, p: (
         df.withColumn("__cx", F.explode(F.sequence(index(f"{p}min_x"), index(f"{p}max_x")))).withColumn("__cy", F.explode(F.sequence(index(f"{p}min_y"), index(f"{p}max_y"))))
     )
     touch = (F.col("min_x") <= F.col("r_max_x")) & (F.col("max_x") >= F.col("r_min_x")) & (F.col("min_y") <= F.col("r_max_y")) & (F.col("max_y") >= F.col("r_min_y"))
     owner = (F.col("__cx") == F.greatest(index("min_x"), index("r_min_x"))) & (F.col("__cy") == F.greatest(index("min_y"), index("r_min_y")))
-    joined = spread(left, "").join(spread(right, "r_").withColumnsRenamed({"__cx": "__rx", "__cy": "__ry"}), (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry")))
+    same = (F.col("__cx") == F.col("__rx")) & (F.col("__cy") == F.col("__ry"))
+    for c in by:
+        same &= F.col(c) == F.col(f"r_{c}")
+    joined = spread(left, "").join(spread(right, "r_").withColumnsRenamed({"__cx": "__rx", "__cy": "__ry"}), same)
     joined = joined.where(touch & owner)
     if condition is not None:
         joined = joined.where(condition)
-    return joined.drop("__cx", "__cy", "__rx", "__ry")
+    return joined.drop("__cx", "__cy", "__rx", "__ry", *(f"r_{c}" for c in by))
 
 
 def circle_box(x: Column, y: Column, radius: Column) -> dict[str, Column]:

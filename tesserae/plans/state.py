@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import camera, checks, runs, shapes, tags
 from tesserae.functions import frames as f
-from tesserae.operators import features, grids, spatial_join
+from tesserae.operators import containment, features, grids, spatial_join
 
 from . import bridge as B
 from .grids import COLUMNS, LIMIT, PT, SNAP, STEP, WRAP, s6
@@ -214,15 +214,14 @@ def recent_campaigns(spark, sf_dir):
 
 
 def nearest_cells(spark, sf_dir):
-    """For each circle its eight nearest suppliers' tiles among all of its row."""
-    rows = B.circles(spark, sf_dir).selectExpr("cid", "x", "y", "CAST(floor((y + 1500) / 300) AS BIGINT) AS row")
-    places = B.points(spark, sf_dir).selectExpr("id", "x AS px", "y AS py", "CAST(floor((y + 1500) / 300) AS BIGINT) AS row")
-    j = rows.join(places, "row")
-    return features.nearest(j, "cid", (F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2, "id", 8).select("cid", "id", "rank")
+    """For each circle the eight nearest of all points."""
+    rows = B.circles(spark, sf_dir).select("cid", "x", "y")
+    places = B.points(spark, sf_dir).selectExpr("id", "x AS px", "y AS py")
+    return containment.nearest(rows, places, "cid", "id", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")), 8).select("cid", "id", "rank")
 
 
 NEAREST = f"""SELECT cid, id, CAST(rank AS INT) AS rank FROM (SELECT cid, id, row_number() OVER (PARTITION BY cid ORDER BY (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), id) AS rank
-  FROM ({B.CIRCLES}) c JOIN {PT} p ON floor((p.y + 1500) / 300) = floor((c.y + 1500) / 300)) WHERE rank <= 8"""
+  FROM ({B.CIRCLES}) c, {PT} p) WHERE rank <= 8"""
 
 
 def spawn_places(spark, sf_dir):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tesserae.functions import frames as f
 from tesserae.operators import coverage, words
 from tesserae.operators.grids import METRES_PER_DEGREE
+from tesserae.operators.overlay import per_group
 from tesserae.sources.staging import stage, stage_result
-from tesserae.sources.tiles import encode_tile
+from tesserae.sources.tiles import building_fragments, encode_tile, whole_buildings
 
 from . import bridge as B
 from .raster import CX, CY
@@ -128,4 +129,65 @@ WITH r AS (SELECT seq * 7 % 25 AS sector, arg_max({{'x': x, 'y': y, 'radius': ra
 SELECT c.sector, CAST(c.cx AS INT) AS cx, CAST(c.cy AS INT) AS cy, CAST(row_number() OVER (PARTITION BY c.sector ORDER BY away, c.cy, c.cx) - 1 AS INT) AS ordinal, m.sector IS NOT NULL AS known
 FROM c LEFT JOIN m ON m.sector = c.sector AND m.cx = c.cx AND m.cy = c.cy"""
 
-QUERIES = {"tile_coverage": (tile_coverage, TILE_COVERAGE), "desired_coverage": (desired_coverage, DESIRED)}
+# buildings in slots of 700 units, so that only a building's own two boxes overlap; 841 slots to a sector of five by five tiles
+SLOTS = f"""SELECT *, CAST(floor({TILE_X.format('lon')}) AS BIGINT) - 2 AS tx, CAST(floor({TILE_Y.format('lat')}) AS BIGINT) - 2 AS ty FROM (SELECT p_partkey AS fid, CAST(FLOOR(p_partkey / 841.0) AS BIGINT) AS sector,
+  CAST(FLOOR(p_partkey / 841.0) * 14.4 % 360 - 179.995 AS DOUBLE) AS lon, CAST(FLOOR(p_partkey / 841.0) % 25 * 4.7 - 56.4 AS DOUBLE) AS lat, CAST(p_partkey % 841 % 29 * 700 + p_partkey * 13 % 40 AS BIGINT) AS x0,
+  CAST(FLOOR(p_partkey % 841 / 29.0) AS BIGINT) * 700 + p_partkey * 29 % 40 AS y0, CAST(200 + p_size * 7 AS BIGINT) AS w, CAST(150 + p_partkey * 31 % 400 AS BIGINT) AS h FROM part) p"""
+BOXES2 = f"""SELECT fid, sector, lon, lat, tx, ty, 0 AS second, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM ({SLOTS}) s UNION ALL
+  SELECT fid, sector, lon, lat, tx, ty, 1 AS second, x0 + CAST(FLOOR(w / 2.0) AS BIGINT) AS x0, y0 + CAST(FLOOR(h / 2.0) AS BIGINT) AS y0, x0 + w + 40 AS x1, y0 + h + 40 AS y1 FROM ({SLOTS}) s WHERE fid % 4 = 1"""
+CONTRARY, LOST = "fid % 5 = 0", "fid % 7 = 0 AND fid % 4 <> 1"
+
+
+def seam_tiles(spark, sf_dir) -> DataFrame:
+    """(sector, x, y, content, lon, lat, basis): buildings cut to tiles with a buffer of 64 units; some have another height in all tiles but their first, some are missing there."""
+    boxes = spark.sql(_spark(BOXES2), part=B.table(spark, sf_dir, "part"))
+    index = lambda c: F.floor(F.col(c) / 4096)
+    near = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) - 64) / 4096), F.floor((F.col(high) + 64) / 4096)))
+    cut = boxes.withColumn("i", near("x0", "x1")).withColumn("j", near("y0", "y1")).where("i BETWEEN 0 AND 4 AND j BETWEEN 0 AND 4")
+    first = (F.col("i") == index("x0")) & (F.col("j") == index("y0"))
+    cut = cut.withColumn("height", F.col("fid") % 20 + 3 + F.col("second") * 0.5 + F.when(F.expr(CONTRARY) & ~first, 1).otherwise(0)).where(first | ~F.expr(LOST))
+
+    def build(own: list[dict]) -> list[dict]:
+        features = []
+        for r in sorted(own, key=lambda r: (r["fid"], r["second"])):
+            xs, ys = ([min(4160, max(-64, r[f"{c}{k}"] - 4096 * r[n])) for k in (0, 1)] for c, n in (("x", "i"), ("y", "j")))
+            if xs[0] < xs[1] and ys[0] < ys[1]:
+                features.append(({"render_height": float(r["height"]), "fid": str(r["fid"])}, [[(xs[0], ys[0]), (xs[1], ys[0]), (xs[1], ys[1]), (xs[0], ys[1])]]))
+        return [{"content": encode_tile("building", features)}]
+
+    grouped = per_group(cut.selectExpr("sector", "CAST(tx + i AS INT) AS x", "CAST(ty + j AS INT) AS y", "lon", "lat", "fid", "second", "x0", "y0", "x1", "y1", "i", "j", "height"), ["sector", "x", "y", "lon", "lat"], "content binary", build)
+    return grouped.withColumn("basis", F.col("lat"))
+
+
+def certified_buildings(spark, sf_dir):
+    """Buildings put together from tiles: those of which every cut wall has its counterpart, with their parts, area, height and radius."""
+
+    def build() -> DataFrame:
+        source = stage(seam_tiles(spark, sf_dir), "seam-tiles")
+        centers = source.select("sector", "lon", "lat", "basis").distinct()
+        found = whole_buildings(building_fragments(source, ("sector",)), centers, ("sector",), "fid").where("complete")
+        radius = F.when(F.col("label").cast("long") % 4 != 1, f.half_up(F.col("radius"), 3))
+        return found.select(F.col("label").cast("long").alias("fid"), "fragments", "height", f.half_up(F.col("area"), 2).alias("area"), radius.alias("radius"))
+
+    return stage_result(build, spark, "certified")
+
+
+def _metres(x, y):
+    lon = f"((tx + ({x}) / 4096.0) / {N} * 360 - 180 - lon)"
+    lat = f"(degrees(atan(sinh(pi() * (1 - 2 * (ty + ({y}) / 4096.0) / {N})))) - lat)"
+    return f"{lon} * {D} * 6378137.0 * cos(lat * {D})", f"{lat} * {D} * 6378137.0"
+
+
+def _size(x0, y0, x1, y1):
+    (a, b), (c, d) = _metres(x0, y0), _metres(x1, y1)
+    return f"(({c}) - ({a})) * (({b}) - ({d}))", f"sqrt(pow(({c}) - ({a}), 2) + pow(({b}) - ({d}), 2)) / 2"
+
+
+CERTIFIED = f"""
+WITH b AS ({BOXES2}), k AS (SELECT *, x1 // 4096 - x0 // 4096 AS across, y1 // 4096 - y0 // 4096 AS down, x0 % 4096 = 0 OR x1 % 4096 = 0 OR y0 % 4096 = 0 OR y1 % 4096 = 0 AS touching FROM b),
+  d AS (SELECT fid, bool_and(NOT touching AND (across + down = 0 OR NOT ({CONTRARY}) AND NOT ({LOST}))) AS complete, CAST(sum((across + 1) * (down + 1)) AS BIGINT) AS fragments, count(*) AS boxes FROM k GROUP BY 1),
+  s AS (SELECT *, {_size('x0', 'y0', 'x0 + w', 'y0 + h')[0]} AS one, {_size('x0 + w // 2', 'y0 + h // 2', 'x0 + w + 40', 'y0 + h + 40')[0]} AS two, {_size('x0 + w // 2', 'y0 + h // 2', 'x0 + w', 'y0 + h')[0]} AS common, {_size('x0', 'y0', 'x0 + w', 'y0 + h')[1]} AS radius FROM ({SLOTS}))
+SELECT fid, fragments, CASE WHEN boxes = 1 THEN CAST(fid % 20 + 3 AS DOUBLE) END AS height, floor(CASE WHEN boxes = 1 THEN one ELSE one + two - common END * 100 + 0.5) / 100 AS area, CASE WHEN boxes = 1 THEN floor(radius * 1000 + 0.5) / 1000 END AS radius
+FROM d JOIN s USING (fid) WHERE complete"""
+
+QUERIES = {"certified_buildings": (certified_buildings, CERTIFIED), "tile_coverage": (tile_coverage, TILE_COVERAGE), "desired_coverage": (desired_coverage, DESIRED)}

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.constants import EARTH_RADIUS
+from tesserae.functions import shapes
+from tesserae.functions.constants import EARTH_RADIUS, NATIVE_ZOOM
 from tesserae.functions.tags import DRY_CLASSES, WATER_CLASSES, WATER_CROSSINGS
-from tesserae.operators.overlay import INTERSECTION, POLYGONS, UNION, circles_of, overlay, overlay_area, shape_area, to_rows
+from tesserae.operators import cells, spatial_join
+from tesserae.operators.graph import connected_components
+from tesserae.operators.overlay import INTERSECTION, POLYGONS, UNION, arrow_schema, enclosing_circle, from_rows, overlay, overlay_area, per_group, per_row, shape_area, to_rows
+
+from .staging import stage
 
 MAX_TILE_BYTES = 4 << 20
 
@@ -170,23 +175,36 @@ def tile_fragments(tiles: DataFrame, layer: str, lon: float | str, lat: float |
     feature that lies in the buffer only, give no rows.
     """
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for *kept, z, x, y, content, lon0, lat0, basis0 in batch.itertuples(index=False, name=None):
-                for nth, (properties, shape) in enumerate(decode_tile(bytes(content), layer) or []):
-                    inside = shape if _inside(shape) else overlay(shape, CORE, INTERSECTION)
-                    if inside:
-                        metres = _local(inside, z, x, y, lon0, lat0, basis0)
-                        told = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in properties.items()}
-                        rows.append((*kept, z, x, y, nth, told, to_rows(metres), shape_area(metres)))
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keep, "z", "x", "y", "nth", "properties", "polygons", "area"])
+    def decode(r: dict) -> Iterator[dict]:
+        for nth, (properties, shape) in enumerate(decode_tile(r["content"], layer) or []):
+            inside = shape if _inside(shape) else overlay(shape, CORE, INTERSECTION)
+            if inside:
+                metres = _local(inside, r["z"], r["x"], r["y"], r["__lon"], r["__lat"], r["__basis"])
+                yield {"nth": nth, "properties": _texts(properties), "polygons": to_rows(metres), "area": shape_area(metres)}
 
     as_col = lambda c: F.col(c) if isinstance(c, str) else F.lit(float(c))
-    rows = tiles.select(*keep, "z", "x", "y", "content", as_col(lon).alias("__lon"), as_col(lat).alias("__lat"), as_col(lat if basis is None else basis).alias("__basis"))
-    kept = "".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInPandas(decode, f"{kept}z int, x int, y int, nth int, properties map<string,string>, polygons {POLYGONS}, area double")
+    rows = tiles.select(*keep, F.col("z").cast("int"), F.col("x").cast("int"), F.col("y").cast("int"), "content", as_col(lon).alias("__lon"), as_col(lat).alias("__lat"), as_col(lat if basis is None else basis).alias("__basis"))
+    return _decoded(rows, decode, [*keep, "z", "x", "y"], f"nth int, properties map<string,string>, polygons {POLYGONS}, area double")
+
+
+def _texts(properties: dict) -> dict[str, str]:
+    return {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in properties.items()}
+
+
+def _decoded(rows: DataFrame, decode: Callable[[dict], Iterator[dict]], keep: list[str], schema: str) -> DataFrame:
+    """Kept columns and what ``decode`` yields for each tile, tile by tile."""
+    ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + f", {schema}"
+    told = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
+                found = [{**{c: r[c] for c in keep}, **d, "properties": list(d["properties"].items())} for d in decode(r)]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema=told)
+
+    return rows.mapInArrow(run, ddl)
 
 
 def _number(n: int) -> bytes:
@@ -230,56 +248,103 @@ def water_features(tiles: DataFrame, lon: float, lat: float) -> DataFrame:
     return rows.where(checked & ~F.coalesce(crossing.isin(*WATER_CROSSINGS), F.lit(False)))
 
 
-def whole_buildings(fragments: DataFrame, touching: float = 0.02) -> DataFrame:
-    """(component, polygons, area, center_x, center_y, radius, fragments) of building fragments stitched across tiles.
+#: The properties that must agree for two parts to be one building across a seam.
+ATTRIBUTES = ("render_height", "render_min_height", "colour", "hide_3d")
+SIDES = {"left": (0, 0), "right": (0, 1), "top": (1, 0), "bottom": (1, 1)}
+SEAM_EPS, AREA_EPS = 1e-10, 1e-14
+RING_SHAPE = POLYGONS
+FRAGMENT = f"nth int, properties map<string,string>, raw {RING_SHAPE}, core {RING_SHAPE}, seams array<struct<side:string,lo:double,hi:double>>"
+
+
+def building_fragments(tiles: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, x, y, nth, properties, raw, core, seams): each building polygon of each tile (z, x, y, content), in units of tiles.
 
-    Fragments (fid, x, y, polygons) are one building if they overlap within a tile or meet along a stretch of a tile edge.
-    Candidates come from a grid join on boxes; components from their links.
+    ``raw`` is what the tile holds, its buffer included, ``core`` what lies in the tile itself; ``seams`` are the stretches, or single points, of the core's outline on
+    each side of the tile. x is as given, so callers unwrap it where a set of tiles crosses the date line. Polygons without area in their tile are left out.
     """
-    from tesserae.functions import shapes
-    from tesserae.operators.graph import connected_components
-    from tesserae.operators.spatial_join import bbox_join
 
-    boxed = fragments.select("fid", "x", "y", "polygons", shapes.bounds(shapes.outer_vertices(F.col("polygons"))).alias("b"))
-    boxed = boxed.select("fid", "x", "y", "polygons", *[(F.col(f"b.{c}") + s * touching).alias(c) for c, s in (("min_x", -1), ("min_y", -1), ("max_x", 1), ("max_y", 1))])
-    other = boxed.withColumnsRenamed({"fid": "o_fid", "x": "o_x", "y": "o_y", "polygons": "o_polygons"})
-    near = bbox_join(boxed, other, 64.0, F.col("fid") < F.col("o_fid"))
+    def decode(r: dict) -> Iterator[dict]:
+        nth = 0
+        for properties, shape in decode_tile(r["content"], "building") or []:
+            for polygon in shape:
+                core = [polygon] if _inside([polygon]) else overlay([polygon], CORE, INTERSECTION)
+                if shape_area(core) > AREA_EPS:
+                    moved = [[[[(px + r["x"], py + r["y"]) for px, py in ring] for ring in p] for p in s] for s in ([polygon], core)]
+                    yield {"nth": nth, "properties": _texts(properties), "raw": to_rows(moved[0]), "core": to_rows(moved[1]), "seams": _seams(core, r["x"], r["y"])}
+                nth += 1
+
+    rows = tiles.select(*keep, F.col("x").cast("int"), F.col("y").cast("int"), "content")
+    return _decoded(rows, decode, [*keep, "x", "y"], FRAGMENT)
+
+
+def _seams(core: list, x: int, y: int) -> list[dict]:
+    found = []
+    for ring in (ring for polygon in core for ring in polygon):
+        for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+            for side, (axis, edge) in SIDES.items():
+                along = (y, x)[axis]
+                if a != b and abs(a[axis] - edge) <= SEAM_EPS:
+                    p = a[1 - axis] + along
+                    q = b[1 - axis] + along if abs(b[axis] - edge) <= SEAM_EPS else p
+                    found.append({"side": side, "lo": min(p, q), "hi": max(p, q)})
+    return found
 
-    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tesserae.operators.overlay import from_rows
 
-        for batch in batches:
-            kept = []
-            for k, r in enumerate(batch.to_dict("records")):
-                a, b = from_rows(r["polygons"]), from_rows(r["o_polygons"])
-                same = (r["x"], r["y"]) == (r["o_x"], r["o_y"])
-                if (overlay_area(a, b, INTERSECTION) > 0) if same else _shared_stretch(a, b, touching):
-                    kept.append(k)
-            yield batch.iloc[kept][["fid", "o_fid"]].rename(columns={"fid": "a", "o_fid": "b"})
-
-    kind = fragments.schema["fid"].dataType.simpleString()
-    links = near.mapInPandas(refine, f"a {kind}, b {kind}")
-    loops = fragments.select(F.col("fid").alias("a"), F.col("fid").alias("b"))
-    named = fragments.join(connected_components(links.unionAll(loops)), F.col("fid") == F.col("node"))
-
-    def build(batch: pd.DataFrame) -> pd.DataFrame:
-        from tesserae.operators.overlay import from_rows
+def whole_buildings(fragments: DataFrame, centers: DataFrame, by: tuple[str, ...] = (), label: str | None = None, most_metres: float = 1000.0) -> DataFrame:
+    """(by, component, complete, fragments, label, height, polygons, area, center_x, center_y, radius): buildings put together across tiles, and certified.
 
+    Fragments (``building_fragments``) of one tile are one building if they overlap. Across a seam, neighbours are if their attributes agree, they share a stretch of the seam,
+    and what their tiles hold overlaps. A building is complete if its neighbours cover all of its parts' stretches of seams; one that isn't has no shape, as a part is never taken for a whole, nor has
+    one that is wider or higher than ``most_metres``. Shapes are in metres around the centre (by, lon, lat, basis). The height is that of all parts, null where they differ. ``label`` names a property of which
+    the smallest value among the parts is kept.
+    """
+    attributes = F.concat_ws("|", *(F.coalesce(F.try_element_at("properties", F.lit(a)), F.lit("")) for a in ATTRIBUTES))
+    # a name that holds for fragments of a tile wherever they are read
+    fid = F.concat_ws("/", *by, "x", "y", "nth")
+    rows = fragments.withColumns({"fid": fid, "attributes": attributes})
+    rows = rows.withColumns({"raw_box": shapes.bounds(shapes.outer_vertices(F.col("raw"))), "core_box": shapes.bounds(shapes.outer_vertices(F.col("core")))})
+    rows = stage(rows, "fragments")
+    boxed = rows.select(*by, "fid", "x", "y", "attributes", "raw", "core", "seams", "core_box", "raw_box.*")
+    names = ("fid", "x", "y", "attributes", "raw", "core", "seams", "core_box")
+    other = boxed.withColumnsRenamed({c: f"o_{c}" for c in names})
+    dx, dy = F.col("o_x") - F.col("x"), F.col("o_y") - F.col("y")
+    side = F.when(dx == 1, "right").when(dx == -1, "left").when(dy == 1, "bottom").otherwise("top")
+    back = F.when(dx == 1, "left").when(dx == -1, "right").when(dy == 1, "top").otherwise("bottom")
+    near = spatial_join.bbox_join(boxed, other, 1 / 32, F.col("fid") < F.col("o_fid"), by)
+    shared = cells.interval_overlaps(F.filter("seams", lambda i: i["side"] == side), F.filter("o_seams", lambda i: i["side"] == back), SEAM_EPS)
+    same = (dx == 0) & (dy == 0) & shapes.boxes_overlap(F.col("core_box"), F.col("o_core_box"), SEAM_EPS)
+    across = (F.abs(dx) + F.abs(dy) == 1) & (F.col("attributes") == F.col("o_attributes"))
+    near = near.withColumns({"side": side, "back": back, "shared": F.when(across, shared)}).where(same | (F.size("shared") > 0))
+    tested = near.select("fid", "o_fid", "side", "back", "shared", F.when(F.col("shared").isNull(), F.col("core")).otherwise(F.col("raw")).alias("a"), F.when(F.col("shared").isNull(), F.col("o_core")).otherwise(F.col("o_raw")).alias("b"))
+    meets = per_row(tested, "meets boolean", lambda r: {"meets": overlay_area(from_rows(r["a"]), from_rows(r["b"]), INTERSECTION) > AREA_EPS}, ["fid", "o_fid", "side", "back", "shared"])
+    links = stage(meets.where("meets"), "fragment-links")
+    loops = rows.select(F.col("fid").alias("a"), F.col("fid").alias("b"))
+    component = connected_components(links.select(F.col("fid").alias("a"), F.col("o_fid").alias("b")).unionAll(loops))
+    # what neighbours cover of each seam, and what they leave open
+    matched = links.select(F.explode(F.array(F.struct("fid", "side"), F.struct(F.col("o_fid").alias("fid"), F.col("back").alias("side")))).alias("e"), F.explode("shared").alias("i")).select("e.*", "i.lo", "i.hi")
+    covered = cells.interval_cover(matched.withColumn("seam", F.struct("fid", "side")), "seam", "lo", "hi", SEAM_EPS).select("seam.fid", "seam.side", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    asked = rows.select("fid", F.explode("seams").alias("i")).select("fid", "i.*")
+    held = asked.join(covered, ["fid", "side"], "left").groupBy("fid", "side", "lo", "hi").agg(F.bool_or((F.col("from") <= F.col("lo") + SEAM_EPS) & (F.col("to") >= F.col("hi") - SEAM_EPS)).alias("held"))
+    open_ = held.where(~F.coalesce("held", F.lit(False))).select("fid").distinct().withColumn("open", F.lit(True))
+    named = rows.join(component, F.col("fid") == F.col("node")).drop("node").join(open_, "fid", "left")
+    value = F.try_element_at("properties", F.lit(label)) if label else F.lit(None).cast("string")
+    told = named.groupBy(*by, "component").agg(
+        F.bool_and(F.col("open").isNull()).alias("complete"), F.count("*").alias("fragments"), F.min(value).alias("label"),
+        F.when(F.count_distinct("attributes") == 1, F.min(F.try_element_at("properties", F.lit("render_height")).cast("double"))).alias("height"),
+    )
+    placed = named.select("component", "core").join(told.where("complete"), "component").join(centers, list(by)) if by else named.select("component", "core").join(told.where("complete"), "component").crossJoin(centers.limit(1))
+
+    def build(own: list[dict]) -> list[dict]:
         union: list = []
-        for own in batch["polygons"]:
-            union = overlay(union, from_rows(own), UNION)
-        return pd.DataFrame([{"component": batch["component"].iloc[0], "polygons": to_rows(union), "area": shape_area(union), "fragments": len(batch)}])
-
-    whole = named.groupBy("component").applyInPandas(build, f"component {kind}, polygons {POLYGONS}, area double, fragments long")
-    return whole.join(circles_of(whole, "component"), "component")
-
-
-def _shared_stretch(a: list, b: list, touching: float) -> bool:
-    """Whether outlines of two shapes run along one another, on a horizontal or vertical line, for more than the tolerance."""
-    sides = [[(p, q) for polygon in s for ring in polygon for p, q in zip(ring, ring[1:], strict=False)] for s in (a, b)]
-    for axis in (0, 1):
-        flat = [[(p[axis], *sorted((p[1 - axis], q[1 - axis]))) for p, q in own if abs(p[axis] - q[axis]) <= touching] for own in sides]
-        for at, low, high in flat[0]:
-            if any(abs(at - o) <= touching and min(high, h) - max(low, lo) > touching for o, lo, h in flat[1]):
-                return True
-    return False
+        for r in own:
+            union = overlay(union, from_rows(r["core"]), UNION) if union or len(own) > 1 else from_rows(r["core"])
+        metres = _local(union, NATIVE_ZOOM, 0, 0, own[0]["lon"], own[0]["lat"], own[0]["basis"])
+        xs, ys = zip(*(p for polygon in metres for p in polygon[0]), strict=True)
+        if max(xs) - min(xs) > most_metres or max(ys) - min(ys) > most_metres:
+            return []
+        x, y, radius = enclosing_circle([p for polygon in metres for p in polygon[0]])
+        return [{"polygons": to_rows(metres), "area": shape_area(metres), "center_x": x, "center_y": y, "radius": radius}]
+
+    # a group is one building, whose size is bounded by what a building is; a larger one than any hole can take is left out
+    whole = per_group(placed.select("component", "core", "lon", "lat", "basis"), ["component"], f"polygons {RING_SHAPE}, area double, center_x double, center_y double, radius double", build)
+    return told.join(whole, "component", "left").select(*by, "component", "complete", "fragments", "label", "height", "polygons", "area", "center_x", "center_y", "radius")

@@ -1,10 +1,8 @@
 import math
 import random
-import struct
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tesserae.operators import overlay as V
 from tesserae.sources import tiles as T
@@ -63,56 +61,81 @@ def test_relations_are_assembled(spark):
     assert V.shape_area(V.from_rows(found[1])) == 15 and found[2] is None
 
 
-def number(field, value):
-    return varint(field << 3) + varint(value)
+tile = T.encode_tile
 
 
-def counted(field, data):
-    return varint(field << 3 | 2) + varint(len(data)) + data
+def open_box(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
 
 
-def varint(n):
-    out = b""
-    while n > 127:
-        out, n = out + bytes([n & 127 | 128]), n >> 7
-    return out + bytes([n])
+def certified(spark, *tiles):
+    """Buildings of tiles (x, y, features) around the equator."""
+    rows = [(x, y, bytearray(tile("building", [(p, r) for p, r in features]))) for x, y, features in tiles]
+    df = spark.createDataFrame(rows, "x int, y int, content binary")
+    centers = spark.createDataFrame([(0.0, 0.0, 0.0)], "lon double, lat double, basis double")
+    return T.whole_buildings(T.building_fragments(df), centers, label="name").collect()
 
 
-def tile(layer, features):
-    """A small encoder: features are (properties, rings of whole tile coordinates)."""
-    keys, values, body = [], [], b""
-    zig = lambda v: v << 1 if v >= 0 else (-v << 1) - 1
-    for properties, rings in features:
-        tags = b""
-        for k, v in properties.items():
-            keys.append(k)
-            values.append(counted(1, v.encode()) if isinstance(v, str) else varint(3 << 3 | 1) + struct.pack("<d", v))
-            tags += varint(len(keys) - 1) + varint(len(values) - 1)
-        x = y = 0
-        commands = b""
-        for ring in rings:
-            for k, (px, py) in enumerate(ring):
-                commands += (varint(1 << 3 | 1) if k == 0 else varint((len(ring) - 1) << 3 | 2) if k == 1 else b"") + varint(zig(px - x)) + varint(zig(py - y))
-                x, y = px, py
-            commands += varint(1 << 3 | 7)
-        body += counted(2, counted(2, tags) + number(3, 3) + counted(4, commands))
-    return counted(3, number(15, 2) + counted(1, layer.encode()) + body + b"".join(counted(3, k.encode()) for k in keys) + b"".join(counted(4, v) for v in values) + number(5, 4096))
-
-
-def test_tiles_round_trip_and_stitch_across_a_seam(spark, tmp_path):
-    left = tile("building", [({"render_height": 9.0}, [[(4000, 100), (4160, 100), (4160, 200), (4000, 200)]])])
-    right = tile("building", [({"render_height": 9.0}, [[(-96, 100), (80, 100), (80, 200), (-96, 200)]]), ({}, [[(1000, 1000), (1100, 1000), (1100, 1100), (1000, 1100)]])])
+def test_tiles_read_from_files_stitch_across_a_seam(spark, tmp_path):
+    left = tile("building", [({"render_height": 9.0}, [open_box(4000, 100, 4160, 200)])])
+    right = tile("building", [({"render_height": 9.0}, [open_box(-96, 100, 80, 200)]), ({}, [open_box(1000, 1000, 1100, 1100)])])
     for x, data in ((8192, left), (8193, right)):
         (tmp_path / "14" / str(x)).mkdir(parents=True)
         (tmp_path / "14" / str(x) / "8191.pbf").write_bytes(data)
-    fragments = T.tile_fragments(T.read_tiles(spark, str(tmp_path)), "building", 0.011, 0.01)
-    rows = fragments.withColumn("fid", F.col("x") * 1000 + F.col("nth"))
-    whole = sorted(T.whole_buildings(rows).select("fragments", "area").collect())
-    assert [r["fragments"] for r in whole] == [1, 2]
+    read = T.read_tiles(spark, str(tmp_path))
+    assert T.tile_fragments(read, "building", 0.011, 0.01).count() == 3
+    centers = spark.createDataFrame([(0.011, 0.01, 0.01)], "lon double, lat double, basis double")
+    whole = sorted(T.whole_buildings(T.building_fragments(read), centers).select("fragments", "complete", "area").collect())
+    assert [(r["fragments"], r["complete"]) for r in whole] == [(1, True), (2, True)]
     cell = (2 * math.pi * 6378137 / 16384 / 4096) ** 2
     assert whole[1]["area"] == pytest.approx(176 * 100 * cell, rel=1e-3)
 
 
+def test_touching_houses_stay_apart_and_overlaps_merge(spark):
+    a, b, c = open_box(100, 100, 150, 150), open_box(150, 100, 200, 150), open_box(110, 110, 140, 140)
+    found = certified(spark, (8192, 8192, [({"name": "1"}, [a]), ({"name": "2"}, [b]), ({"name": "3"}, [c]), ({"name": "4"}, [a])]))
+    assert sorted((r["label"], r["fragments"], r["complete"]) for r in found) == [("1", 3, True), ("2", 1, True)]
+    assert all(r["radius"] > 0 for r in found)
+
+
+def test_cut_walls_need_their_counterpart(spark):
+    rings = [open_box(-50, 100, 50, 200), open_box(-20, 120, 20, 180)[::-1]]
+    left = [[(x + 4096, y) for x, y in ring] for ring in rings]
+    a, b = (8191, 8192, [({"render_height": 5.0}, left)]), (8192, 8192, [({"render_height": 5.0}, rings)])
+    (whole,) = certified(spark, a, b)
+    assert whole["complete"] and whole["fragments"] == 2 and len(whole["polygons"][0]) == 2 and whole["height"] == 5
+    for tiles in ((a,), (a, (8192, 8192, [])), (a, (8193, 8192, b[2]))):
+        assert not any(r["complete"] or r["polygons"] for r in certified(spark, *tiles))
+    # contradictory heights stay uncertified, and so does a neighbour that covers a part of the wall only
+    assert [r["complete"] for r in certified(spark, a, (8192, 8192, [({"render_height": 50.0}, rings)]))] == [False, False]
+    assert not any(r["complete"] for r in certified(spark, a, (8192, 8192, [({"render_height": 5.0}, [open_box(-50, 100, 50, 150)])])))
+    # two neighbours that cover it together
+    halves = [({"render_height": 5.0}, [open_box(-50, 100, 50, 160)]), ({"render_height": 5.0}, [open_box(-50, 150, 50, 200)])]
+    (whole,) = certified(spark, (8191, 8192, [({"render_height": 5.0}, [[(x + 4096, y) for x, y in open_box(-50, 100, 50, 200)]])]), (8192, 8192, halves))
+    assert whole["complete"] and whole["fragments"] == 3
+
+
+def test_a_corner_on_a_seam_needs_a_neighbour(spark):
+    diamond = [(4096, 150), (4046, 200), (3996, 150), (4046, 100)]
+    assert [r["complete"] for r in certified(spark, (8192, 8192, [({}, [diamond])]))] == [False]
+    assert [r["complete"] for r in certified(spark, (8192, 8192, [({}, [[(x - 1, y) for x, y in diamond]])]))] == [True]
+
+
+def test_wide_buildings_and_differing_heights(spark):
+    wide = certified(spark, (8192, 8192, [({}, [open_box(100, 100, 2000, 200)])]))
+    assert [(r["complete"], r["polygons"]) for r in wide] == [(True, None)]
+    (two,) = certified(spark, (8192, 8192, [({"render_height": 3.0}, [open_box(100, 100, 200, 200)]), ({"render_height": 30.0}, [[(150, 150), (400, 160), (260, 190), (300, 300), (150, 250)]])]))
+    assert two["complete"] and two["height"] is None and len(two["polygons"][0][0]) > 8
+
+
+def test_kernels_take_shapes_of_many_parts(spark):
+    shape = [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in p] for p in ([box(0, 0, 9, 9), box(1, 1, 2, 2)], [[(20, 0), (30, 0), (25, 5), (20, 0)]])]
+    df = spark.createDataFrame([(1, shape)], "id long, polygons array<array<array<struct<x:double,y:double>>>>")
+    assert V.circles_of(df, "id").first()["radius"] == pytest.approx(V.enclosing_circle([(0, 0), (9, 9), (0, 9), (30, 0), (25, 5)])[2])
+    assert V.footprints_of(df, "id").first()["area"] == 81 - 1 + 25
+    assert V.water_boundary(df, "id").count() > 1
+
+
 def test_water_policy_fails_closed(spark):
     good = pd.DataFrame({"z": [14], "x": [0], "y": [0], "content": [tile("water", [({"class": "lake"}, [[(0, 0), (9, 0), (9, 9)]]), ({"class": "dock"}, [[(0, 0), (9, 0), (9, 9)]])])]})
     bad = pd.DataFrame({"z": [14], "x": [0], "y": [0], "content": [tile("water", [({"class": "lava"}, [[(0, 0), (9, 0), (9, 9)]])])]})
