@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checks, features, grids, land, raster, state, tiles
+from . import checks, features, grids, land, raster, state, stores, tiles
 
-_modules = (raster, grids, features, checks, state, tiles, land)
+_modules = (raster, grids, features, checks, state, tiles, land, stores)
 
 
 def queries():
