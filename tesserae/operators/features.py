@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tesserae.functions.checks import required
+from tesserae.functions.checks import fingerprint, required
 
 from .spatial_join import BOX, bbox_join
 
@@ -192,6 +192,12 @@ def take_within_budget(rows: DataFrame, key: str, order: list[str], cost: str, b
     return sorted_rows.mapInPandas(pick, schema)
 
 
+def content_fingerprints(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, fingerprint) of each key's texts in order; nulls are left out. The digest is sequential by definition, so a key's rows, those of one chunk or sector, meet in one group."""
+    held = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("__v"))
+    return held.select(key, fingerprint(F.transform("__v", lambda x: x["v"])).alias("fingerprint"))
+
+
 def geonames(spark: SparkSession, path: str) -> DataFrame:
     """Populated places of a 19-column tab-separated gazetteer, within the map, with up to three other names."""
     columns = "id bigint, name string, ascii string, alternate string, lat double, lon double, class string, code string, country string, cc2 string, a1 string, a2 string, a3 string, a4 string, population bigint, elevation string, dem string, tz string, modified string"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import checks
 from tesserae.functions import frames as f
+from tesserae.operators import features
 
 from . import bridge as B
 from .grids import PT, s6
@@ -34,4 +35,18 @@ def canonical_tiles(spark, sf_dir):
 
 TILES = "SELECT c_custkey, 10 AS z, ((c_custkey * 37 - 9000) % 1024 + 1024) % 1024 AS x, c_custkey % 1024 AS y FROM customer"
 
-QUERIES = {"short_ids": (short_ids, SHORT), "extents": (extents, EXTENTS), "canonical_tiles": (canonical_tiles, TILES)}
+def content_fingerprints(spark, sf_dir):
+    """The fingerprint of each customer's orders, as texts in order of their keys."""
+    texts = B.table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "concat(o_orderpriority, ' ', o_orderkey) AS text")
+    return features.content_fingerprints(texts, "o_custkey", "o_orderkey", "text")
+
+
+def _lane(first, factor):
+    return f"printf('%08x', list_reduce(c, lambda h, x: CAST(CAST(xor(h, x) AS HUGEINT) * {factor} % 4294967296 AS BIGINT), CAST({first} AS BIGINT)))"
+
+
+FINGERPRINTS = f"""WITH t AS (SELECT o_custkey, list(o_orderpriority || ' ' || o_orderkey || chr(1) ORDER BY o_orderkey) AS v FROM orders GROUP BY 1),
+  u AS (SELECT o_custkey, list_transform(list_filter(string_split(array_to_string(v, ''), ''), lambda x: x <> ''), lambda x: CASE WHEN x = chr(1) THEN 0 ELSE CAST(unicode(x) AS BIGINT) END) AS c FROM t)
+SELECT o_custkey, {' || '.join(_lane(*x) for x in checks.LANES)} AS fingerprint FROM u"""
+
+QUERIES = {"content_fingerprints": (content_fingerprints, FINGERPRINTS), "short_ids": (short_ids, SHORT), "extents": (extents, EXTENTS), "canonical_tiles": (canonical_tiles, TILES)}

@@ -92,3 +92,20 @@ def test_circumcircle_and_holes(spark):
     df = spark.range(1).select(*[F.expr(pts.format(x, y)).alias(n) for n, x, y in (("a", 0.0, 0.0), ("b", 4.0, 0.0), ("c", 0.0, 4.0), ("d", 8.0, 0.0))])
     r = df.select(shapes.circumcircle(F.col("a"), F.col("b"), F.col("c")).alias("k"), shapes.circumcircle(F.col("a"), F.col("b"), F.col("d")).alias("n")).first()
     assert (r["k"]["x"], r["k"]["y"]) == (2.0, 2.0) and r["n"] is None
+
+
+def test_fingerprints_unit_by_unit(spark):
+    from tesserae.functions.checks import LANES, fingerprint
+
+    def lanes(texts):
+        state = [first for first, _ in LANES]
+        for text in texts:
+            raw = text.encode("utf-16-be")
+            for unit in [*(int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw), 2)), 0]:
+                state = [(s ^ unit) * factor % 2**32 for s, (_, factor) in zip(state, LANES, strict=True)]
+        return "".join(f"{s:08x}" for s in state)
+
+    cases = [[], [""], ["a"], ["a", ""], ["", "a"], ["ab", "c"], ["a", "bc"], ["Ünï 日本", "😀 x"], ["long " * 500], ["b", "a"]]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "id int, v array<string>").select("id", fingerprint(F.col("v")).alias("f"))
+    got = {r["id"]: r["f"] for r in df.collect()}
+    assert got == {k: lanes(c) for k, c in enumerate(cases)} and len(set(got.values())) == len(cases)
