@@ -149,7 +149,10 @@ def candidates(rows: DataFrame, signed: Callable[[pd.DataFrame], Iterator[tuple[
         chosen[np.unique(gid, return_index=True)[1]] = True
         chosen &= hot | (size > 2)
         own, _, n = _select(node, head, size, chosen)
-        return pd.concat([pairs, _rows(own, np.zeros(len(own), np.int64), np.repeat(gid[chosen], n))])
+        out = pd.concat([pairs, _rows(own, np.zeros(len(own), np.int64), np.repeat(gid[chosen], n))])
+        del batch, node, raw, wide, short, own, gid
+        release_memory()
+        return out
 
     dealt = rows.mapInPandas(sign, "bucket long, nodes binary, counts binary, sigs binary")
     return dealt.groupBy("bucket").applyInPandas(meet, CANDIDATES)

@@ -6,6 +6,7 @@ import ctypes
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def release_memory() -> None:
-    """Give back what this worker has freed; workers live on, and stages with other needs share their executor's memory."""
+    """Give back what this worker has freed, Arrow's pool included; workers live on, and stages with other needs share their executor's memory."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

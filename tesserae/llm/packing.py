@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, text_or_empty
+from .common import release_memory, small_batches, stage, text_or_empty
 from .tokens import VOCABULARY, batch_ids, byte_pairs, pieces_of_batch
 
 MAX_QUEUES = 200_000
@@ -84,6 +84,7 @@ def pack(
                     "doc_id": part["doc_id"].to_numpy(), "queue": part["queue"].to_numpy(), "file": part["file"].to_numpy(), "row": firsts, "task": task, "run": runs, "place": places,
                     "n": [len(own) + 1 for own in ids], "ids": [own.astype(small).tobytes() + end for own in ids],
                 })
+        release_memory()
 
     token_rows = stage(rows.mapInPandas(tokenise, f"doc_id {id_type}, queue string, file string, row long, task long, run long, place long, n long, ids binary"), "packing-ids")
     chunk = ["queue", "task", "run"]
@@ -112,6 +113,7 @@ def pack(
             if keep_ids:
                 out["ids"] = [bytes(x) for x in own]
             yield out
+        release_memory()
 
     return placed.mapInPandas(cut, f"doc_id {id_type}, {PIECES}" + ", ids binary" * keep_ids)
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collide import SIGNATURES_PER_BUCKET, candidates, linked_components
-from .common import IdFilter, shuffle_partitions, small_batches, stage, stage_result, text_or_empty
+from .common import IdFilter, release_memory, shuffle_partitions, small_batches, stage, stage_result, text_or_empty
 from .shingles import mix, set_digests, shingle_sets
 from .tokens import pieces_of_batch
 
@@ -155,6 +155,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
                 elements, sizes = _sets(part["text"], width)
                 node, sketch = set_digests(elements, sizes)[0], parity_sketches(elements, sizes)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": sizes, "node": node, "sketch": sketch})
+        release_memory()
 
     described = stage(rows.mapInPandas(describe, f"doc_id {id_type}, n long, node long, sketch array<long>"), "partenum-sets")
     nodes = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -240,6 +241,7 @@ def _needed_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, width: in
                 raw, ends = elements.tobytes(), 8 * np.cumsum(sizes)
                 sets = [raw[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pd.DataFrame({"node": set_digests(elements, sizes)[0], "elements": sets})
+        release_memory()
 
     return stage(texts.mapInPandas(shingle, "node long, elements binary").join(wanted, "node", "left_semi"), "partenum-needed")
 
@@ -268,6 +270,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int
                     if scheme.similar(shared, len(own), len(x)):
                         linked.append((a, node))
             yield pd.DataFrame(linked, columns=["a", "b"])
+        release_memory()
 
     return dealt.select("a", "node", "elements").mapInPandas(compare, "a long, b long").distinct()
 
