@@ -11,6 +11,7 @@ CHUNK_METRES = 512.0
 CHUNKS_PER_AXIS = 6
 RADIUS_START, RADIUS_CAP, GROWTH = 18.0, 500.0, 0.06
 FIT_TOLERANCE, BOUNDARY_EPS, MOTION_EPS = 1.06, 1e-8, 1e-9
+EDGE_EPS = 8 * 2.0**-52
 NATIVE_ZOOM, TILES_PER_AXIS = 14, 16384
 LATITUDE_LIMIT = 84.9
 MERCATOR_LIMIT = 85.0511287798066

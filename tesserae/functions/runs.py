@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ARENA_HALF, GOALS, GROWTH, MILESTONES, RADIUS_CAP, RADIUS_START
+from .constants import ARENA_HALF, ARENA_METRES, CELL_METRES, GOALS, GROWTH, MILESTONES, RADIUS_CAP, RADIUS_START
 
 
 def growth_radius(area: Column) -> Column:
@@ -55,3 +55,13 @@ def prefetch_box(x: Column, y: Column, radius: Column, margin: float, dx: Column
     high = lambda p, d: F.least(F.lit(ARENA_HALF), p + radius + margin + F.greatest(F.lit(0.0), d))
     return F.struct(low(x, lx).alias("min_x"), low(y, ly).alias("min_y"), high(x, lx).alias("max_x"), high(y, ly).alias("max_y"))
 
+
+
+def run_frame(lon: Column, lat: Column, basis: Column, boundary: Column, region: Column, score_area: Column) -> Column:
+    """The frame that a run is saved with; the basis is the centre's latitude where none is given."""
+    return F.struct(lon.alias("lon"), lat.alias("lat"), F.coalesce(basis, lat).alias("basis"), F.lit(ARENA_METRES).alias("arena"), F.lit(CELL_METRES).alias("cell"), boundary.alias("boundary"), region.alias("region"), score_area.alias("score_area"))
+
+
+def resumed(saved: Column, version: str, fresh: Column) -> Column:
+    """A saved run of this version, else a fresh one."""
+    return F.when(F.coalesce(compatible(saved["version"], F.lit(version)), F.lit(False)) & saved.isNotNull(), saved).otherwise(fresh)

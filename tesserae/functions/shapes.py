@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ARENA_HALF, BOUNDARY_EPS, FIT_TOLERANCE
+from .constants import ARENA_HALF, BOUNDARY_EPS, EDGE_EPS, FIT_TOLERANCE, MOTION_EPS
 
 
 
@@ -235,3 +235,34 @@ def seam_intervals(polygons: Column, axis: str, at, eps: float = 1e-10) -> Colum
     every = F.flatten(F.transform(F.flatten(polygons), edges))
     along = F.filter(every, lambda e: (F.abs(e["a"][axis] - at) <= eps) & (F.abs(e["b"][axis] - at) <= eps) & (F.abs(e["a"][other] - e["b"][other]) > eps))
     return F.array_sort(F.transform(along, lambda e: F.struct(F.least(e["a"][other], e["b"][other]).alias("lo"), F.greatest(e["a"][other], e["b"][other]).alias("hi"))))
+
+
+def crossing_shares(x: Column, y: Column, dx: Column, dy: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Shares of a way (x, y) + t (dx, dy) at which it meets an edge: none, one, or the two ends of the part that it runs along the edge."""
+    ex, ey, rx, ry = bx - ax, by - ay, ax - x, ay - y
+    turn, size = dx * ey - dy * ex, dx * dx + dy * dy
+    t, u = F.try_divide(rx * ey - ry * ex, turn), F.try_divide(rx * dy - ry * dx, turn)
+    within = lambda s: s.between(-EDGE_EPS, 1 + EDGE_EPS)
+    clamp = lambda s: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))
+    none = F.array().cast("array<double>")
+    a, b = F.try_divide(rx * dx + ry * dy, size), F.try_divide((bx - x) * dx + (by - y) * dy, size)
+    along = (F.abs(rx * dy - ry * dx) <= MOTION_EPS * F.sqrt(size)) & (size > 0) & (F.greatest(a, b) >= 0) & (F.least(a, b) <= 1)
+    return F.when(turn != 0, F.when(within(t) & within(u), F.array(clamp(t))).otherwise(none)).when(F.coalesce(along, F.lit(False)), F.array(clamp(a), clamp(b))).otherwise(none)
+
+
+def capsule(x: Column, y: Column, x2: Column, y2: Column, radius: Column) -> Column:
+    """A swept circle: length of the way, square of the radius, the heights it spans, and the corners of the rectangle along the way, null for a circle at rest."""
+    dx, dy = x2 - x, y2 - y
+    size = F.hypot(dx, dy)
+    nx, ny = F.try_divide(-dy, size) * radius, F.try_divide(dx, size) * radius
+    corners = F.array(point(x + nx, y + ny), point(x2 + nx, y2 + ny), point(x2 - nx, y2 - ny), point(x - nx, y - ny))
+    return F.struct(size.alias("length"), (radius * radius).alias("r2"), (F.least(y, y2) - radius).alias("min_y"), (F.greatest(y, y2) + radius).alias("max_y"), F.when(size > 0, corners).alias("corners"))
+
+
+def outward_normal(x: Column, y: Column, edge: Column, polygon: Column, probe: float = 1e-4) -> Column:
+    """The unit normal of an edge that points out of the polygon at a point of it: away from the side on which a point close by is inside."""
+    dx, dy = edge["b"]["x"] - edge["a"]["x"], edge["b"]["y"] - edge["a"]["y"]
+    size = F.hypot(dx, dy)
+    nx, ny = F.try_divide(dy, size), F.try_divide(-dx, size)
+    sign = F.when(in_polygon(x + nx * probe, y + ny * probe, polygon), -1.0).otherwise(1.0)
+    return F.struct((nx * sign + 0.0).alias("x"), (ny * sign + 0.0).alias("y"))
