@@ -266,3 +266,75 @@ def outward_normal(x: Column, y: Column, edge: Column, polygon: Column, probe: f
     nx, ny = F.try_divide(dy, size), F.try_divide(-dx, size)
     sign = F.when(in_polygon(x + nx * probe, y + ny * probe, polygon), -1.0).otherwise(1.0)
     return F.struct((nx * sign + 0.0).alias("x"), (ny * sign + 0.0).alias("y"))
+
+
+def _opened(ring: Column) -> Column:
+    """A ring without its closing point."""
+    return F.when((F.size(ring) > 1) & (ring[0] == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+
+
+def _chains(ring: Column, axis: str, edge: Column, inside: Callable[[Column], Column]) -> Column:
+    """The stretches of an open ring that lie inside, each with the points where it enters and leaves; the ring has points on both sides."""
+    other = "y" if axis == "x" else "x"
+
+    def crossing(a: Column, b: Column) -> Column:
+        across = a[other] + (edge - a[axis]) * F.try_divide(b[other] - a[other], b[axis] - a[axis])
+        return point(edge, across) if axis == "x" else point(across, edge)
+
+    def cut(r: Column) -> Column:
+        def stretches(held: Column) -> Column:
+            n = F.size(r)
+            following = lambda i: F.get(r, (i + 1) % n)
+            at = lambda first: F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(held, i) == F.lit(not first)) & (F.get(held, (i + 1) % n) == F.lit(first)))
+            chain = lambda i, j: F.struct(crossing(F.get(r, i), following(i)).alias("enter"), F.slice(r, i + 2, j - i).alias("within"), crossing(F.get(r, j), following(j)).alias("leave"))
+            return F.zip_with(at(True), at(False), chain)
+
+        return let(F.transform(r, inside), stretches)
+
+    turned = let(F.array_position(F.transform(ring, inside), False).cast("int"), lambda k: F.concat(F.slice(ring, k, F.size(ring) - k + 1), F.slice(ring, F.lit(1), k - 1)))
+    return let(turned, cut)
+
+
+def _joined(chains: Column, other: str) -> Column:
+    """Closed rings of chains: along the cut, where one leaves, the one that enters at the same rank goes on, as what is inside alternates there."""
+    count = F.size(chains)
+    ranked = lambda end: F.transform(F.array_sort(F.transform(chains, lambda c, k: F.struct(c[end][other].alias("at"), k.alias("k")))), lambda s: s["k"])
+
+    def rings(following: Column) -> Column:
+        every = F.sequence(F.lit(0), count - 1)
+        least = F.aggregate(every, every, lambda held, _: F.transform(held, lambda x, k: F.least(x, F.get(held, F.element_at(following, k)))))
+        none = F.filter(F.flatten(F.transform(chains, lambda c: c["within"])), lambda _: F.lit(False))
+
+        def ring(first: Column) -> Column:
+            start = F.struct(first.alias("at"), none.alias("points"), F.lit(False).alias("done"))
+
+            def step(s: Column, _: Column) -> Column:
+                c, then = F.get(chains, s["at"]), F.element_at(following, s["at"])
+                points = F.concat(s["points"], F.array(c["enter"]), c["within"], F.array(c["leave"]))
+                return F.struct(F.when(s["done"], s["at"]).otherwise(then).alias("at"), F.when(s["done"], s["points"]).otherwise(points).alias("points"), (s["done"] | (then == first)).alias("done"))
+
+            return F.aggregate(every, start, step, lambda s: F.concat(s["points"], F.slice(s["points"], 1, 1)))
+
+        return let(least, lambda held: F.transform(F.filter(every, lambda k: F.get(held, k) == k), ring))
+
+    found = let(F.map_from_arrays(ranked("leave"), ranked("enter")), rings)
+    return F.when(count > 0, found).otherwise(F.array().cast("array<array<struct<x:double,y:double>>>"))
+
+
+def cut_polygon(polygon: Column, axis: str, edge, keep_above: bool) -> Column:
+    """What lies on one side of a vertical or horizontal line, as an array of polygons: a concave one falls into several, and a hole that the line meets becomes part of the outline."""
+    edge, other = edge if isinstance(edge, Column) else F.lit(float(edge)), "y" if axis == "x" else "x"
+    inside = lambda p: (p[axis] > edge) if keep_above else (p[axis] < edge)
+    beside = lambda p: (p[axis] >= edge) if keep_above else (p[axis] <= edge)
+    wound = F.transform(polygon, lambda r, k: let(_opened(r), lambda o: F.when((signed_area(o) > 0) == (k == 0), o).otherwise(F.reverse(o))))
+
+    def cut(rings: Column) -> Column:
+        met = F.filter(rings, lambda r: F.exists(r, inside) & F.exists(r, lambda p: ~inside(p)))
+        holes = F.filter(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: F.forall(r, inside))
+        closed = lambda r: F.concat(r, F.slice(r, 1, 1))
+        pieces = let(F.flatten(F.transform(met, lambda r: _chains(r, axis, edge, inside))), lambda c: _joined(c, other))
+        solid = F.filter(pieces, lambda r: F.abs(signed_area(r)) > 0)
+        own = lambda r: F.concat(F.array(r), F.transform(F.filter(holes, lambda h: in_ring(h[0]["x"], h[0]["y"], r)), closed))
+        return F.when(F.size(rings) == 0, F.array(rings)).when(F.forall(F.flatten(rings), beside), F.array(F.transform(rings, closed))).otherwise(F.transform(solid, own))
+
+    return let(wound, cut)
