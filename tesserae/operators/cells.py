@@ -61,8 +61,10 @@ def capsule_spans(shapes: DataFrame) -> DataFrame:
     rows = rows.withColumns({"__right": rightmost, "__left": leftmost})
     half = lambda s: F.sqrt(F.greatest(F.lit(0.0), r * r - (c - dy * s) * (c - dy * s)))
     right, left = x + dx * F.col("__right") + half(F.col("__right")), x + dx * F.col("__left") - half(F.col("__left"))
-    rows = rows.withColumns({"lo": _first(left), "hi": _last(right)})
-    return rows.drop("x", "y", "x2", "y2", "radius", *(f"__{n}" for n in ("dx", "dy", "tilt", "c", "from", "to", "right", "left"))).where("lo <= hi")
+    # one span to a row: a filter on it isn't pushed below, where the formula would be computed again
+    rows = rows.withColumn("__span", F.explode(F.array(F.struct(_first(left).alias("lo"), _last(right).alias("hi")))))
+    rows = rows.drop("x", "y", "x2", "y2", "radius", *(f"__{n}" for n in ("dx", "dy", "tilt", "c", "from", "to", "right", "left")))
+    return rows.withColumns({"lo": F.col("__span.lo"), "hi": F.col("__span.hi")}).drop("__span").where("lo <= hi")
 
 
 def disc_spans(shapes: DataFrame) -> DataFrame:

@@ -182,6 +182,13 @@ def components(spark, sf_dir):
     return graph.connected_components(lines.unionAll(orders))
 
 
+# every node takes the smallest number among its neighbours' until none changes
+COMPONENTS = """WITH RECURSIVE e AS MATERIALIZED (SELECT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem UNION SELECT o_orderkey + 1000000000, o_custkey + 20000000 FROM orders), g AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  c(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM g GROUP BY a
+    UNION SELECT n.node, n.component FROM (SELECT g.a AS node, min(c.component) AS component FROM c JOIN g ON g.b = c.node GROUP BY 1) n JOIN recurring.c AS r ON r.node = n.node WHERE n.component < r.component)
+SELECT node, component FROM c"""
+
+
 def snapshot_diff(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders")
     before, after = o.where("o_orderkey % 5 <> 0").select("o_orderkey", "o_orderstatus"), o.where("o_orderkey % 7 <> 0").selectExpr("o_orderkey", "IF(o_orderkey % 11 = 0, 'X', o_orderstatus) AS o_orderstatus")
@@ -287,7 +294,7 @@ QUERIES = {
     "interval_cover": (interval_cover, COVER),
     "interval_overlap": (interval_overlap, OVERLAP),
     "endpoint_parity": (endpoint_parity, PARITY),
-    "components": (components, None),
+    "components": (components, COMPONENTS),
     "snapshot_diff": (snapshot_diff, DIFF),
     "way_join": (way_join, WAYS),
     "suppressed_members": (suppressed_members, SUPPRESSED),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import frames as f
 from tesserae.functions import runs, shapes
-from tesserae.operators import boundaries, containment, overlay, spatial_join
+from tesserae.operators import boundaries, clip, containment, overlay, spatial_join
 from tesserae.sources.staging import stage, stage_result
 
 from . import bridge as B
@@ -142,7 +142,20 @@ def hole_helpers(spark, sf_dir):
 HELPERS = f"""SELECT id, 5.0 AS length, cy - w AS low, w * w AS r2, floor((cx - 4 / 5.0 * w) * 1e6 + 0.5) / 1e6 AS corner, CAST(0 AS DOUBLE) AS south_x, CAST(-1 AS DOUBLE) AS south_y, CAST(-1 AS DOUBLE) AS court_x,
   floor(CASE WHEN id % 2 = 0 THEN cy / 50 ELSE cy / 40 END * 1e9 + 0.5) / 1e9 AS basis, 3000.0 AS arena, CASE WHEN id % 3 = 1 THEN id * 4 ELSE 0 END AS area FROM ({B.RECTS})"""
 
+def concave_clip(spark, sf_dir):
+    """Buildings with a bay, cut to boxes: how many parts remain, and their area."""
+    cx, cy, w, h, k = (F.col(c) for c in ("cx", "cy", "w", "h", "id"))
+    p = shapes.point
+    outline = F.array(p(cx - w, cy - h), p(cx + w, cy - h), p(cx + w, cy + h), p(cx + w / 4, cy + h), p(cx + w / 4, cy - h / 2), p(cx - w / 4, cy - h / 2), p(cx - w / 4, cy + h), p(cx - w, cy + h))
+    low = F.when(k % 3 == 0, cy - 2 * h).otherwise(cy - h / 4)
+    rows = B.rects(spark, sf_dir).select("id", F.array(F.array(outline)).alias("parts"), (cx - w / 2).alias("x0"), low.alias("y0"), (cx + w * 2).alias("x1"), (cy + h / 2).alias("y1"))
+    cut = clip.clip_polygons(rows, "parts", *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    return cut.select("id", F.size("parts").alias("parts"), shapes.multipolygon_area(F.col("parts")).alias("area"))
+
+
+CLIP = f"SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END AS INT) AS parts, CASE WHEN id % 3 = 0 THEN w * 1.5 * h * 1.5 - w / 2 * h ELSE (w / 4 + w * 0.75) * h * 0.75 END AS area FROM ({B.RECTS})"
+
 QUERIES = {
-    "land_regions": (land_regions, LAND), "boundary_check": (boundary_check, CHECKED), "prepared_land": (prepared_land, PREPARED), "overlay_shapes": (overlay_shapes, OVERLAYS),
+    "concave_clip": (concave_clip, CLIP), "land_regions": (land_regions, LAND), "boundary_check": (boundary_check, CHECKED), "prepared_land": (prepared_land, PREPARED), "overlay_shapes": (overlay_shapes, OVERLAYS),
     "parts_in_concave_parents": (parts_in_concave_parents, CONCAVE), "edge_crossings": (edge_crossings, CROSSINGS), "hole_helpers": (hole_helpers, HELPERS),
 }
