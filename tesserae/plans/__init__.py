@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checks, features, grids, land, overlays, raster, state, stores, tiles
+from . import checks, extracts, features, grids, land, overlays, raster, state, stores, tiles
 
-_modules = (raster, grids, features, checks, state, tiles, land, stores, overlays)
+_modules = (raster, grids, features, checks, state, tiles, land, stores, overlays, extracts)
 
 
 def queries():

@@ -109,3 +109,26 @@ def test_fingerprints_unit_by_unit(spark):
     df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "id int, v array<string>").select("id", fingerprint(F.col("v")).alias("f"))
     got = {r["id"]: r["f"] for r in df.collect()}
     assert got == {k: lanes(c) for k, c in enumerate(cases)} and len(set(got.values())) == len(cases)
+
+
+def test_raw_extracts_with_provenance(spark, tmp_path):
+    import hashlib
+
+    from tesserae.sources import extracts
+
+    good = json.dumps({"generator": "g", "osm3s": {"timestamp_osm_base": "2024-01-01T00:00:00Z"}, "elements": [{"type": "way", "id": 1}, {"type": "node", "id": 2}]}).encode()
+    (tmp_path / "a.json").write_bytes(good)
+    (row,) = extracts.read_extracts(spark, str(tmp_path / "a.json")).collect()
+    assert row["raw_sha256"] == hashlib.sha256(good).hexdigest() and row["elements"] == 2 and row["osm_timestamp"].startswith("2024") and row["bytes"] == len(good)
+    for n, bad in enumerate((json.dumps({"remark": "timed out", "elements": [{"type": "way", "id": 1}]}), json.dumps({"elements": []}), "<html>")):
+        (tmp_path / f"bad{n}.json").write_text(bad)
+        with pytest.raises(Exception, match="extract"):
+            extracts.read_extracts(spark, str(tmp_path / f"bad{n}.json")).collect()
+
+
+def test_sector_queries_split_at_the_date_line(spark):
+    from tesserae.sources import extracts
+
+    df = spark.createDataFrame([(1, 10.0, 50.0), (2, 179.99, 0.0)], "id int, lon double, lat double")
+    got = {r["id"]: r["q"] for r in df.select("id", extracts.sector_query(F.col("lon"), F.col("lat"), F.col("lat"), False).alias("q")).collect()}
+    assert got[1].count("building") == 2 and got[2].count("wr[") == 2 and ",180.0000000);" in got[2] and ",-180.0000000," in got[2]
