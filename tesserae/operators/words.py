@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.checks import required
-from tesserae.functions.constants import ARENA_HALF, CELL_AREA, CHUNK_CELLS, CHUNK_METRES, GRID_CELLS
+from tesserae.functions.constants import ARENA_HALF, CELL_AREA, CELL_METRES, CHUNK_CELLS, CHUNK_METRES, GRID_CELLS
 
 from .cells import polygon_spans
 
 KEY = ("cx", "cy", "w")
 CHUNK_WORDS = 1024
 CHUNK_BYTES = 8192
+SIGN = -(1 << 63)  # the word of the last place alone
 #: Masks of the places 0 to 63 whose number has bit n set, as signed numbers.
 PLACE_BITS = [int.from_bytes(sum(1 << k for k in range(64) if k >> n & 1).to_bytes(8, "little"), "little", signed=True) for n in range(6)]
 
@@ -160,6 +161,44 @@ def consume(shapes: DataFrame, coverage: DataFrame, consumed: DataFrame, key: st
     return every.join(won, [*by, key], "left").withColumn("area_m2", F.coalesce("area_m2", _none()))
 
 
+def first_touch(shapes: DataFrame, coverage: DataFrame, seq: str = "seq", by: tuple[str, ...] = (), salts: int = 16) -> DataFrame:
+    """(by, seq, cx, cy, w, bits): for each covered cell the first shape that reaches it, as the bits that each shape was first to reach in a word.
+
+    What a shape adds to a word are its bits without those of all shapes before it. First, shapes are dealt to ``salts`` groups, in each of which those go that add nothing to the ones before
+    them: at most 64 for each word remain, however many shapes there were. So the second pass, over all that remain, has few rows for any word.
+    """
+
+    def fresh(rows: DataFrame, *keys: str) -> DataFrame:
+        before = Window.partitionBy(*by, *KEY, *keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("bits").over(before), _none())))).where("bits <> 0")
+
+    dealt = common(shapes, coverage, by).withColumn("__salt", F.pmod(F.xxhash64(seq), F.lit(salts)))
+    return fresh(fresh(dealt, "__salt").drop("__salt")).select(*by, seq, *KEY, "bits")
+
+
+def _lowest(bits: Column) -> Column:
+    """The place of the lowest bit that is set."""
+    return F.bit_count(bits.bitwiseXOR(bits - 1)) - 1
+
+
+def _highest(bits: Column) -> Column:
+    for k in (1, 2, 4, 8, 16, 32):
+        bits = bits.bitwiseOR(F.call_function("shiftrightunsigned", bits, F.lit(k)))
+    return F.bit_count(bits) - 1
+
+
+def awards(touched: DataFrame, seq: str = "seq") -> DataFrame:
+    """Area and bounds of the cells that each shape was awarded (``first_touch``)."""
+    first, row = F.col("cx") * CHUNK_CELLS + F.col("w") % 4 * 64, F.col("cy") * CHUNK_CELLS + F.floor(F.col("w") / 4)
+    metres = lambda c: c * CELL_METRES - ARENA_HALF
+    # one less than the smallest number would overflow
+    low = F.when(F.col("bits") == SIGN, F.lit(63)).otherwise(_lowest(F.col("bits")))
+    return touched.groupBy(seq).agg(
+        (F.sum(F.bit_count("bits")) * CELL_AREA).cast("long").alias("area_m2"), metres(F.min(first + low)).alias("min_x"), metres(F.min(row)).alias("min_y"),
+        metres(F.max(first + _highest(F.col("bits"))) + 1).alias("max_x"), metres(F.max(row) + 1).alias("max_y"),
+    )
+
+
 def footprint_state(footprints: DataFrame, coverage: DataFrame, consumed: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, key, state): unknown if a cell isn't covered, else gone, partial or untouched."""
     rows = _with(footprints, coverage, by, "left").withColumnRenamed("__other", "__covered")

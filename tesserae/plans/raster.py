@@ -59,8 +59,13 @@ def _disc_cells(spark, sf_dir):
     return cells.span_cells(cells.disc_spans(B.discs(spark, sf_dir).select("seq", "x", "y", "radius")))
 
 
+def _touched(spark, sf_dir):
+    discs = words.span_words(cells.disc_spans(B.discs(spark, sf_dir).select("seq", "x", "y", "radius")), ("seq",))
+    return words.first_touch(discs, B.pattern_words(spark, B.COVERED))
+
+
 def consume_first_touch(spark, sf_dir):
-    return cells.awards(cells.first_touch(_disc_cells(spark, sf_dir), B.coverage(spark)))
+    return words.awards(_touched(spark, sf_dir))
 
 
 FIRST = f"SELECT gx, gy, min(seq) AS seq FROM ({DISC_CELLS}) WHERE {B.COVERED} GROUP BY gx, gy"
@@ -134,8 +139,7 @@ ALGEBRA = "WITH a AS (SELECT DISTINCT gx, gy FROM ({0})), b AS (SELECT DISTINCT
 
 def dirty_chunks(spark, sf_dir):
     """Chunks that shapes after the first half of the sequence changed."""
-    touched = cells.first_touch(_disc_cells(spark, sf_dir), B.coverage(spark))
-    changed = touched.groupBy(frames.chunk_of(F.col("gx")).alias("chunk_x"), frames.chunk_of(F.col("gy")).alias("chunk_y")).agg(F.max("seq").alias("revision"), F.count("*").alias("cells"))
+    changed = _touched(spark, sf_dir).groupBy(F.col("cx").cast("long").alias("chunk_x"), F.col("cy").cast("long").alias("chunk_y")).agg(F.max("seq").alias("revision"), F.sum(F.bit_count("bits")).cast("long").alias("cells"))
     return changed.where("revision > 2000")
 
 
@@ -205,7 +209,7 @@ NEAREST = f"SELECT cid, arg_min(id, {{'d': (cx - x) * (cx - x) + (cy - y) * (cy
 
 def growth_by_user(spark, sf_dir):
     """Radius, score, milestones and goals of each user's awarded area."""
-    won = cells.first_touch(_disc_cells(spark, sf_dir), B.coverage(spark)).groupBy("seq").agg((F.count("*") * 4).alias("area"))
+    won = _touched(spark, sf_dir).groupBy("seq").agg((F.sum(F.bit_count("bits")) * 4).cast("long").alias("area"))
     total = won.join(B.discs(spark, sf_dir).select("seq", "user_id"), "seq").groupBy("user_id").agg(F.sum("area").alias("area"))
     area = F.col("area") * 1000
     goal = runs.auto_goal(area)

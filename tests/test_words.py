@@ -85,3 +85,18 @@ def test_components_against_union_find(spark, monkeypatch, per_task):
     got = graph.connected_components(df)
     assert {r["node"]: r["component"] for r in got.collect()} == {x: find(x) for x in root} and got.count() == len(root)
     assert graph.connected_components(df.where(F.lit(False))).count() == 0
+
+
+def test_first_touch_of_a_crowded_word_against_cells(spark):
+    from tesserae.operators import cells as C
+
+    rng = random.Random(8)
+    rows = [(k, rng.uniform(-60, 60), rng.uniform(-20, 20), rng.choice([3.0, 8.0, 20.0])) for k in range(800)] + [(1000, -1499.0, -1499.0, 9.0), (1001, 1499.0, 1499.0, 9.0)]
+    discs = spark.createDataFrame(rows, "seq long, x double, y double, radius double")
+    spans = C.disc_spans(discs)
+    grid = spark.range(1500).withColumnRenamed("id", "gx").withColumn("gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1499).cast("long")))).where("(gx + gy) % 3 <> 0")
+    got = words.first_touch(words.span_words(spans, ("seq",)), words.cell_words(grid))
+    want = C.first_touch(C.span_cells(spans), grid)
+    key = lambda df: sorted(map(tuple, df.select("seq", "gx", "gy").collect()))
+    assert key(words.word_cells(got, ("seq",))) == key(want)
+    assert sorted(map(tuple, words.awards(got).collect())) == sorted(map(tuple, C.awards(want).collect()))
