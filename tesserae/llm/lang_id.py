@@ -13,8 +13,8 @@ ones. Sums are exact whole numbers, so prototypes don't depend on the order or o
 Defined results: a text that is null or has no letter gets ``und`` with score 0;
 ties go to the language that sorts first; with nothing to learn from, every text
 gets ``und``; repeated rows get equal rows; an empty table gives an empty result; other columns
-of the input play no part, and of those kept, lang_pred and score are replaced by the results. With more than ``MAX_LANGUAGES`` labels,
-those with the most rows are learnt (ties: the first by name).
+of the input play no part, and of those kept, lang_pred and score are replaced by the results. With more than ``MAX_LANGUAGES`` labels
+learning fails rather than leave some out, as the driver holds a vector for each.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ DIMENSIONS = 1024
 GRAM = 3
 ROWS_AT_ONCE = 128
 GRAMS_AT_ONCE = 4096
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 4000
 
 
 @lru_cache(1 << 14)
@@ -145,9 +145,8 @@ def learn_prototypes(labelled: DataFrame, text_col: str = "text", label_col: str
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    most = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(most) > MAX_LANGUAGES:
-        rows = rows.where(F.col("lang").isin(most[:MAX_LANGUAGES]))
+    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -164,8 +163,8 @@ def learn_prototypes(labelled: DataFrame, text_col: str = "text", label_col: str
 
     vectors = rows.mapInPandas(bundle, "lang string, vector array<long>")
     total = vectors.select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    found = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("lang").collect()
-    return [r["lang"] for r in found], np.array([[e["x"] for e in r["v"]] for r in found], np.float64).reshape(-1, dimensions)
+    found = total.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("v")).orderBy("lang").collect()
+    return [r["lang"] for r in found], np.array([r["v"] for r in found], np.float64).reshape(-1, dimensions)
 
 
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -109,8 +109,11 @@ def test_language_keeps_columns_and_bounds_labels(spark, monkeypatch):
     docs = documents(spark)
     model = lang_id.learn_prototypes(docs)
     assert lang_id.predict(docs, *model, keep=docs.columns).columns == [c for c in docs.columns if c not in ("score", "lang_pred")] + ["lang_pred", "score"]
+    monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 2)
+    assert len(lang_id.learn_prototypes(docs)[0]) == 2
     monkeypatch.setattr(lang_id, "MAX_LANGUAGES", 1)
-    assert len(lang_id.learn_prototypes(docs)[0]) == 1
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.learn_prototypes(docs)
 
 
 def test_language_held_out_accuracy(spark):
