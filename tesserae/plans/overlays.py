@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import frames as f
 from tesserae.functions import runs, shapes
-from tesserae.operators import boundaries, clip, containment, overlay, spatial_join
+from tesserae.operators import boundaries, clip, containment, features, overlay, spatial_join
 from tesserae.sources.staging import stage, stage_result
 
 from . import bridge as B
@@ -155,7 +155,37 @@ def concave_clip(spark, sf_dir):
 
 CLIP = f"SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END AS INT) AS parts, CASE WHEN id % 3 = 0 THEN w * 1.5 * h * 1.5 - w / 2 * h ELSE (w / 4 + w * 0.75) * h * 0.75 END AS area FROM ({B.RECTS})"
 
+def active_land(spark, sf_dir):
+    """Of each envelope, the dry part of its western region, and the dry land within reach of it, the eastern region and what lies beyond it being out of reach."""
+    r = spark.sql(RIVERS.replace("FROM supplier", "FROM {supplier}"), supplier=B.table(spark, sf_dir, "supplier"))
+    c = F.col
+    west, east = F.array(F.array(_box(-1500, -1500, c("r0"), 1500))), F.array(F.array(_box(c("r1"), -1500, 1500, 1500)))
+    water = F.array(F.array(_box(c("r0"), -2100, c("r1"), 2100)), F.array(_box(-1400, c("ly"), c("l1"), c("ly") + 150)))
+    rows = r.select("envelope", west.alias("selected"), water.alias("water"), east.alias("other"))
+
+    def kernel(row: dict) -> dict:
+        selected, wet, other = (overlay.from_rows(row[n]) for n in ("selected", "water", "other"))
+        active, allowed = overlay.active_land(selected, overlay.square(-2000.0, 2000.0), wet, other)
+        return {"active": overlay.shape_area(active), "allowed": overlay.shape_area(allowed), "parts": len(allowed)}
+
+    return overlay.per_row(rows, "active double, allowed double, parts int", kernel, ["envelope"])
+
+
+ACTIVE = f"SELECT envelope, (r0 + 1500) * 3000 - (l1 + 1400) * 150 AS active, (r0 + 2000) * 4000 - (l1 + 1400) * 150 AS allowed, CAST(1 AS INT) AS parts FROM ({RIVERS})"
+
+
+def lost_vertices(spark, sf_dir):
+    """Relations of which the assembled feature lacks a vertex of some member."""
+    p = shapes.point
+    r = B.rects(spark, sf_dir)
+    ring = _box(F.col("cx") - F.col("w"), F.col("cy") - F.col("h"), F.col("cx") + F.col("w"), F.col("cy") + F.col("h"))
+    members = r.select(F.col("id").alias("rel"), F.explode(F.array(F.slice(ring, 1, 3), F.slice(ring, 3, 3))).alias("line"))
+    moved = F.transform(ring, lambda q, k: F.when((k == 1) & (F.col("id") % 4 == 0), p(q["x"] + 0.5, q["y"])).otherwise(q))
+    assembled = r.select(F.col("id").alias("rel"), F.when(F.col("id") % 5 == 0, F.slice(ring, 1, 3)).otherwise(moved).alias("points"))
+    return features.lost_vertices(members, assembled)
+
+
 QUERIES = {
-    "concave_clip": (concave_clip, CLIP), "land_regions": (land_regions, LAND), "boundary_check": (boundary_check, CHECKED), "prepared_land": (prepared_land, PREPARED), "overlay_shapes": (overlay_shapes, OVERLAYS),
+    "active_land": (active_land, ACTIVE), "lost_vertices": (lost_vertices, "SELECT p_partkey AS rel FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 5 = 0"), "concave_clip": (concave_clip, CLIP), "land_regions": (land_regions, LAND), "boundary_check": (boundary_check, CHECKED), "prepared_land": (prepared_land, PREPARED), "overlay_shapes": (overlay_shapes, OVERLAYS),
     "parts_in_concave_parents": (parts_in_concave_parents, CONCAVE), "edge_crossings": (edge_crossings, CROSSINGS), "hole_helpers": (hole_helpers, HELPERS),
 }
