@@ -32,6 +32,7 @@ SIGNATURES_PER_CHUNK = 600_000
 MEMBERS_PER_BLOCK = 512
 ROWS_PER_RUN = 20_000
 PAIRS_PER_STEP = 1 << 18
+WEIGHT_PER_PART = 1 << 20
 SHORT = np.uint64((1 << 47) - 1)
 MARK = np.uint64(1 << 47)
 
@@ -162,18 +163,19 @@ Near = Callable[[dict[str, np.ndarray]], Callable[[np.ndarray, np.ndarray], np.n
 
 
 def linked_components(
-    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], near: Near, prepare: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], label: str
+    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], near: Near, prepare: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], label: str, weight: str | None = None
 ) -> DataFrame:
     """(node, component) of all nodes with a verified link.
 
     ``may_link(x, y)`` is a necessary condition on the columns of ``nodes`` with these suffixes, and ``near`` is the same on arrays: for
     the columns of some nodes it gives the test of pairs of their row numbers. ``prepare(nodes)`` gets
-    what the exact comparison needs of some nodes, and ``compare(pairs, prepared)`` keeps the pairs (a, b) that are links.
+    what the exact comparison needs of some nodes, and ``compare(pairs, prepared)`` keeps the pairs (a, b) that are links. With a column ``weight`` of nodes, pairs of large groups come
+    with a column ``place`` of pairs whose nodes, of bounded weight in all, are best looked up together.
     """
-    return stage_result(lambda: _linked(found, nodes, may_link, near, prepare, compare, label), nodes.sparkSession, f"{label}-classes")
+    return stage_result(lambda: _linked(found, nodes, may_link, near, prepare, compare, label, weight), nodes.sparkSession, f"{label}-classes")
 
 
-def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, compare, label: str) -> DataFrame:
+def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, compare, label: str, weight: str | None) -> DataFrame:
     features = [c for c in nodes.columns if c != "node"]
     a, b = (nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in features)) for side in "ab")
     pairs = found.where("gid = 0").select("a", "b").distinct()
@@ -188,11 +190,13 @@ def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, c
             break
         if one_each and most <= MEMBERS_PER_BLOCK:  # no large group: all pairs at once
             continue
-        more = _between(apart, nodes, near, one_each).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = stage(more, f"{label}-more")
+        more = _between(apart, nodes, near, one_each)
+        more = more.select("a", "b").distinct() if weight is None else more.groupBy("a", "b").agg(F.min("gid").alias("gid"))
+        more = stage(more.join(pairs, ["a", "b"], "left_anti"), f"{label}-more")
         if more.isEmpty():
             continue
-        new = _compared(more, prepare, compare, label)
+        new = _compared(more if weight is None else _placed(more, apart, nodes, weight), prepare, compare, label)
+        more = more.select("a", "b")
         if not new.isEmpty():
             links = links.unionAll(new)
             classes = connected_components(links)
@@ -205,6 +209,13 @@ def _compared(pairs: DataFrame, prepare, compare, label: str) -> DataFrame:
     return stage(compare(pairs, prepare(stage(wanted, f"{label}-wanted"))), f"{label}-links")
 
 
+def _placed(pairs: DataFrame, apart: DataFrame, nodes: DataFrame, weight: str) -> DataFrame:
+    """Pairs (a, b, place): the members of a group are dealt to parts of bounded weight, and a place is a pair of parts, so a node is looked up once for each part that it is compared with, not for each pair."""
+    size = apart.join(nodes.select("node", weight), "node").groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / MEMBERS_PER_BLOCK), F.ceil(F.sum(weight) / WEIGHT_PER_PART)).alias("__parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("__parts"))
+    return pairs.join(size, "gid").select("a", "b", F.xxhash64("gid", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("place"))
+
+
 def _apart(large: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """(gid, node, class) of the members of groups that hold several components."""
     named = large.join(classes, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("class"))
@@ -246,7 +257,7 @@ def _between(apart: DataFrame, nodes: DataFrame, near: Near, one_each: bool) ->
             order = np.lexsort((high, low))
             fresh = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))
             i, j = i[order][fresh], j[order][fresh]
-        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "gid": rows["gid"].to_numpy()[i]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -264,4 +275,4 @@ def _between(apart: DataFrame, nodes: DataFrame, near: Near, one_each: bool) ->
             yield test(pd.concat(held, ignore_index=True))
         release_memory()
 
-    return dealt.mapInPandas(meet, "a long, b long")
+    return dealt.mapInPandas(meet, "a long, b long, gid long")

@@ -173,7 +173,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
     scheme = Scheme(num, den)
     found = stage(candidates(rows.select("text"), signed, buckets), "partenum-candidates")
     classes = linked_components(
-        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: _verified(pairs, sets, num, den), "partenum"
+        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: (_verified_together if "place" in pairs.columns else _verified)(pairs, sets, num, den), "partenum", "n",
     )
 
     placed = nodes.select("node", "doc_id").join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -275,6 +275,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int
     return dealt.select("a", "node", "elements").mapInPandas(compare, "a long, b long").distinct()
 
 
+def _verified_together(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for pairs (a, b, place): all sets of a place, of bounded size in all, come once, and its pairs look them up."""
+    ends = pairs.select("place", F.col("a").alias("node")).unionAll(pairs.select("place", F.col("b").alias("node"))).distinct()
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        scheme, held = Scheme(num, den), {n: np.frombuffer(raw, np.uint64) for n, raw in zip(right["node"].tolist(), right["elements"], strict=True)}
+        linked = []
+        for a, b in zip(left["a"].tolist(), left["b"].tolist(), strict=True):
+            x, y = held[a], held[b]
+            if scheme.similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                linked.append((a, b))
+        del held, right
+        release_memory()
+        return pd.DataFrame(linked, columns=["a", "b"])
+
+    held = ends.join(sets, "node").select(F.col("place").alias("at"), "node", "elements")
+    return pairs.groupBy("place").cogroup(held.groupBy("at")).applyInPandas(compare, "a long, b long").distinct()
+
+
 def op4_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_enum_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -774,3 +774,55 @@ def test_white_space_before_cut_spaces():
         text = "x" + "".join(rng.choice(["\n", "\t", " a", "b", "\r\n", " c", " ", "é"]) for _ in range(rng.randint(1, 25)))
         counts = tokens.batch_prefixes([text])[0]
         assert counts.tolist() == [len(library.encode(text[:n]).ids) for n in range(1, len(text) + 1)]
+
+
+def test_pairs_verified_together_are_those_verified_one_by_one(spark):
+    rng = np.random.default_rng(12)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = []
+    for n in range(60):
+        own = np.unique(np.concatenate([rng.choice(base, 340 + int(rng.integers(0, 60)), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)]))
+        sets.append((n, bytearray(own.tobytes())))
+    held = spark.createDataFrame([*sets, sets[3]], "node long, elements binary")  # one of them twice
+    pairs = spark.range(60).select(F.col("id").alias("a")).crossJoin(spark.range(60).select(F.col("id").alias("b"))).where("a < b")
+    apart = spark.createDataFrame([(g, n, n) for g in (5, 9) for n in range(60)], "gid long, node long, class long")
+    nodes = spark.createDataFrame([(n, len(s) // 8) for n, s in sets], "node long, n long")
+    told = pairs.withColumn("gid", F.when(F.col("a") % 2 == 0, F.lit(5)).otherwise(F.lit(9)).cast("long"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    one_by_one = key(part_enum._verified(pairs, held, 80, 100))
+    for weight in (1 << 20, 2000):
+        collide_weight, collide.WEIGHT_PER_PART = collide.WEIGHT_PER_PART, weight
+        try:
+            placed = collide._placed(told, apart, nodes, "n")
+        finally:
+            collide.WEIGHT_PER_PART = collide_weight
+        assert (placed.select("place").distinct().count() == 2) == (weight > 2000) and placed.count() == pairs.count()
+        assert key(part_enum._verified_together(placed, held, 80, 100)) == one_by_one
+    assert 0 < len(one_by_one) < pairs.count()
+
+
+def test_groups_that_a_star_doesnt_join(spark):
+    """Near copies of one text, each less than similar to the smallest one, but similar to others: found by the second and third look."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(160)]
+    rows = []
+    for k in range(150):
+        own = list(words)
+        for _ in range(rng.choice([1, 2, 6, 7])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own), "en", "a", 1))
+    df = documents(spark, rows, extra=False).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in part_enum.part_enum_components(df).collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(156)} for k, t, *_ in rows}
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert got == {k: find(k) for k in sets} and len(set(got.values())) > 1
