@@ -163,19 +163,20 @@ Near = Callable[[dict[str, np.ndarray]], Callable[[np.ndarray, np.ndarray], np.n
 
 
 def linked_components(
-    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], near: Near, prepare: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], label: str, weight: str | None = None
+    found: DataFrame, nodes: DataFrame, may_link: Callable[[str, str], Column], near: Near, prepare: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], label: str, weight: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """(node, component) of all nodes with a verified link.
 
     ``may_link(x, y)`` is a necessary condition on the columns of ``nodes`` with these suffixes, and ``near`` is the same on arrays: for
     the columns of some nodes it gives the test of pairs of their row numbers. ``prepare(nodes)`` gets
     what the exact comparison needs of some nodes, and ``compare(pairs, prepared)`` keeps the pairs (a, b) that are links. With a column ``weight`` of nodes, pairs of large groups come
-    with a column ``place`` of pairs whose nodes, of bounded weight in all, are best looked up together.
+    with a column ``place`` of pairs whose nodes, of bounded weight in all, are best looked up together, and
+    ``refine`` may turn some of them away that can't be links.
     """
-    return stage_result(lambda: _linked(found, nodes, may_link, near, prepare, compare, label, weight), nodes.sparkSession, f"{label}-classes")
+    return stage_result(lambda: _linked(found, nodes, may_link, near, prepare, compare, label, weight, refine), nodes.sparkSession, f"{label}-classes")
 
 
-def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, compare, label: str, weight: str | None) -> DataFrame:
+def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, compare, label: str, weight: str | None, refine) -> DataFrame:
     features = [c for c in nodes.columns if c != "node"]
     a, b = (nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in features)) for side in "ab")
     pairs = found.where("gid = 0").select("a", "b").distinct()
@@ -195,7 +196,8 @@ def _linked(found: DataFrame, nodes: DataFrame, may_link, near: Near, prepare, c
         more = stage(more.join(pairs, ["a", "b"], "left_anti"), f"{label}-more")
         if more.isEmpty():
             continue
-        new = _compared(more if weight is None else _placed(more, apart, nodes, weight), prepare, compare, label)
+        left = more if weight is None else _placed(more, apart, nodes, weight)
+        new = _compared(left if refine is None else stage(refine(left), f"{label}-refined"), prepare, compare, label)
         more = more.select("a", "b")
         if not new.isEmpty():
             links = links.unionAll(new)

@@ -43,6 +43,7 @@ from .tokens import pieces_of_batch
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SKETCH_WORDS = 16
+FINE_WORDS = 1 << 14  # of the second look at sets that a sketch is too coarse for
 
 
 class Scheme:
@@ -119,13 +120,13 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple
     return np.concatenate(owners), np.concatenate(found)
 
 
-def parity_sketches(elements: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """For each set, the parities of the numbers of elements that hash to each of some bits: four for each element, up to ``SKETCH_WORDS``.
+def parity_sketches(elements: np.ndarray, sizes: np.ndarray, most: int = SKETCH_WORDS) -> list[np.ndarray]:
+    """For each set, the parities of the numbers of elements that hash to each of some bits: four for each element, up to ``most`` words.
 
     The number of bits is a power of 2; the lower half of them XORed with the upper half is the sketch of half the size. However few the bits,
     no more of them differ than elements do, so a sketch never turns away a pair that links.
     """
-    words = np.clip(4 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) >> 6, 4, SKETCH_WORDS)
+    words = np.clip(4 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) >> 6, 4, most)
     start = np.cumsum(words) - words
     owner = np.repeat(np.arange(len(sizes)), sizes)
     bit = (elements >> np.uint64(7)) & (words[owner] * 64 - 1).astype(np.uint64)
@@ -153,13 +154,18 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
         for batch in batches:
             for part in pieces_of_batch(batch):
                 elements, sizes = _sets(part["text"], width)
-                node, sketch = set_digests(elements, sizes)[0], parity_sketches(elements, sizes)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": sizes, "node": node, "sketch": sketch})
+                node, sketch, fine = set_digests(elements, sizes)[0], parity_sketches(elements, sizes), [None] * len(sizes)
+                long = np.flatnonzero(sizes * 4 > SKETCH_WORDS * 64)
+                own = np.concatenate([np.zeros(0, np.uint64), *(elements[e - n : e] for e, n in zip(np.cumsum(sizes)[long], sizes[long], strict=True))])
+                for k, words in zip(long.tolist(), parity_sketches(own, sizes[long], FINE_WORDS), strict=True):
+                    fine[k] = words.tobytes()
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": sizes, "node": node, "sketch": sketch, "fine": pd.Series(fine, dtype=object)})
         release_memory()
 
-    described = stage(rows.mapInPandas(describe, f"doc_id {id_type}, n long, node long, sketch array<long>"), "partenum-sets")
-    nodes = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    described = stage(rows.mapInPandas(describe, f"doc_id {id_type}, n long, node long, sketch array<long>, fine binary"), "partenum-sets")
+    nodes = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
     nodes = stage(nodes, "partenum-nodes")
+    fine, nodes = nodes.select("node", "n", "fine").where("fine IS NOT NULL"), nodes.drop("fine")
 
     elements = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), math.ceil(0.65 * elements / SIGNATURES_PER_BUCKET))
@@ -173,7 +179,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
     scheme = Scheme(num, den)
     found = stage(candidates(rows.select("text"), signed, buckets), "partenum-candidates")
     classes = linked_components(
-        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: (_verified_together if "place" in pairs.columns else _verified)(pairs, sets, num, den), "partenum", "n",
+        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: (_verified_together if "place" in pairs.columns else _verified)(pairs, sets, num, den), "partenum", "n", lambda pairs: _finer(pairs, fine, num, den),
     )
 
     placed = nodes.select("node", "doc_id").join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -275,6 +281,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int
     return dealt.select("a", "node", "elements").mapInPandas(compare, "a long, b long").distinct()
 
 
+def _finer(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, place) without those whose finer sketches differ in more places than a link allows; those of sets that have none stay. A place's sketches come once for all of its pairs."""
+    ends = pairs.select("place", F.col("a").alias("node")).unionAll(pairs.select("place", F.col("b").alias("node"))).distinct()
+
+    def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = {node: (n, np.frombuffer(raw, np.uint64)) for node, n, raw in zip(right["node"].tolist(), right["n"].tolist(), right["fine"], strict=True)}
+
+        def may(a: int, b: int) -> bool:
+            if a not in held or b not in held:
+                return True
+            (n, x), (m, y) = held[a], held[b]
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            return int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (n + m) * (den - num)
+
+        return left[[may(a, b) for a, b in zip(left["a"].tolist(), left["b"].tolist(), strict=True)]]
+
+    told = ends.join(fine, "node").select(F.col("place").alias("at"), "node", "n", "fine")
+    return pairs.groupBy("place").cogroup(told.groupBy("at")).applyInPandas(test, "a long, b long, place long")
+
+
 def _verified_together(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The same for pairs (a, b, place): all sets of a place, of bounded size in all, come once, and its pairs look them up."""
     ends = pairs.select("place", F.col("a").alias("node")).unionAll(pairs.select("place", F.col("b").alias("node"))).distinct()

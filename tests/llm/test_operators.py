@@ -829,3 +829,20 @@ def test_groups_that_a_star_doesnt_join(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {k: find(k) for k in sets} and len(set(got.values())) > 1
+
+
+def test_finer_sketches_keep_every_link_and_turn_the_rest_away(spark):
+    rng, sets = np.random.default_rng(14), []
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    for n in range(24):
+        keep = 3000 - int(rng.choice([20, 150, 300, 420, 500]))
+        sets.append(np.unique(np.concatenate([rng.choice(base, keep, replace=False), rng.integers(0, 2**63, int(rng.integers(0, 200))).astype(np.uint64)])))
+    sets[3] = sets[3][:100]  # too short for a finer one
+    sizes = np.array([len(s) for s in sets])
+    coarse, words = part_enum.parity_sketches(np.concatenate(sets), sizes), part_enum.parity_sketches(np.concatenate(sets), sizes, part_enum.FINE_WORDS)
+    fine = spark.createDataFrame([(n, len(s), bytearray(w.tobytes())) for n, (s, w) in enumerate(zip(sets, words, strict=True)) if len(s) > 256], "node long, n long, fine binary")
+    pairs = [(a, b, 7) for a in range(24) for b in range(a + 1, 24)]
+    got = {(r["a"], r["b"]) for r in part_enum._finer(spark.createDataFrame(pairs, "a long, b long, place long"), fine, 80, 100).collect()}
+    links = {(a, b) for a, b, _ in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    rough = {(a, b) for a, b, _ in pairs if part_enum._near({"n": sizes, "sketch": np.array([*coarse, None], dtype=object)[:-1]}, 80, 100)(np.array([a]), np.array([b]))[0]}
+    assert links <= got and {p for p in got if 3 not in p} < rough and {(a, b) for a, b, _ in pairs if 3 in (a, b)} <= got
