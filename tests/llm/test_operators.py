@@ -496,6 +496,21 @@ def test_secret_query(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
 
 
+def test_two_runs_of_a_ledger_in_one_plan(spark, tmp_path):
+    """Both read the same folder, at different times; neither may get the findings of the other."""
+    halves, ledger = [], str(tmp_path / "ledger")
+    texts = [f"token=abcdefgh{k} AKIAABCDEFGHIJKL{k}" for k in range(40)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for half in (range(20), range(20, 40)):
+            halves.append(secret_ledger.scan_history(spark.createDataFrame([(k, texts[k]) for k in half], "path long, text string"), ledger))
+        got = {r["path"]: r["base_spans"] for r in halves[0].unionAll(halves[1]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {k: ",".join(naive_spans(t)) for k, t in enumerate(texts)}
+
+
 # 9 fuzzy lines
 def test_edit_distance():
     rng = np.random.default_rng(2)
