@@ -45,7 +45,10 @@ def sweeps(spark, sf_dir):
 
 
 def points(spark, sf_dir):
-    return _derived(spark, sf_dir, "customer", POINTS).select("id", F.col("lon").cast("double"), F.col("lat").cast("double"), "x", "y")
+    """Degrees are quotients of doubles, as in the other engine; Spark would read the SQL's literals as decimals, which end in other bits."""
+    degrees = lambda turn, most, low: (F.col("c_custkey") * turn % most).cast("double") / 100.0 - low
+    rest = table(spark, sf_dir, "customer").withColumns({"lon": degrees(137, 36000, 180.0), "lat": degrees(89, 16900, 84.5)})
+    return rest.selectExpr("c_custkey AS id", "lon", "lat", "CAST(c_custkey * 7919 % 2900 - 1450 AS DOUBLE) AS x", "CAST(c_custkey * 104729 % 2900 - 1450 AS DOUBLE) AS y")
 
 
 def circles(spark, sf_dir):
