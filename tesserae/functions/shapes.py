@@ -32,8 +32,9 @@ def rectangle_ring(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -
 
 def edges(ring: Column) -> Column:
     """Edges (a, b) of a ring, with the one that closes it; each point and the next one."""
-    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    return F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    following = lambda r: F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    # the ring may be an expression of its own, as in a chain of cuts, each of which would compute the one before several times
+    return let(ring, lambda r: F.zip_with(r, following(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def outer_vertices(polygons: Column) -> Column:
@@ -49,6 +50,10 @@ def bounds(points: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Positive if counter-clockwise; triangles fan out from the first point, which keeps large coordinates from cancelling."""
+    return let(ring, _signed_area)
+
+
+def _signed_area(ring: Column) -> Column:
     o = ring[0]
     pairs = F.zip_with(F.slice(ring, 2, F.greatest(F.size(ring) - 2, F.lit(0))), F.slice(ring, 3, F.greatest(F.size(ring) - 2, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     term = lambda e: (e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"]) - (e["a"]["y"] - o["y"]) * (e["b"]["x"] - o["x"])
