@@ -126,16 +126,19 @@ def share_along(x: str = "x", y: str = "y") -> Column:
 
 def nearest_land(points: DataFrame, regions: DataFrame, point: str = "id", key: str = "region") -> DataFrame:
     """(point, land_x, land_y, distance): each point itself where a region holds it, else the nearest point on an edge of a region."""
-    edges = edge_rows(regions, key)
+    # regions of one shape are one, named by the smallest key, which is also the one that wins a tie; points of one place are one, too
+    edges = edge_rows(regions.groupBy("polygons").agg(F.min(key).alias(key)), key)
+    every = points.select(point, "x", "y")
+    points = every.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.min(point).alias(point))
     inside = contained(points, edges, point, key).select(point).distinct()
     outside = points.join(inside, point, "left_anti")
     named = edges.withColumn("__edge", F.struct(key, "edge"))
     found = nearest(outside, named.drop(key, "edge"), point, "__edge", edge_distance(), edges=True)
-    back = found.join(points.select(point, "x", "y"), point).join(named.drop("edge", key), "__edge")
+    back = found.join(points, point).join(named.drop("edge", key), "__edge")
     t = share_along()
-    moved = back.select(point, (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("land_x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("land_y"), "distance")
-    own = points.join(inside, point, "left_semi").select(point, F.col("x").alias("land_x"), F.col("y").alias("land_y"), F.lit(0.0).alias("distance"))
-    return own.unionByName(moved)
+    moved = back.select("x", "y", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("land_x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("land_y"), "distance")
+    own = points.join(inside, point, "left_semi").select("x", "y", F.col("x").alias("land_x"), F.col("y").alias("land_y"), F.lit(0.0).alias("distance"))
+    return every.join(own.unionByName(moved), ["x", "y"]).select(point, "land_x", "land_y", "distance")
 
 
 def reachable(points: DataFrame, land: DataFrame, point: str = "id", key: str = "region") -> DataFrame:
