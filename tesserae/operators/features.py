@@ -252,11 +252,14 @@ def parts_within(parts: DataFrame, parents: DataFrame, cell: float, contained: C
     """(part) of building parts whose centre's grid cell a parent's box meets, and that ``contained(part, parent)`` holds for.
 
     Parts have id, x, y and a struct ``shape``; parents have min_x to max_y and ``shape``. An equi-join on cells, never a cross join.
+    Equal parts are looked at once, and so are equal parents.
     """
     at = lambda c: F.floor(F.col(c) / cell)
-    spread = parents.withColumn("gx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("gy", F.explode(F.sequence(at("min_y"), at("max_y"))))
-    met = parts.select("id", F.col("shape").alias("part"), at("x").alias("gx"), at("y").alias("gy")).join(spread.select("gx", "gy", F.col("shape").alias("parent")), ["gx", "gy"])
-    return met.where(contained(F.col("part"), F.col("parent"))).select("id").distinct()
+    spread = parents.select("min_x", "min_y", "max_x", "max_y", "shape").distinct().withColumn("gx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("gy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+    own = parts.select("id", F.col("shape").alias("part"), at("x").alias("gx"), at("y").alias("gy"))
+    met = own.drop("id").distinct().join(spread.select("gx", "gy", F.col("shape").alias("parent")).hint("merge"), ["gx", "gy"])
+    within = met.where(contained(F.col("part"), F.col("parent"))).select("part", "gx", "gy").distinct()
+    return own.join(within, ["part", "gx", "gy"], "left_semi").select("id").distinct()
 
 
 def progress_of(cells: DataFrame, progress: DataFrame, key: str, total: int = 100_000) -> DataFrame:
@@ -290,7 +293,7 @@ def free_spawn(blocked: DataFrame, by: str, step: float, rings: int) -> DataFram
     tried = groups.crossJoin(F.broadcast(place))  # a fixed number of places for each group
     # places meet the boxes of their group that share a grid cell with them, so a group with very many boxes is many keys
     at = tried.withColumns({"min_x": F.col("x"), "max_x": F.col("x"), "min_y": F.col("y"), "max_y": F.col("y")})
-    hit = bbox_join(at, blocked.select(by, *BOX), 4 * step, by=(by,)).select(by, "r", "n").distinct()
+    hit = bbox_join(at, blocked.select(by, *BOX).distinct(), 4 * step, by=(by,)).select(by, "r", "n").distinct()
     free = tried.join(hit, [by, "r", "n"], "left_anti").groupBy(by).agg(F.min(F.struct("r", "n", "x", "y")).alias("p"))
     return groups.join(free, by, "left").select(by, "p.x", "p.y")
 

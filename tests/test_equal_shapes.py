@@ -9,7 +9,7 @@ from tesserae.functions import shapes
 from tesserae.operators import containment, features, grids, spatial_join
 
 COPIES = 4000
-BOX = [F.lit(v).alias(n) for n, v in (("min_x", 0.0), ("min_y", 0.0), ("max_x", 8.0), ("max_y", 4.0))]
+BOX = ["0.0D AS min_x", "0.0D AS min_y", "8.0D AS max_x", "4.0D AS max_y"]
 
 
 def square(at=0.0):
@@ -25,7 +25,7 @@ def took(df):
     return df.agg(F.count("*"), F.min(df.columns[1])).first(), time.monotonic() - began
 
 
-def test_a_chain_of_cuts_names_its_ring_once():
+def test_a_chain_of_cuts_names_its_ring_once(spark):
     ring = F.col("ring")
     one, four = (len(str(c)) for c in (shapes.clip_half_plane(ring, "x", 1.0, True), shapes.clip_to_box(ring, 1.0, 1.0, 2.0, 2.0)))
     assert four < 8 * one  # each cut named the one before three times
@@ -33,7 +33,7 @@ def test_a_chain_of_cuts_names_its_ring_once():
 
 @pytest.mark.parametrize("other", [4, 40])
 def test_spread_sides_are_not_broadcast(spark, other):
-    boxes = spark.range(other).select("id", *BOX)
+    boxes = spark.range(other).selectExpr("id", *BOX)
     plan = spatial_join.bbox_join(boxes, boxes.withColumnRenamed("id", "other"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
     views = spark.range(other).selectExpr("id", "1.0D AS west", "2.0D AS south", "1.1D AS east", "2.1D AS north")
@@ -47,7 +47,7 @@ def test_equal_points_and_regions_meet_once(spark):
     got, seconds = took(containment.nearest_land(points.withColumn("x", F.lit(10.0)), regions).select("id", "land_x"))
     assert tuple(got) == (COPIES, 8.0) and seconds < 30
     parts = points.withColumn("shape", F.struct(F.lit(1.0).alias("at")))
-    parents = spark.range(COPIES).select(*BOX).withColumn("shape", F.struct(F.lit(1.0).alias("at")))
+    parents = spark.range(COPIES).selectExpr(*BOX).withColumn("shape", F.struct(F.lit(1.0).alias("at")))
     asked = features.parts_within(parts, parents, 128.0, lambda a, b: a["at"] == b["at"])
     assert asked.count() == COPIES
 
