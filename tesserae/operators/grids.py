@@ -51,11 +51,12 @@ def visible_cells(views: DataFrame, key: str, max_cells: int = 400) -> DataFrame
     a, b = F.get("__s", F.lit(0)), F.get("__s", F.lit(1))
     joined = F.when(b.isNull() | (b["lo"] > a["hi"] + 1), F.col("__s")).otherwise(F.array(F.struct(a["lo"].alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"))))
     rows = rows.withColumn("__s", joined).withColumn("__c", F.aggregate("__s", F.lit(0).cast("long"), lambda t, s: t + s["hi"] - s["lo"] + 1))
-    total = rows.groupBy(key).agg(F.sum("__c").alias("total"))
-    fits = rows.join(total, key).where(F.col("total") <= max_cells)
-    cells = fits.select(key, "total", "row", F.explode("__s").alias("s")).select(key, "total", "row", F.explode(F.sequence("s.lo", "s.hi")).alias("col"))
-    none = total.where(F.col("total") > max_cells).select(key, "total", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("col"))
-    return cells.unionAll(none)
+    # a view's rows meet in a window, as a join with the totals would send a row for each view to every task
+    rows = rows.withColumn("total", F.sum("__c").over(Window.partitionBy(key))).withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy("row")))
+    fits = F.col("total") <= max_cells
+    rows = rows.where(fits | (F.col("__nth") == 1)).select(key, "total", F.when(fits, F.col("row")).alias("row"), F.when(fits, F.col("__s")).alias("__s"))
+    cols = F.when(F.col("__s").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.flatten(F.transform("__s", lambda s: F.sequence(s["lo"], s["hi"]))))
+    return rows.select(key, "total", "row", F.explode(cols).alias("col"))
 
 
 def campaign_grid(areas: DataFrame, key: str, max_sectors: int = 1600) -> DataFrame:
