@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import frames as f
 from tesserae.functions import shapes
-from tesserae.operators import containment
+from tesserae.operators import containment, spatial_join
 
 from . import bridge as B
 
@@ -17,7 +17,8 @@ def _regions(spark, sf_dir):
 
 def indexed_containment(spark, sf_dir):
     """Which buildings hold which points, many of them on corners and walls, by edges in bands."""
-    return containment.contained(B.points(spark, sf_dir), containment.edge_rows(_regions(spark, sf_dir)))
+    holds = lambda points, regions: containment.contained(points, containment.edge_rows(regions))
+    return spatial_join.of_equals(B.points(spark, sf_dir), _regions(spark, sf_dir), ("id", "region"), (["x", "y"], ["polygons"]), holds)
 
 
 HOLDS = "x BETWEEN cx - w AND cx + w AND y BETWEEN cy - h AND cy + h AND NOT (x > cx + w / 2 AND y > cy) AND NOT (x > cx - w / 2 AND x < cx AND y > cy - h / 2 AND y < cy - h / 4)"
