@@ -457,6 +457,22 @@ def test_radix_tells_apart_texts_that_differ_late(spark):
     assert got == {0: (3, 2, False), 3: (3, 2, True), 1: (1, 1, True), 2: (2, 1, True), 9: (9, 1, True)}
 
 
+def test_every_sample_of_a_payload_is_in_the_stored_sound(spark):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 3, 64, 1001):
+        wave = rng.integers(-32768, 32768, n).astype(np.int16)
+        assert np.array_equal(telephony.unlifted(telephony.lifted(wave)), wave)
+        twice = telephony.resample(wave, 8000, 16000)
+        assert not any(telephony.lifted(twice)[2 * n :])
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in telephony.op1_telephony(spark, "/root/testdata/sf0.001").limit(20).collect():
+        raw = (docs[r["doc_id"]] or "").encode()
+        raw += b"\0" * (max(64, -len(raw) // 64 * -64) - len(raw))
+        codec, n, peak, energy, *_ = r["feature"].split(":")
+        samples = telephony.resample(telephony.decode(codec, raw), 8000, 16000).astype(np.int64)
+        assert (int(n), int(peak), int(energy)) == (2 * len(raw), np.abs(samples).max(), (samples * samples).sum())
+
+
 # 7 secrets
 def naive_spans(text):
     found = []
