@@ -92,7 +92,8 @@ def without(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def common(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """What is in both."""
-    return _with(a, b, by, "inner").withColumn("bits", F.col("bits").bitwiseAND(F.col("__other"))).where("bits <> 0").drop("__other")
+    # a left join, so that ``a``, which may hold words of very many shapes, is never broadcast
+    return _with(a, b, by, "left").withColumn("bits", F.col("bits").bitwiseAND(F.coalesce("__other", _none()))).where("bits <> 0").drop("__other")
 
 
 def area(words: DataFrame, *by: str) -> DataFrame:
@@ -145,12 +146,13 @@ def consume(shapes: DataFrame, coverage: DataFrame, consumed: DataFrame, key: st
     """(by, key, area_m2, unknown): fresh cells of each shape, a cell of several to the smallest key; and whether a chunk of it isn't known.
 
     Where ``known_chunks`` is given, a shape that meets a chunk that isn't known takes nothing.
+    Spark's estimate of a side doesn't know how many words a shape has, so no side by shape is broadcast.
     """
     rows = shapes
     if known_chunks is not None:
         known = known_chunks.select(*by, F.col("cx").cast("int"), F.col("cy").cast("int")).distinct().withColumn("__known", F.lit(True))
         met = rows.select(*by, key, "cx", "cy").distinct().join(known, [*by, "cx", "cy"], "left").groupBy(*by, key).agg(F.bool_or(F.col("__known").isNull()).alias("unknown"))
-        rows = rows.join(met, [*by, key])
+        rows = rows.join(met.hint("merge"), [*by, key])
     else:
         rows = rows.withColumn("unknown", F.lit(False))
     every = rows.select(*by, key, "unknown").distinct()
@@ -158,7 +160,7 @@ def consume(shapes: DataFrame, coverage: DataFrame, consumed: DataFrame, key: st
     order = Window.partitionBy(*by, *KEY).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("bits").over(order), _none())))
     won = fresh.withColumn("bits", first).groupBy(*by, key).agg((F.sum(F.bit_count("bits")) * CELL_AREA).cast("long").alias("area_m2"))
-    return every.join(won, [*by, key], "left").withColumn("area_m2", F.coalesce("area_m2", _none()))
+    return every.join(won.hint("merge"), [*by, key], "left").withColumn("area_m2", F.coalesce("area_m2", _none()))
 
 
 def first_touch(shapes: DataFrame, coverage: DataFrame, seq: str = "seq", by: tuple[str, ...] = (), salts: int = 16) -> DataFrame:
