@@ -70,6 +70,18 @@ def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, dist
     doesn't pass the side, as whatever lies further away than the ring is further than that, or when the cells cover all targets. Settled points take no part in later levels, so a level joins
     few points where cells are large. One number of the open points comes to the driver at each level. Points without coordinates have no neighbours; ids of points are unique.
     """
+    if not edges:
+        # points of one place have the same neighbours, and of the targets of one place only the first k can be among them
+        first = F.row_number().over(Window.partitionBy("px", "py").orderBy(target))
+        targets = targets.select(target, "px", "py").withColumn("__n", first).where(F.col("__n") <= k).drop("__n")
+        one = points.select(point, "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(F.min(point).alias(point))
+        found = _nearest(one, targets, point, target, distance, k, base, False)
+        members = points.select(point, "x", "y").join(one.withColumnRenamed(point, "__one").hint("merge"), ["x", "y"]).select(point, "__one")
+        return members.join(found.withColumnRenamed(point, "__one").hint("merge"), "__one").select(point, target, "distance", "rank")
+    return _nearest(points, targets, point, target, distance, k, base, edges)
+
+
+def _nearest(points: DataFrame, targets: DataFrame, point: str, target: str, distance: Column, k: int, base: float | None, edges: bool) -> DataFrame:
     spark = points.sparkSession
     low_x, low_y, high_x, high_y = ("min_x", "min_y", "max_x", "max_y") if edges else ("px", "py", "px", "py")
 
