@@ -87,8 +87,11 @@ def complete_relations(members: DataFrame) -> DataFrame:
 
 def lost_vertices(members: DataFrame, features: DataFrame) -> DataFrame:
     """(rel) whose member vertices aren't all in the assembled feature (rel, points)."""
-    want = members.select("rel", F.explode("line").alias("p")).distinct()
-    return want.join(features.select("rel", F.explode("points").alias("p")).distinct(), ["rel", "p"], "left_anti").select("rel").distinct()
+    # relations are dealt to as many tasks as Spark is told to have before their vertices are rows; a side of vertices isn't broadcast, as its size isn't known
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rel")
+    want = dealt(members).select("rel", F.explode("line").alias("p")).distinct()
+    have = dealt(features).select("rel", F.explode("points").alias("p")).distinct()
+    return want.join(have.hint("merge"), ["rel", "p"], "left_anti").select("rel").distinct()
 
 
 def chunk_index(buildings: DataFrame, chunk: float, arena: float, per_axis: int) -> DataFrame:
