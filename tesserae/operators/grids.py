@@ -130,6 +130,8 @@ def visual_tiles(views: DataFrame, key: str, max_tiles: int = 16, tile_pixels: i
 
     The level is the whole zoom, or the next lower one whose window has few enough tiles. Columns wrap around the world; rows beyond it are left out.
     """
+    # dealt to as many tasks as Spark is told to have, as each view becomes many rows
+    views = views.repartition(int(views.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     levels = views.withColumn("z", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor("zoom")).cast("int"))))
     n = F.pow(F.lit(2.0), F.col("z"))
     half = lambda side: F.col(side) / (2 * tile_pixels * F.pow(F.lit(2.0), F.col("zoom")))
