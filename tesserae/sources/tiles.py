@@ -298,6 +298,7 @@ def whole_buildings(fragments: DataFrame, centers: DataFrame, by: tuple[str, ...
     one that is wider or higher than ``most_metres``. Shapes are in metres around the centre (by, lon, lat, basis). The height is that of all parts, null where they differ. ``label`` names a property of which
     the smallest value among the parts is kept.
     """
+    # no side of fragments is broadcast: what is staged is packed, so Spark takes it for far less than it is
     attributes = F.concat_ws("|", *(F.coalesce(F.try_element_at("properties", F.lit(a)), F.lit("")) for a in ATTRIBUTES))
     # a name that holds for fragments of a tile wherever they are read
     fid = F.concat_ws("/", *by, "x", "y", "nth")
@@ -324,15 +325,16 @@ def whole_buildings(fragments: DataFrame, centers: DataFrame, by: tuple[str, ...
     matched = links.select(F.explode(F.array(F.struct("fid", "side"), F.struct(F.col("o_fid").alias("fid"), F.col("back").alias("side")))).alias("e"), F.explode("shared").alias("i")).select("e.*", "i.lo", "i.hi")
     covered = cells.interval_cover(matched.withColumn("seam", F.struct("fid", "side")), "seam", "lo", "hi", SEAM_EPS).select("seam.fid", "seam.side", F.col("lo").alias("from"), F.col("hi").alias("to"))
     asked = rows.select("fid", F.explode("seams").alias("i")).select("fid", "i.*")
-    held = asked.join(covered, ["fid", "side"], "left").groupBy("fid", "side", "lo", "hi").agg(F.bool_or((F.col("from") <= F.col("lo") + SEAM_EPS) & (F.col("to") >= F.col("hi") - SEAM_EPS)).alias("held"))
+    held = asked.join(covered.hint("merge"), ["fid", "side"], "left").groupBy("fid", "side", "lo", "hi").agg(F.bool_or((F.col("from") <= F.col("lo") + SEAM_EPS) & (F.col("to") >= F.col("hi") - SEAM_EPS)).alias("held"))
     open_ = held.where(~F.coalesce("held", F.lit(False))).select("fid").distinct().withColumn("open", F.lit(True))
-    named = rows.join(component, F.col("fid") == F.col("node")).drop("node").join(open_, "fid", "left")
+    named = rows.join(component.hint("merge"), F.col("fid") == F.col("node")).drop("node").join(open_.hint("merge"), "fid", "left")
     value = F.try_element_at("properties", F.lit(label)) if label else F.lit(None).cast("string")
     told = named.groupBy(*by, "component").agg(
         F.bool_and(F.col("open").isNull()).alias("complete"), F.count("*").alias("fragments"), F.min(value).alias("label"),
         F.when(F.count_distinct("attributes") == 1, F.min(F.try_element_at("properties", F.lit("render_height")).cast("double"))).alias("height"),
     )
-    placed = named.select("component", "core").join(told.where("complete"), "component").join(centers, list(by)) if by else named.select("component", "core").join(told.where("complete"), "component").crossJoin(centers.limit(1))
+    sound = named.select("component", "core").join(told.where("complete").hint("merge"), "component")
+    placed = sound.join(centers, list(by)) if by else sound.crossJoin(centers.limit(1))
 
     def build(own: list[dict]) -> list[dict]:
         union: list = []
@@ -347,4 +349,4 @@ def whole_buildings(fragments: DataFrame, centers: DataFrame, by: tuple[str, ...
 
     # a group is one building, whose size is bounded by what a building is; a larger one than any hole can take is left out
     whole = per_group(placed.select("component", "core", "lon", "lat", "basis"), ["component"], f"polygons {RING_SHAPE}, area double, center_x double, center_y double, radius double", build)
-    return told.join(whole, "component", "left").select(*by, "component", "complete", "fragments", "label", "height", "polygons", "area", "center_x", "center_y", "radius")
+    return told.join(whole.hint("merge"), "component", "left").select(*by, "component", "complete", "fragments", "label", "height", "polygons", "area", "center_x", "center_y", "radius")

@@ -59,3 +59,13 @@ def test_views_are_dealt_before_they_spread(spark):
     views = spark.range(20).selectExpr("id", "0.5D AS mx", "0.5D AS my", "5.0D AS zoom", "300.0D AS width", "300.0D AS height")
     plan = grids.visual_tiles(views, "id")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_fragments_of_buildings_are_not_broadcast(spark):
+    from tesserae.plans import tiles
+    from tesserae.sources.tiles import building_fragments, whole_buildings
+
+    source = tiles.seam_tiles(spark, "/root/testdata/sf0.001")
+    centers = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "sector long, lon double, lat double, basis double")
+    plan = whole_buildings(building_fragments(source, ("sector",)), centers, ("sector",), "fid")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 2  # that with the centres, named once more in what is initial
