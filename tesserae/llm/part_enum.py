@@ -179,7 +179,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
     scheme = Scheme(num, den)
     found = stage(candidates(rows.select("text"), signed, buckets), "partenum-candidates")
     classes = linked_components(
-        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: (_verified_together if "place" in pairs.columns else _verified)(pairs, sets, num, den), "partenum", "n", lambda pairs: _finer(pairs, fine, num, den),
+        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: (_verified_together if "place" in pairs.columns else _verified)(pairs, sets, num, den), "partenum", "n", lambda pairs: (_finer if "place" in pairs.columns else _finer_stars)(pairs, fine, num, den),
     )
 
     placed = nodes.select("node", "doc_id").join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -252,16 +252,20 @@ def _needed_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, width: in
     return stage(texts.mapInPandas(shingle, "node long, elements binary").join(wanted, "node", "left_semi"), "partenum-needed")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
-    """Those of the pairs whose sets are similar enough, compared exactly.
+def _dealt(pairs: DataFrame, told: DataFrame, columns: list[str], block: int = 256) -> DataFrame:
+    """(a, node, columns): for each node a of the pairs, its own row of ``told`` (node, columns) and then those of its partners.
 
-    The partners of a node are compared in blocks of bounded size, each with its own copy of the node's set.
+    The partners of a node come in blocks of bounded size, each with its own copy of the node's row. Columns are null for nodes that ``told`` lacks.
     """
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
     dealt = pairs.join(degree, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks")).select("a", "block", "b")
     dealt = dealt.select("a", "block", F.col("b").alias("node")).unionAll(dealt.select("a", "block", F.col("a").alias("node")).distinct())
-    dealt = dealt.join(sets, "node").repartition(shuffle_partitions(pairs.sparkSession), "a", "block")
-    dealt = dealt.withColumn("rank", (F.col("node") != F.col("a")).cast("int")).sortWithinPartitions("a", "block", "rank")
+    dealt = dealt.join(told, "node", "left").repartition(shuffle_partitions(pairs.sparkSession), "a", "block")
+    return dealt.withColumn("rank", (F.col("node") != F.col("a")).cast("int")).sortWithinPartitions("a", "block", "rank").select("a", "node", *columns)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs whose sets are similar enough, compared exactly."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme, pivot, own = Scheme(num, den), None, None
@@ -278,7 +282,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int
             yield pd.DataFrame(linked, columns=["a", "b"])
         release_memory()
 
-    return dealt.select("a", "node", "elements").mapInPandas(compare, "a long, b long").distinct()
+    return _dealt(pairs, sets, ["elements"]).mapInPandas(compare, "a long, b long").distinct()
+
+
+def _flips(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of places in which two sketches differ, the longer one folded."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _finer_stars(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
+    """What ``_finer`` keeps, for pairs (a, b) without a place: a node's sketch comes once for each block of its partners."""
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, size = None, 0
+        for batch in batches:
+            kept = []
+            for a, node, n, raw in zip(batch["a"].tolist(), batch["node"].tolist(), batch["n"].tolist(), batch["fine"], strict=True):
+                x = None if raw is None else np.frombuffer(raw, np.uint64)
+                if node == a:
+                    own, size = x, n
+                elif own is None or x is None or _flips(own, x) * (den + num) <= (size + n) * (den - num):
+                    kept.append((a, node))
+            yield pd.DataFrame(kept, columns=["a", "b"])
+        release_memory()
+
+    return _dealt(pairs, fine, ["n", "fine"]).mapInPandas(test, "a long, b long")
 
 
 def _finer(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
@@ -292,11 +324,7 @@ def _finer(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
             if a not in held or b not in held:
                 return True
             (n, x), (m, y) = held[a], held[b]
-            while len(x) > len(y):
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            while len(y) > len(x):
-                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-            return int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (n + m) * (den - num)
+            return _flips(x, y) * (den + num) <= (n + m) * (den - num)
 
         return left[[may(a, b) for a, b in zip(left["a"].tolist(), left["b"].tolist(), strict=True)]]
 

@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from tesserae.llm import fuzzy_lines
+from tesserae.llm import fuzzy_lines, part_enum
 
 
 def features(n):
@@ -46,3 +46,27 @@ def test_pairs_of_blocks_without_content_are_no_signature():
     thin = share & ~(255 | 255 << 8) | 8 | 8 << 8
     kept = fuzzy_lines.line_signatures(low, high, size, thin)
     assert len(kept[0]) == len(every[0]) - 50  # 16 of 255 is not: with five others alike, two hold at least a third of 51
+
+
+def test_pairs_of_stars_are_looked_at_by_finer_sketches_before_sets_are_sent(spark, monkeypatch):
+    """Long texts that share a passage and don't link: no pair of them comes to the exact comparison; the pair that links does."""
+    rng, words = np.random.default_rng(3), lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    texts = [" ".join(words("same", 2600) + words(f"own{k}x", 900)) for k in range(6)]
+    texts.append(texts[2] + " end")
+    compared, real = [], part_enum._verified
+    monkeypatch.setattr(part_enum, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    docs = spark.createDataFrame([(k, texts[k]) for k in rng.permutation(7).tolist()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in part_enum.part_enum_components(docs).collect()}
+    assert got == {k: 2 if k == 6 else k for k in range(7)} and compared[0] == 1
+
+
+def test_finer_sketches_of_stars_keep_what_those_of_places_keep(spark):
+    rng = np.random.default_rng(15)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(base, 3000 - int(rng.choice([20, 300, 500])), replace=False)) for _ in range(20)]
+    sets[3] = sets[3][:100]  # too short for a finer one
+    words = part_enum.parity_sketches(np.concatenate(sets), np.array([len(s) for s in sets]), part_enum.FINE_WORDS)
+    fine = spark.createDataFrame([(n, len(s), bytearray(w.tobytes())) for n, (s, w) in enumerate(zip(sets, words, strict=True)) if len(s) > 256], "node long, n long, fine binary")
+    pairs = spark.createDataFrame([(a, b, 7) for a in range(20) for b in range(a + 1, 20)], "a long, b long, place long")
+    kept = [sorted((r["a"], r["b"]) for r in df.collect()) for df in (part_enum._finer(pairs, fine, 80, 100), part_enum._finer_stars(pairs.drop("place"), fine, 80, 100))]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < 190
