@@ -3,8 +3,9 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tesserae.llm import fuzzy_lines, part_enum
+from tesserae.llm import collide, fuzzy_lines, part_enum
 
 
 def features(n):
@@ -70,3 +71,39 @@ def test_finer_sketches_of_stars_keep_what_those_of_places_keep(spark):
     pairs = spark.createDataFrame([(a, b, 7) for a in range(20) for b in range(a + 1, 20)], "a long, b long, place long")
     kept = [sorted((r["a"], r["b"]) for r in df.collect()) for df in (part_enum._finer(pairs, fine, 80, 100), part_enum._finer_stars(pairs.drop("place"), fine, 80, 100))]
     assert kept[0] == kept[1] and 0 < len(kept[0]) < 190
+
+
+def test_a_group_of_near_members_gives_no_more_pairs_than_members_at_first(spark):
+    n = 300
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    groups = spark.createDataFrame([(g, k, k) for g in (3, 4) for k in range(n)], "gid long, node long, class long")
+
+    def near(told):
+        return lambda i, j: told["node"][i] % 3 == told["node"][j] % 3  # three sets, in which all are near
+
+    first, every = ({(r["a"], r["b"]): r["rest"] for r in collide._between(groups, nodes, near, whole).collect()} for whole in (False, True))
+    assert set(every) == {(a, b) for a, b in itertools.combinations(range(n), 2) if a % 3 == b % 3} and not any(every.values())
+    assert set(first) < set(every) and len(first) <= 2 * n and all(first.values())
+    root = list(range(n))
+    for a, b in sorted(first):
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root)) == 3
+
+
+def test_links_that_the_first_pairs_miss_are_found(spark):
+    """All members of a group are near, but only those of neighbouring numbers link."""
+    n = 60
+    groups = spark.createDataFrame([(k, 0, 8) for k in range(n)], "a long, b long, gid long")
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    near = lambda told: lambda i, j: np.ones(len(i), bool)
+    got = collide.linked_components(groups, nodes, lambda x, y: F.lit(True), near, lambda wanted: wanted, lambda pairs, _: pairs.where("b = a + 1 and b % 20 <> 0"), "test").collect()
+    assert {r["node"]: r["component"] for r in got} == {k: k - k % 20 for k in range(n)}
+
+
+def test_few_pairs_take_one_look(spark, monkeypatch):
+    looks, real = [], collide._between
+    monkeypatch.setattr(collide, "_between", lambda *args: looks.append(args[-1]) or real(*args))
+    groups = spark.createDataFrame([(k, 0, 8) for k in range(40)], "a long, b long, gid long")
+    near = lambda told: lambda i, j: told["node"][i] // 2 == told["node"][j] // 2
+    got = collide.linked_components(groups, spark.range(40).toDF("node"), lambda x, y: F.lit(True), near, lambda wanted: wanted, lambda pairs, _: pairs, "test").collect()
+    assert {r["node"]: r["component"] for r in got} == {k: k - k % 2 for k in range(40)} and looks == [False]
