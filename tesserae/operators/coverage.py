@@ -81,6 +81,8 @@ def _made(sectors: DataFrame, tiles: DataFrame, stale: DataFrame, layer: str) ->
     wanted = contributors(sectors).join(stale.select(*CHUNK), CHUNK, "left_semi").select("sector", "x", "y").distinct()
     wanted = wanted.join(tiles.groupBy("x", "y").agg(F.max("revision").alias("revision")), ["x", "y"]).join(sectors, "sector")
     read = wanted.join(tiles.select("x", "y", "revision", "content"), ["x", "y", "revision"]).withColumn("z", F.lit(NATIVE_ZOOM))
-    shapes = tile_fragments(read, layer, "lon", "lat", "basis", ("sector",))
+    # packed tiles are few bytes and much work, so they are dealt to as many tasks as Spark has (by a key of their own, as a deal that the join has made already would be left out and its parts merged); what covers the same cells counts once
+    read = read.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("sector", "x", "y"))
+    shapes = tile_fragments(read, layer, "lon", "lat", "basis", ("sector",), distinct=True)
     placed = words.polygon_words(shapes, ("sector", "x", "y", "nth"))
     return words.merged(placed.join(stale.select(*CHUNK), CHUNK, "left_semi"), ("sector",)).transform(words.within_grid)

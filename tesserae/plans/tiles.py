@@ -64,12 +64,18 @@ def tiles(spark, sf_dir) -> DataFrame:
     # the first revision has every other part
     held = there.join(features, ["sector", "dx", "dy"], "left").withColumn("fid", F.when((F.col("revision") == 2) | (F.col("fid") % 2 == 0), F.col("fid")))
 
-    def build(batch: pd.DataFrame) -> pd.DataFrame:
-        own = [({"render_height": float(r["fid"] % 20 + 3)}, _rings(r)) for r in batch.sort_values("fid").to_dict("records") if not pd.isna(r["fid"])]
-        first = batch.iloc[0]
-        return pd.DataFrame([{"x": int(first["tx"] + first["dx"]) % N, "y": int(first["ty"] + first["dy"]), "revision": int(first["revision"]), "content": encode_tile("building", own)}])
+    names = ["x0", "y0", "x1", "y1", "ax", "ay", "bx", "by", "kind"]
+    held = held.select("sector", "dx", "dy", "revision", F.pmod(F.col("tx") + F.col("dx"), F.lit(N)).alias("x"), (F.col("ty") + F.col("dy")).alias("y"), "fid", *names)
 
-    return held.groupBy("sector", "dx", "dy", "revision").applyInPandas(build, "x long, y long, revision int, content binary")
+    def build(batch: pd.DataFrame) -> pd.DataFrame:
+        first, told = batch.iloc[0], batch[batch["fid"].notna()].sort_values("fid")
+        columns = (told[c].astype("int64").tolist() for c in ("fid", *names))
+        own = [({"render_height": float(fid % 20 + 3)}, _rings(dict(zip(names, r, strict=True)))) for fid, *r in zip(*columns, strict=True)]
+        return pd.DataFrame([{"x": int(first["x"]), "y": int(first["y"]), "revision": int(first["revision"]), "content": encode_tile("building", own)}])
+
+    key = ["sector", "dx", "dy", "revision"]
+    dealt = held.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    return dealt.groupBy(*key).applyInPandas(build, "x long, y long, revision int, content binary")
 
 
 def tile_coverage(spark, sf_dir):

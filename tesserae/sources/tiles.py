@@ -168,15 +168,21 @@ def _inside(shape: list) -> bool:
     return all(0 <= px <= 1 and 0 <= py <= 1 for polygon in shape for px, py in polygon[0])
 
 
-def tile_fragments(tiles: DataFrame, layer: str, lon: float | str, lat: float | str, basis: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def tile_fragments(tiles: DataFrame, layer: str, lon: float | str, lat: float | str, basis: str | None = None, keep: tuple[str, ...] = (), distinct: bool = False) -> DataFrame:
     """(keep, z, x, y, nth, properties, polygons, area): a layer's features clipped to their tile's core, in metres around a centre.
 
     The centre is a pair of numbers or of columns, so tiles of many sectors go in one pass. A malformed tile fails the job; a tile without the layer, and a
-    feature that lies in the buffer only, give no rows.
+    feature that lies in the buffer only, give no rows. If wanted, features of one tile that have the same shape are one, with the properties of the first.
     """
 
     def decode(r: dict) -> Iterator[dict]:
+        seen = set()
         for nth, (properties, shape) in enumerate(decode_tile(r["content"], layer) or []):
+            if distinct:
+                own = tuple(tuple(map(tuple, polygon)) for polygon in shape)
+                if own in seen:
+                    continue
+                seen.add(own)
             inside = shape if _inside(shape) else overlay(shape, CORE, INTERSECTION)
             if inside:
                 metres = _local(inside, r["z"], r["x"], r["y"], r["__lon"], r["__lat"], r["__basis"])
@@ -222,7 +228,7 @@ def encode_tile(layer: str, features: list[tuple[dict, list[list[tuple[int, int]
     """A tile of one layer of polygons: features are properties (texts and numbers) and open rings of whole coordinates."""
     keys: dict[str, int] = {}
     values: dict[object, int] = {}
-    body = b""
+    body = bytearray()
     for properties, rings in features:
         tags = b"".join(_number(keys.setdefault(k, len(keys))) + _number(values.setdefault(v, len(values))) for k, v in properties.items())
         x = y = 0
@@ -235,7 +241,7 @@ def encode_tile(layer: str, features: list[tuple[dict, list[list[tuple[int, int]
             commands += _number(1 << 3 | 7)
         body += _counted(2, _counted(2, tags) + _number(3 << 3) + _number(3) + _counted(4, commands))
     told = [_counted(1, v.encode()) if isinstance(v, str) else _number(3 << 3 | 1) + struct.pack("<d", v) for v in values]
-    parts = [_number(15 << 3) + _number(2), _counted(1, layer.encode()), body, *(_counted(3, k.encode()) for k in keys), *(_counted(4, v) for v in told), _number(5 << 3) + _number(extent)]
+    parts = [_number(15 << 3) + _number(2), _counted(1, layer.encode()), bytes(body), *(_counted(3, k.encode()) for k in keys), *(_counted(4, v) for v in told), _number(5 << 3) + _number(extent)]
     return _counted(3, b"".join(parts))
 
 

@@ -112,3 +112,25 @@ def test_tiles_keep_their_properties_and_holes(spark):
     for df in (tile_fragments(t, "building", 0.0, 0.0), tile_fragments(t, "building", "lon", "lat", keep=("lon",))):
         (row,) = df.collect()
         assert row["properties"] == {"render_height": "12.5", "colour": "red"} and len(row["polygons"][0]) == 2
+
+
+def test_equal_shapes_of_a_tile_are_decoded_into_one_row(spark):
+    box, other = [(10, 10), (900, 10), (900, 700), (10, 700)], [(10, 10), (900, 10), (900, 701), (10, 701)]
+    content = encode_tile("building", [({"height": k}, [box if k % 3 else other]) for k in range(30)])
+    rows = spark.createDataFrame([(14, 3, 4, bytearray(content)), (14, 3, 5, bytearray(content))], "z int, x int, y int, content binary")
+    every, once = (tile_fragments(rows, "building", -179.0, 84.0, distinct=d) for d in (False, True))
+    assert every.count() == 60 and sorted((r["y"], r["nth"], r["properties"]["height"]) for r in once.collect()) == [(4, 0, "0.0"), (4, 1, "1.0"), (5, 0, "0.0"), (5, 1, "1.0")]
+    shapes = lambda df: {str(r) for r in df.select("y", "polygons").collect()}
+    assert shapes(every) == shapes(once)
+
+
+def test_packed_tiles_are_dealt_to_as_many_tasks_as_spark_has(spark):
+    sectors = spark.createDataFrame([(k, 0.05 * k, 10.0, 10.0) for k in range(40)], "sector long, lon double, lat double, basis double")
+    there = coverage.contributors(sectors).select("x", "y").distinct().withColumns({"revision": F.lit(1), "content": F.lit(encode_tile("building", [({}, [[(0, 0), (4096, 0), (4096, 4096), (0, 4096)]])]))})
+    seen, real = [], coverage.tile_fragments
+    coverage.tile_fragments = lambda read, *a, **k: seen.append(read.rdd.getNumPartitions()) or real(read, *a, **k)
+    try:
+        coverage.refresh(sectors, there)
+    finally:
+        coverage.tile_fragments = real
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
