@@ -10,7 +10,7 @@ by sets with at most k parts in use: with more, one of the agreed parts holds an
 
 Sets that share a signature are linked when their exact similarity reaches the
 threshold: first each with the smallest member of each of its groups; then components
-of the links found collapse the groups, and what is still apart within
+of the links found collapse the groups, overlapping groups are put together, and what is still apart within
 one group is compared (see ``collide``). Necessary
 conditions (sizes, and parity sketches whose distance never exceeds the sets')
 come before every exact comparison. So no group's pairs are emitted as such, and
@@ -36,13 +36,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .collide import SIGNATURES_PER_BUCKET, candidates, linked_components
+from .collide import SIGNATURES_PER_BUCKET, candidates, linked_components, merged
 from .common import IdFilter, release_memory, shuffle_partitions, small_batches, stage, stage_result, text_or_empty
 from .shingles import mix, set_digests, shingle_sets
 from .tokens import pieces_of_batch
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SKETCH_WORDS = 16
+LONG_WORDS = 256  # of the sketch of a long set, which has half a bit to one bit for each element
 FINE_WORDS = 1 << 14  # of the second look at sets that a sketch is too coarse for
 
 
@@ -121,12 +122,13 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple
 
 
 def parity_sketches(elements: np.ndarray, sizes: np.ndarray, most: int = SKETCH_WORDS) -> list[np.ndarray]:
-    """For each set, the parities of the numbers of elements that hash to each of some bits: four for each element, up to ``most`` words.
+    """For each set, the parities of the numbers of elements that hash to each of some bits: four for each element, up to ``most`` words; and for long sets half a bit to one, up to ``LONG_WORDS``.
 
-    The number of bits is a power of 2; the lower half of them XORed with the upper half is the sketch of half the size. However few the bits,
+    With as many bits for every long set, so many would differ by chance that all pairs of long sets passed. The number of bits is a power of 2; the lower half of them XORed with the upper half is the sketch of half the size. However few the bits,
     no more of them differ than elements do, so a sketch never turns away a pair that links.
     """
-    words = np.clip(4 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) >> 6, 4, most)
+    log = np.log2(np.maximum(sizes, 1))
+    words = np.maximum(np.clip(4 << np.ceil(log).astype(np.int64) >> 6, 4, most), np.minimum(1 << np.floor(log).astype(np.int64) >> 6, LONG_WORDS))
     start = np.cumsum(words) - words
     owner = np.repeat(np.arange(len(sizes)), sizes)
     bit = (elements >> np.uint64(7)) & (words[owner] * 64 - 1).astype(np.uint64)
@@ -179,7 +181,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, num: in
     scheme = Scheme(num, den)
     found = stage(candidates(rows.select("text"), signed, buckets), "partenum-candidates")
     classes = linked_components(
-        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: (_verified_together if "place" in pairs.columns else _verified)(pairs, sets, num, den), "partenum", "n", lambda pairs: (_finer if "place" in pairs.columns else _finer_stars)(pairs, fine, num, den),
+        found, nodes.drop("doc_id"), lambda x, y: _may_link(x, y, num, den), lambda told: _near(told, num, den), lambda wanted: _needed_sets(wanted, nodes, rows, width), lambda pairs, sets: (_verified_together if "place" in pairs.columns else _verified)(pairs, sets, num, den), "partenum", "n", lambda pairs: (_finer if "place" in pairs.columns else _finer_stars)(pairs, fine, num, den), lambda groups, _: merged(groups),
     )
 
     placed = nodes.select("node", "doc_id").join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

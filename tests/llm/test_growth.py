@@ -107,3 +107,33 @@ def test_few_pairs_take_one_look(spark, monkeypatch):
     near = lambda told: lambda i, j: told["node"][i] // 2 == told["node"][j] // 2
     got = collide.linked_components(groups, spark.range(40).toDF("node"), lambda x, y: F.lit(True), near, lambda wanted: wanted, lambda pairs, _: pairs, "test").collect()
     assert {r["node"]: r["component"] for r in got} == {k: k - k % 2 for k in range(40)} and looks == [False]
+
+
+def test_groups_that_overlap_are_put_together_and_no_pair_is_lost(spark):
+    """Forty groups of nearly the same members, and chance groups of one member that would be larger together than apart."""
+    rng = np.random.default_rng(21)
+    members = {g: sorted(rng.choice(60, 55, replace=False).tolist()) for g in range(2, 42)}
+    members |= {g: [1000, *range(g * 100, g * 100 + 3)] for g in range(50, 90)}
+    groups = spark.createDataFrame([(g, k, k % 7) for g, own in members.items() for k in own], "gid long, node long, class long")
+    got = {}
+    for r in collide.merged(groups).collect():
+        assert r["class"] == r["node"] % 7
+        got.setdefault(r["gid"], []).append(r["node"])
+    met = lambda groups: {p for own in groups for p in itertools.combinations(sorted(own), 2)}
+    assert all(len(own) == len(set(own)) for own in got.values()) and met(members.values()) <= met(got.values())
+    assert sum(map(len, got.values())) < 0.4 * groups.count() and sum(len(own) ** 2 for own in got.values()) <= sum(len(own) ** 2 for own in members.values())
+
+
+def test_sketches_of_long_sets_turn_away_what_shares_a_passage():
+    rng, draw = np.random.default_rng(22), lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    sizes, passage = [1500, 3000, 5000, 9000, 15000], draw(500)
+    sets = [np.unique(np.append(passage, draw(n - 500))) for n in sizes for _ in range(2)]
+    sets += [np.unique(np.append(x[: -len(x) // 20], draw(len(x) // 20))) for x in sets]  # each with one that links
+    n = np.array([len(x) for x in sets])
+    sketches = part_enum.parity_sketches(np.concatenate(sets), n)
+    told = np.empty(len(n), object)
+    told[:] = sketches
+    passes = part_enum._near({"n": n, "sketch": told}, 80, 100)
+    k = np.arange(10)
+    assert passes(k, k + 10).all() and not passes(k[::2], k[1::2]).any()
+    assert max(map(len, sketches)) <= part_enum.LONG_WORDS and max(len(s) for s, m in zip(sketches, n, strict=True) if m < 2048) <= 16
