@@ -137,3 +137,26 @@ def test_sketches_of_long_sets_turn_away_what_shares_a_passage():
     k = np.arange(10)
     assert passes(k, k + 10).all() and not passes(k[::2], k[1::2]).any()
     assert max(map(len, sketches)) <= part_enum.LONG_WORDS and max(len(s) for s, m in zip(sketches, n, strict=True) if m < 2048) <= 16
+
+
+def test_members_of_groups_keep_the_columns_and_counts_that_they_bring(spark):
+    n = 200
+    low, high, share = features(n)
+    nodes = spark.createDataFrame([(k, int(low[k]), int(high[k]), int(share[k]), 100) for k in range(n)], "node long, low long, high long, share long, size int")
+    groups = spark.createDataFrame([(g, k, k) for g, own in ((8, range(n)), (10, range(20, 40))) for k in own], "gid long, node long, class long")
+    dealt = fuzzy_lines._split(groups, nodes).cache()
+    sizes = {r["gid"]: r["count"] for r in dealt.groupBy("gid").count().collect()}
+    told = {k: (int(low[k]), int(high[k]), int(share[k]), 100) for k in range(n)}
+    rows = dealt.collect()
+    assert all(r["count"] == sizes[r["gid"]] and told[r["node"]] == (r["low"], r["high"], r["share"], r["size"]) for r in rows) and sizes[10] == 20
+    pairs = lambda groups: {(r["a"], r["b"]) for r in collide._between(groups, nodes, fuzzy_lines._near, True).collect()}
+    assert pairs(dealt) == pairs(groups) != set()
+
+
+def test_signatures_come_in_order_with_the_nodes_of_each_in_order():
+    rng = np.random.default_rng(23)
+    for n in (0, 1, 2, 5000):
+        sig, node = rng.integers(0, 900, n).astype(np.uint64), rng.integers(0, 40, n)
+        want = sorted(set(zip(sig.tolist(), node.tolist(), strict=True)))
+        s, k, head, size = collide._sorted_groups(sig, node)
+        assert list(zip(s.tolist(), k.tolist(), strict=True)) == want and size.sum() == len(want) and (s[head] == np.unique(sig)).all()
